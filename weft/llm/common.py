@@ -41,8 +41,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_enough(df: DataFrame, most_rows: int) -> bool:
-    """Whether ``df`` has at most ``most_rows`` rows: the check before a broadcast."""
-    return df.limit(most_rows + 1).count() <= most_rows
+    """Whether ``df`` has at most ``most_rows`` rows: the check before a broadcast.  Hand over a stored or narrow table."""
+    return df.count() <= most_rows
 
 
 def joined_by_size(left: DataFrame, right: DataFrame, on, how: str, most_rows: int) -> DataFrame:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality, rules
+from . import bpe, linededup, lm, mixing, ngramjoin, quality, rules, toxicity
 from .common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -17,19 +18,90 @@ def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), heads AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT k.doc_id, k.pos, k.line, h.key IS NOT NULL AND k.doc_id <> h.keeper AS dropped FROM keyed k LEFT JOIN heads h ON k.key = h.key
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judged_documents(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as good; background: all documents."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return lm.scored(docs, lm.fit(docs, labels.where("quality = 1")))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weighed by the square root of their size; the digest of every copy's text is taken after the shuffle."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, mixing.tempered(docs)).select("doc_id", "source", "copy", "order_key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP6_SQL = """
+WITH s AS (SELECT source, count(*) AS n, sqrt(count(*)) AS weight FROM documents GROUP BY source),
+r AS (SELECT source, weight / (SELECT sum(weight) FROM s) * (SELECT sum(n) FROM s) / n AS rate FROM s),
+p AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM r, range(0, 150) t(k)),
+c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS below FROM p),
+u AS (SELECT doc_id, source, text, ('0x' || substr(sha256('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+d AS (SELECT u.doc_id, u.source, any_value(u.text) AS text, count(*) FILTER (WHERE c.below <= u.u) AS n FROM u JOIN c USING (source) GROUP BY u.doc_id, u.source),
+e AS (SELECT doc_id, source, text, unnest(range(n))::INTEGER AS copy FROM d)
+SELECT doc_id, source, copy, ('0x' || substr(sha256('mix:' || doc_id || ':' || copy), 1, 15))::BIGINT AS order_key, sha256(coalesce(text, '')) AS text_sha256
+FROM e
+"""
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(r.y) FROM reach r WHERE r.x = s.doc_id) AS component_id FROM sets s
+"""
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_qda, op4_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_qda, op3_line_dedup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_ngram_jaccard, op9_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op7_ngram_jaccard": OP7_SQL}
