@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, lm, mixing, ngramjoin, quality, rules, toxicity
+from . import ann, bpe, licences, linededup, lm, mixing, ngramjoin, quality, rules, toxicity
 from .common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,10 @@ def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents")).select("doc_id", "paragraph", "family", "probability", "unknown_probability", "coverage")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
@@ -77,7 +81,8 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
@@ -90,6 +95,11 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(r.y) FROM reach r W
 """
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -100,7 +110,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_qda, op3_line_dedup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_ngram_jaccard, op9_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_qda, op2_licence_scan, op3_line_dedup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_ngram_jaccard, op8_hnsw, op9_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
