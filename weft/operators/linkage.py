@@ -123,7 +123,7 @@ def link_cascade(atoms: DataFrame, manifest: DataFrame) -> DataFrame:
     or more with a fitting kind.  Each is an equi-join on the visit and a key where it has one.
     """
     a = atoms.withColumn("n", text.squeeze(F.lower("concept")))
-    m = manifest.select("visit", "entity_id", "pos", F.col("kind").alias("m_kind"), text.squeeze(F.lower("name")).alias("m_n"))
+    m = manifest.select("visit", "entity_id", "pos", F.col("kind").alias("m_kind"), text.squeeze(F.lower("name")).alias("m_n")).distinct()
     fit = kinds_fit(F.col("kind"), F.col("m_kind"))
     pick = lambda df, s: df.select("atom_id", "entity_id", "pos", F.lit(s).alias("strategy"))
     by_id = pick(a.join(m, (a["visit"] == m["visit"]) & (a["ref_id"] == m["entity_id"])), 0)
@@ -132,8 +132,8 @@ def link_cascade(atoms: DataFrame, manifest: DataFrame) -> DataFrame:
     compatible = pick(named.where(fit), 2)
     tokens = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3))
     x = a.select("visit", "atom_id", "kind", F.explode(tokens(F.col("n"))).alias("w"))
-    y = m.select("visit", "entity_id", "pos", "m_kind", F.explode(tokens(F.col("m_n"))).alias("w"))
-    words = x.join(y, ["visit", "w"]).where(fit).groupBy("atom_id", "entity_id", "pos").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    y = m.select("visit", "entity_id", "pos", "m_kind", "m_n", F.explode(tokens(F.col("m_n"))).alias("w"))
+    words = x.join(y, ["visit", "w"]).where(fit).groupBy("atom_id", "entity_id", "pos", "m_kind", "m_n").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
     ratio = 1 - F.levenshtein("n", "m_n") / F.greatest(F.length("n"), F.length("m_n"), F.lit(1))
     near = a.join(m, "visit").where(fit & (F.abs(F.length("n") - F.length("m_n")) <= 0.28 * F.greatest(F.length("n"), F.length("m_n"))) & (ratio >= 0.72))
     found = by_id.unionByName(exact).unionByName(compatible).unionByName(pick(words, 3)).unionByName(pick(near, 4))

@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["similarity"]
+MODULES = ["similarity", "relations"]
 
 
 def _load() -> None:
