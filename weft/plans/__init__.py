@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["similarity", "relations"]
+MODULES = ["similarity", "relations", "texts"]
 
 
 def _load() -> None:
