@@ -23,6 +23,7 @@ labels every score is 0.  Equal cosines go to the smaller example id.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,7 +39,8 @@ from .common import fold_of, stored, texts_of, training_labels
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
 CACHE_WORDS = 400_000
-BLOCK = 64
+#: Examples in a block.
+BLOCK = 512
 
 
 def terms_of(word: str) -> list[str]:
@@ -56,6 +58,7 @@ class Settings:
     terms: int = 8192
     neighbours: int = 15
     least_g2: float = 32.0
+    least_lift: float = 3.0
     least_rows: int = 3
 
 
@@ -89,60 +92,53 @@ def vector(text: str, terms: Terms, idf: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Index:
-    """Postings by term and block, with block maxima; ``rows`` counts what an example stands for."""
+    """Postings ordered by term and block; ``top[t, b]`` is the largest weight of term t in block b, ``at[t, b]`` where its run begins.
+
+    ``rows`` counts the labelled rows that an example stands for.
+    """
 
     ids: np.ndarray
     y: np.ndarray
     rows: np.ndarray
-    n_blocks: int
-    start: dict[int, list[tuple[int, int, int]]]
     place: np.ndarray
     weight: np.ndarray
-    top: dict[int, tuple[np.ndarray, np.ndarray]]
+    top: np.ndarray
+    at: np.ndarray
 
     @classmethod
-    def build(cls, ids: np.ndarray, y: np.ndarray, rows: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-        lengths = [len(t) for t, _ in vectors]
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int32)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        place = np.repeat(np.arange(len(vectors), dtype=np.int32), lengths)
+    def build(cls, ids: np.ndarray, y: np.ndarray, rows: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> Index:
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int64)
+        weight = np.concatenate([w for _, w in vectors])
+        place = np.repeat(np.arange(len(vectors), dtype=np.int64), [len(t) for t, _ in vectors])
         order = np.lexsort((place, term))
         term, weight, place = term[order], weight[order], place[order]
-        block = place // BLOCK
-        new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, int)
-        stop = np.r_[new[1:], len(term)] if len(term) else new
-        start: dict[int, list[tuple[int, int, int]]] = {}
-        for a, b in zip(new.tolist(), stop.tolist()):
-            start.setdefault(int(term[a]), []).append((int(block[a]), a, b))
-        top = {t: (np.array([x[0] for x in runs]), np.array([weight[a:b].max() for _, a, b in runs])) for t, runs in start.items()}
-        return cls(ids, y, rows, -(-len(vectors) // BLOCK), start, place, weight, top)
+        n_blocks = -(-len(vectors) // BLOCK)
+        cell = term * n_blocks + place // BLOCK
+        top = np.zeros(n_terms * n_blocks)
+        np.maximum.at(top, cell, weight)
+        at = np.searchsorted(cell, np.arange(n_terms * n_blocks + 1))
+        at = np.stack([at[:-1].reshape(n_terms, n_blocks), at[1:].reshape(n_terms, n_blocks)])
+        return cls(ids, y, rows, place.astype(np.int32), weight, top.reshape(n_terms, n_blocks), at.astype(np.int32))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term; ``without``: a place to leave out."""
-        bound = np.zeros(self.n_blocks)
-        runs: dict[int, list[tuple[int, int, float]]] = {}
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            if t in self.top:
-                blocks, most = self.top[t]
-                bound[blocks] += w * most
-                for b, i, j in self.start[t]:
-                    runs.setdefault(b, []).append((i, j, w))
+        bound = weights @ self.top[terms]
         found, near, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(near) >= k and bound[b] < least - 1e-12:
                 break
-            dot = np.zeros(BLOCK)
-            for i, j, w in runs[b]:
-                dot[self.place[i:j] - b * BLOCK] += w * self.weight[i:j]
-            hit = np.flatnonzero(dot > 0)
+            first, size = self.at[0, terms, b], self.at[1, terms, b] - self.at[0, terms, b]
+            run = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            dot = np.bincount(self.place[run] - b * BLOCK, np.repeat(weights, size) * self.weight[run], BLOCK)
+            if 0 <= without - b * BLOCK < BLOCK:
+                dot[without - b * BLOCK] = 0
+            hit = np.flatnonzero(dot > max(0.0, least - 1e-12))
             found, near = np.r_[found, hit + b * BLOCK], np.r_[near, dot[hit]]
-            if without >= 0:
-                found, near = found[found != without], near[found != without]
-            if len(near) > k:
+            if len(near) >= k:
                 best = np.lexsort((self.ids[found], -near.round(12)))[:k]
                 found, near = found[best], near[best]
-            least = near.min() if len(near) else 0.0
-        best = np.lexsort((self.ids[found], -near.round(12)))
+                least = near[-1]
+        best = np.lexsort((self.ids[found], -near.round(12)))[:k]
         return found[best], near[best]
 
     def vote(self, found: np.ndarray, near: np.ndarray, prior: float) -> float:
@@ -185,7 +181,7 @@ def sampled(labelled: DataFrame, y: int, settings: Settings) -> DataFrame:
 
 
 def chosen_terms(sample: DataFrame, n: dict[int, int], settings: Settings) -> list[tuple[str, int]]:
-    """Terms whose document rates differ between the classes by the likelihood ratio G2, with their document counts.
+    """Terms whose document rates differ between the classes, surely (likelihood ratio G2) and much (``least_lift``), with their document counts.
 
     ``terms`` at most, those with the largest G2.
     """
@@ -204,7 +200,9 @@ def chosen_terms(sample: DataFrame, n: dict[int, int], settings: Settings) -> li
     counts = counts.where(F.col("n0") + F.col("n1") >= settings.least_rows)
     both, all_rows = F.col("n0") + F.col("n1"), n[0] + n[1]
     part = lambda c, size: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * all_rows / (both * size))).otherwise(0.0)
-    best = counts.withColumn("g2", 2 * (part("n0", n[0]) + part("n1", n[1]))).where(F.col("g2") >= settings.least_g2).orderBy(F.desc("g2"), "term").limit(settings.terms)
+    lift = F.abs(F.log((F.col("n1") + 0.5) / (n[1] + 1.0)) - F.log((F.col("n0") + 0.5) / (n[0] + 1.0)))
+    telling = counts.withColumn("g2", 2 * (part("n0", n[0]) + part("n1", n[1]))).where((F.col("g2") >= settings.least_g2) & (lift >= math.log(settings.least_lift)))
+    best = telling.orderBy(F.desc("g2"), "term").limit(settings.terms)
     return [(r["term"], r["n0"] + r["n1"]) for r in best.collect()]
 
 
@@ -239,7 +237,7 @@ def fit(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings()) -
     vectors = [(np.array(r["t"], np.int32), np.array(r["w"], np.float64)) for r in got]
     empty = np.array([not len(t) for t, _ in vectors])
     unmatched = float((stands[empty] @ y[empty] + prior) / (stands[empty].sum() + 1))
-    index = Index.build(np.array([r["doc_id"] for r in got], np.int64), y, stands, vectors)
+    index = Index.build(np.array([r["doc_id"] for r in got], np.int64), y, stands, vectors, len(terms))
     model = Model(settings, number, idf, index, prior, unmatched)
     raw, own = [], []
     for k, v in enumerate(vectors):
