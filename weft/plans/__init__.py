@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["similarity", "relations", "texts"]
+MODULES = ["similarity", "relations", "texts", "knowledge"]
 
 
 def _load() -> None:
