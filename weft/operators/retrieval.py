@@ -17,6 +17,10 @@ from ..functions.phonetic import jaro_winkler_similarity, metaphone_key, phoneti
 from .relational import top_per_key
 
 
+#: Query terms up to which they are sent to every executor.
+MOST_TERMS = 1_000_000
+
+
 def trigram_join(left: DataFrame, right: DataFrame, column: str, least: float) -> DataFrame:
     """(a, b, similarity) of distinct values of ``column`` on both sides with trigram similarity >= ``least``.
 
@@ -70,12 +74,13 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, t: Thresholds = DEFAULTS)
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
     wanted = terms.select("term").distinct()
-    tokens = docs.select("doc_id", F.explode(text.words(F.col("text"))).alias("term"))
-    lengths = docs.select("doc_id", F.size(text.words(F.col("text"))).cast("double").alias("len"))
-    total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    tf = tokens.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    few = wanted.count() <= MOST_TERMS
+    split = docs.select("doc_id", text.words(F.col("text")).alias("w"))
+    total = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_len"))
+    tokens = split.select("doc_id", F.size("w").cast("double").alias("len"), F.explode("w").alias("term"))
+    tf = tokens.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = tf.join(df, "term").join(lengths, "doc_id").crossJoin(F.broadcast(total))  # one row
+    rows = tf.join(F.broadcast(df) if few else df, "term").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (t.bm25_k1 + 1) / (F.col("tf") + t.bm25_k1 * (1 - t.bm25_b + t.bm25_b * F.col("len") / F.col("avg_len")))
     scored = rows.select("doc_id", "term", part.alias("part")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
