@@ -360,3 +360,18 @@ def test_licence_scores_equal_the_model(spark):
     r = licences.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     p = m.probabilities(licences.grams(licences.tokens(text)))
     assert r["family"] == "BSD" and r["probability"] == pytest.approx(p.max(), rel=1e-9) and r["unknown_probability"] == pytest.approx(p[0], rel=1e-6)
+
+
+def test_ngram_join_shuffles_where_tables_are_large(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngramjoin, "LONG_LIST", 3)
+    rows = near_copies(11)
+    got = ngramjoin.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
+def test_lm_shuffles_where_targets_are_many(spark, docs, monkeypatch):
+    targets = spark.createDataFrame([(i,) for i in range(6)], "doc_id long")
+    expected = sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 9)) for r in lm.scored(docs, lm.fit(docs, targets)).collect())
+    monkeypatch.setattr(lm, "BROADCAST_IDS", 0)
+    assert sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 9)) for r in lm.scored(docs, lm.fit(docs, targets)).collect()) == expected
