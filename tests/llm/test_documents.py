@@ -343,6 +343,30 @@ def test_lm_losses_equal_a_plain_model(spark):
     assert m.score("a b b")[2] == pytest.approx(loss / 3, rel=1e-6)
 
 
+def test_lm_counts_every_word_and_bigram(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(lm, "SLICE_CHARS", 4_000)
+    rows = [(i if i % 9 else None, " ".join(f"w{k}" for k in rng.integers(0, 900, 60))) for i in range(90)] + [(500, None), (501, "w1")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    m = lm.fit(d, spark.createDataFrame([(i,) for i in range(0, 30)], "doc_id long"), lm.Settings(words=4, slots=8, prior=2.0))
+    counts = [(Counter(), Counter()), (Counter(), Counter())]
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(2 if i is not None and i < 30 else 1):
+            counts[k][0].update(w)
+            counts[k][1].update(zip(w, w[1:]))
+
+    def loss(k, w):
+        uni, big = counts[k]
+        p = lambda x: (uni[x] + 1) / (uni.total() + len(counts[0][0]) + 1)
+        return -sum(np.log(p(w[0]) if j == 0 else (big[w[j - 1], x] + 2 * p(x)) / (uni[w[j - 1]] + 2)) for j, x in enumerate(w)) / len(w)
+
+    by = lambda found: sorted((i if i is not None else -1, n, round(t, 9), round(b, 9)) for i, n, t, b in found)
+    got = [(r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in lm.scored(d, m).collect()]
+    assert by(got) == by((i, len(w := (t or "").split()), *((loss(1, w), loss(0, w)) if w else (0.0, 0.0))) for i, t in rows)
+    assert m.score("w1 w2 unseen") == pytest.approx((3, loss(1, ["w1", "w2", "unseen"]), loss(0, ["w1", "w2", "unseen"])))
+
+
 # --- licences ------------------------------------------------------------------------------
 
 

@@ -1,27 +1,34 @@
 """Language-model scoring by cross-entropy difference.
 
 A target model and a background model of the same order and smoothing share one
-vocabulary: the most frequent words of the whole corpus, all others being one unknown
-word.  Both are bigram models with a Dirichlet prior on the unigram distribution.  A
-document's score is the mean over its tokens of (target loss - background loss); low
-scores look like the target.
-
-Counting covers every document.  Words are counted by Spark with one partial count a task
-and word.  Bigrams go to ``2**slots`` counters by a hash of both word numbers, the same
-counters for both models, so a model has a fixed size and can be sent to every executor
-(1 M counters: 8 MB); tasks add their documents up in an array and send the counters that
-are not zero.  Two bigrams may share a counter; with S counters and B distinct bigrams an
-expected share of 1 - exp(-B/S) do, and both models see the same sharing.
+vocabulary: every distinct word of the corpus.  Both are bigram models with a Dirichlet
+prior on the unigram distribution, which is add-one smoothed over the distinct words and
+an unseen one (``words`` at least).  A document's score is the mean over its tokens of
+(target loss - background loss); low scores look like the target.
+
+Every distinct word and bigram of every document is counted by itself, without a limit:
+an n-gram is known by a 63-bit hash and a bit for its order, so two of n would be taken
+for one about n * n / 2**64 times (0.05 times for a billion bigrams).  Nothing of the corpus is
+sent to the driver or to every executor:
+
+1. Documents are dealt by a hash to blocks.  A block's task counts its distinct n-grams and
+   cuts them, sorted, into slices of the key range: one row a block and slice, packed.
+   A very frequent n-gram is one entry a block.
+2. A slice's task adds the blocks' counts up and answers every block with the totals of
+   the n-grams that it asked for, in the same order, so without the keys.
+3. A block's task meets its documents with its totals and scores them.
+
+Blocks and slices have a fixed size, so their numbers follow the input; rows between them
+are their product, all other things grow in proportion.
 
 Edge cases: null and empty texts have no tokens and score 0 with n_tokens 0.  Without a
-target document every score is 0 up to smoothing.  Very long texts are taken whole.
+target document every score is 0 up to smoothing.  Very long texts are taken whole.  A
+model is counted when documents are scored, once if these are the documents it was fitted on.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,138 +37,169 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined_by_size, texts_of
+from .ngramjoin import WordHashes
 
 WORD = re.compile(r"\w+|[^\w\s]")
-MOST_HELD = 300_000
 #: Target ids up to which they are sent to every executor; beyond, texts are shuffled to them.
 BROADCAST_IDS = 4_000_000
+#: Characters in a slice's share of the texts.
+SLICE_CHARS = 16_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
+    """``words``: the least size of the vocabulary in smoothing; a block has 2**(slots + 3) characters, about 2**slots tokens, which changes no result."""
+
     words: int = 65_536
     slots: int = 20
     prior: float = 50.0
 
 
-def vocabulary(docs: DataFrame, settings: Settings) -> list[str]:
-    """The most frequent words, most frequent first, ties by word; word number 0 is the unknown word."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
-
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(0):
-                seen.update(WORD.findall(t.as_py().lower()))
-                if len(seen) > MOST_HELD:
-                    yield rows(seen)
-                    seen = Counter()
-        yield rows(seen)
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers as their width in bytes and their bytes, lowest ones first, which compress well."""
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-    counts = texts_of(docs).select("text").mapInArrow(task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(settings.words - 1).collect()]  # bounded by ``words``
 
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros(((len(raw) - 1) // raw[0], 8), np.uint8)
+    out[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1).T
+    return out.view("<u8").ravel()
 
-def numbered(text: str, number: dict[str, int]) -> np.ndarray:
-    get = number.get
-    words = WORD.findall(text.lower())
-    return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
+def slice_start(k: int, slices: int) -> np.uint64:
+    """The least key of a slice."""
+    return np.uint64(-(-(k << 32) // slices) << 32)
 
-def slot(before: np.ndarray, word: np.ndarray, slots: int) -> np.ndarray:
-    """Counter of each bigram: a multiplicative hash of both numbers."""
-    x = (before * np.int64(0x1F123BB5) + word + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - slots)).astype(np.int64)
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-def counted(docs: DataFrame, number: dict[str, int], settings: Settings) -> np.ndarray:
-    """Counts by model (0 background, 1 target), unigrams first, then bigram counters.
 
-    ``docs``: doc_id, text and the boolean ``target``.  A task sends one row a counter that
-    is not zero; the sums, at most 2 * (words + 2**slots) numbers, reach the driver.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(number)
-    size = settings.words + (1 << settings.slots)
+@dataclass
+class Tokens:
+    """The tokens of a block's texts in one row: document of each, keys of the words (even) and of the bigrams (odd) that end at ``at``."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, total = sent.value, np.zeros((2, size), np.int64)
-        for b in batches:
-            each = {0: [], 1: []}
-            for t, target in zip(b.column(0), b.column(1).to_pylist()):
-                ids = numbered(t.as_py(), number)
-                each[int(target)] += [ids, settings.words + slot(ids[:-1], ids[1:], settings.slots)]
-            for k, parts in each.items():
-                if parts:
-                    total[k] += np.bincount(np.concatenate(parts), minlength=size)
-        at = np.flatnonzero(total.any(0))
-        for k in range(0, len(at), 200_000):
-            part = at[k : k + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[0, part]), pa.array(total[1, part])], ["slot", "n0", "n1"])
+    n: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    at: np.ndarray
+    bigram: np.ndarray
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
-    sums = rows.mapInArrow(task, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = sums.toArrow()
-    out = np.zeros((2, size), np.int64)
-    out[:, got.column("slot").to_numpy()] = np.stack([got.column("n0").to_numpy(), got.column("n1").to_numpy()])
-    return out
+    @classmethod
+    def of(cls, texts: pa.ChunkedArray) -> Tokens:
+        hashes, parts = WordHashes(), []
+        for t in texts:
+            words = WORD.findall(t.as_py().lower())
+            parts.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+        n = np.array([len(p) for p in parts], np.int64)
+        h = np.concatenate([np.zeros(0, np.uint64), *parts])
+        doc = np.repeat(np.arange(len(parts)), n)
+        at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+        one = np.uint64(1)
+        pair = h[at - 1] * np.uint64(0x9E3779B97F4A7C15) + mixed(h[at])
+        return cls(n, doc, mixed(h) & ~one, at, mixed(pair) | one)
+
+
+def dealt(marked: DataFrame, settings: Settings, chars: int) -> DataFrame:
+    """``marked`` with the block of each row, the same in each run."""
+    blocks = -(-chars // (8 << settings.slots)) or 1
+    return marked.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
+def asking(rows: DataFrame, slices: int, count: bool, ask: bool) -> DataFrame:
+    """A row a block and slice: its distinct keys, their counts in all and in target rows if ``count``, and whether it wants totals."""
+
+    def task(t: pa.Table) -> pa.Table:
+        tokens = Tokens.of(t.column("text"))
+        keys, n0 = np.unique(np.concatenate([tokens.word, tokens.bigram]), return_counts=True)
+        n1 = np.zeros(len(keys), np.int64)
+        target = t.column("target").to_numpy()[tokens.doc]
+        some, n = np.unique(np.concatenate([tokens.word[target], tokens.bigram[target[tokens.at]]]), return_counts=True)
+        n1[np.searchsorted(keys, some)] = n
+        if not count:
+            n0, n1 = n0 * 0, n1 * 0
+        starts = [slice_start(k, slices) for k in range(slices)]
+        cut = np.append(np.searchsorted(keys, np.array(starts, np.uint64)), len(keys))
+        out: list[list] = [[], [], []]
+        for start, a, b in zip(starts, cut[:-1], cut[1:]):
+            out[0].append(packed(np.diff(keys[a:b], prepend=start)))
+            out[1].append(packed(n0[a:b]))
+            out[2].append(packed(n1[a:b]))
+        block = t.column("block")[0].as_py()
+        return pa.table({"slice": pa.array(range(slices), pa.int64()), "block": pa.array([block] * slices, pa.int64()), "ask": [ask] * slices, "keys": pa.array(out[0], pa.binary()), "n0": pa.array(out[1], pa.binary()), "n1": pa.array(out[2], pa.binary())})
+
+    return rows.groupBy("block").applyInArrow(task, "slice long, block long, ask boolean, keys binary, n0 binary, n1 binary")
+
+
+def answered(asked: DataFrame, slices: int) -> DataFrame:
+    """For every row that asks the totals of its keys, and the slice's number of words and of tokens of both models."""
+
+    def task(t: pa.Table) -> pa.Table:
+        start = slice_start(t.column("slice")[0].as_py(), slices)
+        parts = [np.cumsum(unpacked(k.as_py()), dtype=np.uint64) + start for k in t.column("keys")]
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        n = [np.bincount(at, np.concatenate([unpacked(x.as_py()) for x in t.column(c)]), len(keys)).astype(np.int64) for c in ("n0", "n1")]  # exact below 2**53
+        words = (keys & np.uint64(1)) == 0
+        size = [int((words & (n[0] > 0)).sum()), int(n[0][words].sum()), int(n[1][words].sum())]
+        ends = np.cumsum([len(p) for p in parts])
+        spans = [(int(e) - len(p), int(e)) for p, e, ask in zip(parts, ends, t.column("ask").to_pylist()) if ask]
+        own = t.filter(t.column("ask"))
+        totals = [pa.array([packed(x[at[a:b]]) for a, b in spans], pa.binary()) for x in n]
+        return pa.table({"block": own.column("block"), "slice": own.column("slice"), "n0": totals[0], "n1": totals[1]} | {c: pa.array([v] * len(spans), pa.int64()) for c, v in zip(("words", "all0", "all1"), size)})
+
+    return asked.groupBy("slice").applyInArrow(task, "block long, slice long, n0 binary, n1 binary, words long, all0 long, all1 long")
 
 
 @dataclass
 class Models:
-    """Background and target model over one vocabulary."""
+    """Background and target model over one vocabulary: the documents that they are counted from, those of the target marked."""
 
     settings: Settings
-    number: dict[str, int]
-    unigram: np.ndarray
-    bigram: np.ndarray
-
-    @classmethod
-    def of(cls, counts: np.ndarray, number: dict[str, int], settings: Settings) -> Models:
-        return cls(settings, number, counts[:, : settings.words].astype(np.float64), counts[:, settings.words :].astype(np.float32))
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """Negative log probability of each token after the first under (background, target)."""
-        before, word = ids[:-1], ids[1:]
-        at = slot(before, word, self.settings.slots)
-        out = np.empty((2, len(word)))
-        for k in (0, 1):
-            n = self.unigram[k].sum()
-            p1 = (self.unigram[k][word] + 1) / (n + self.settings.words)
-            seen = self.bigram[k][at]
-            out[k] = -np.log((seen + self.settings.prior * p1) / (np.maximum(self.unigram[k][before], seen) + self.settings.prior))
-        return out
+    docs: DataFrame
+    marked: DataFrame
 
     def score(self, text: str) -> tuple[int, float, float]:
         """(tokens, mean target loss, mean background loss); the first token counts by its unigram."""
-        ids = numbered(text, self.number)
-        if not len(ids):
-            return 0, 0.0, 0.0
-        first = [-np.log((self.unigram[k][ids[0]] + 1) / (self.unigram[k].sum() + self.settings.words)) for k in (0, 1)]
-        rest = self.losses(ids).sum(1) if len(ids) > 1 else np.zeros(2)
-        return len(ids), float((first[1] + rest[1]) / len(ids)), float((first[0] + rest[0]) / len(ids))
+        r = scored(self.docs.sparkSession.createDataFrame([(0, text)], "doc_id long, text string"), self).first()
+        return r["n_tokens"], r["target_loss"], r["background_loss"]
 
 
 def fit(docs: DataFrame, targets: DataFrame, settings: Settings = Settings()) -> Models:
     """``targets``: ids (column doc_id) of the documents that stand for the target; all documents are the background."""
-    number = {w: k + 1 for k, w in enumerate(vocabulary(docs, settings))}
     ids = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    marked = joined_by_size(texts_of(docs), ids, "doc_id", "left", BROADCAST_IDS)
-    counts = counted(marked, number, settings)
-    counts[0] += counts[1]
-    return Models.of(counts, number, settings)
+    return Models(settings, docs, joined_by_size(texts_of(docs), ids, "doc_id", "left", BROADCAST_IDS))
 
 
 def scored(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every document; score is their difference."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for b in batches:
-            n, target, background = zip(*(m.score(t.as_py()) for t in b.column(1))) if b.num_rows else ((), (), ())
-            target, background = np.array(target, float), np.array(background, float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return texts_of(docs).mapInArrow(task, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    s, chars = models.settings, lambda d: d.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = chars(texts_of(models.docs))
+    slices = -(-n // SLICE_CHARS) or 1
+    rows = dealt(models.marked, s, n)
+    if docs is models.docs:
+        asked = asking(rows, slices, True, True)
+    else:
+        counted = asking(rows, slices, True, False)
+        rows = dealt(texts_of(docs).withColumn("target", F.lit(False)), s, chars(texts_of(docs)))
+        asked = counted.unionByName(asking(rows, slices, False, True))
+
+    def task(d: pa.Table, t: pa.Table) -> pa.Table:
+        t = t.sort_by("slice")
+        tokens = Tokens.of(d.column("text"))
+        keys = np.unique(np.concatenate([tokens.word, tokens.bigram]))
+        word, bigram = np.searchsorted(keys, tokens.word), np.searchsorted(keys, tokens.bigram)
+        size = max(s.words, sum(t.column("words").to_pylist()) + 1)
+        loss = []
+        for k in "01":
+            n = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x.as_py()) for x in t.column(f"n{k}"))]).astype(np.float64)
+            if len(n) != len(keys):
+                raise ValueError("a block's totals don't fit its n-grams")
+            p = (n[word] + 1) / (sum(t.column(f"all{k}").to_pylist()) + size)
+            before, at = n[word[tokens.at - 1]], tokens.at
+            p[at] = (n[bigram] + s.prior * p[at]) / (before + s.prior)
+            loss.append(np.bincount(tokens.doc, -np.log(p), len(tokens.n)) / np.maximum(tokens.n, 1))
+        return pa.table({"doc_id": d.column("doc_id"), "n_tokens": tokens.n, "target_loss": loss[1], "background_loss": loss[0], "score": loss[1] - loss[0]})
+
+    return rows.groupBy("block").cogroup(answered(asked, slices).groupBy("block")).applyInArrow(task, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
