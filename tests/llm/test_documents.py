@@ -399,3 +399,21 @@ def test_lm_shuffles_where_targets_are_many(spark, docs, monkeypatch):
     expected = sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 9)) for r in lm.scored(docs, lm.fit(docs, targets)).collect())
     monkeypatch.setattr(lm, "BROADCAST_IDS", 0)
     assert sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 9)) for r in lm.scored(docs, lm.fit(docs, targets)).collect()) == expected
+
+
+def test_toxic_rows_go_by_their_own_text(spark):
+    clean, toxic = "plain words about the river", "plain words about the vileword"
+    rows = [(i, f"{toxic if i % 4 == 0 else clean} {i}") for i in range(400)]
+    more = [(None, toxic), (None, clean), (0, clean), (None, None)]
+    d = spark.createDataFrame(rows + more, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in toxicity.without_toxic(d, labels_of(spark, 400, lambda i: i % 4 == 0), label="y").collect())
+    assert got == Counter([(i, t) for i, t in rows + more if "vileword" not in (t or "")])
+
+
+def test_one_row_of_near_copies_stays(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a), (3, a), (3, a), (None, a), (None, b + " end"), (None, b), (7, c), (7, b + " tail"), (9, b), (None, None), (None, ""), (8, "alone"), (8, "other")]
+    out = ngramjoin.without_near_copies(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3))
+    assert out.columns == ["doc_id", "text", "source"]
+    expected = [(3, a), (7, c), (7, b + " tail"), (None, None), (None, ""), (8, "alone"), (8, "other")]
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(expected)

@@ -31,10 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, stored, texts_of, training_labels
+from .common import fold_of, small_enough, stored, texts_of, training_labels
 
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
@@ -252,9 +252,9 @@ def fit(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings()) -
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, evidence_ids, evidence_terms) of every document."""
+    """(doc_id, version, score, evidence_ids, evidence_terms) of every document; ``version``: the hash of its text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, score double, evidence_ids array<long>, evidence_terms array<string>"
+    schema = "doc_id long, version long, score double, evidence_ids array<long>, evidence_terms array<string>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -268,9 +268,21 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 near_ids.append(m.index.ids[found[:3]].tolist() if len(found) else [])
                 best = np.argsort(-w, kind="stable")[:3] if len(found) else []
                 shared.append([names[at[i]] for i in best])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(near_ids, pa.list_(pa.int64())), pa.array(shared, pa.list_(pa.string()))], ["doc_id", "score", "evidence_ids", "evidence_terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score, pa.float64()), pa.array(near_ids, pa.list_(pa.int64())), pa.array(shared, pa.list_(pa.string()))], ["doc_id", "version", "score", "evidence_ids", "evidence_terms"])
 
-    return texts_of(docs).mapInArrow(task, schema)
+    return texts_of(docs).withColumn("version", version_of(F.col("text"))).mapInArrow(task, schema)
+
+
+def version_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, least: float = 0.5, settings: Settings = Settings()) -> DataFrame:
+    """``docs`` without the rows predicted 1; each row goes by its own text, whatever rows share its id or have none."""
+    judged = scored(docs, fit(docs, training_labels(labels, label, folds, held_out), settings))
+    gone = stored(judged.where(F.col("score") >= least).select(F.col("doc_id").alias("gone id"), F.col("version").alias("gone version")).distinct(), "toxicity-gone")
+    same = F.col("doc_id").eqNullSafe(F.col("gone id")) & (version_of(docs["text"]) == F.col("gone version"))
+    return docs.join(F.broadcast(gone) if small_enough(gone, 1_000_000) else gone, same, "left_anti")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, least: float = 0.5, settings: Settings = Settings()) -> DataFrame:
