@@ -417,3 +417,21 @@ def test_one_row_of_near_copies_stays(spark):
     assert out.columns == ["doc_id", "text", "source"]
     expected = [(3, a), (7, c), (7, b + " tail"), (None, None), (None, ""), (8, "alone"), (8, "other")]
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(expected)
+
+
+def test_mixing_many_sources_and_large_rates(spark, monkeypatch):
+    many = spark.range(24_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("s"), (F.col("id") % 21_000).cast("string")).alias("source"))
+    weights = mixing.tempered(many)
+    assert weights.count() == 21_000 and 22_000 < mixing.replicated(many, weights).count() < 26_000
+    for rate in (1_500.0, 30_000.5, 4e6):
+        at = [-3.0, -0.7, 0.0, 0.7, 3.0]  # normal quantiles
+        us = [0.0013498980316301, 0.2419636522230730, 0.5, 0.7580363477769270, 0.9986501019683699]
+        got = [r["n"] for r in spark.createDataFrame([(u,) for u in us], "u double").select(mixing.inverted(F.col("u"), F.lit(rate)).alias("n")).collect()]
+        near = [rate + z * rate**0.5 + (z * z - 1) / 6 for z in at]  # Cornish-Fisher
+        assert all(abs(n - x) < 1.5 for n, x in zip(got, near))
+        if rate < 2_000:
+            below = mixing.distribution(F.lit(rate))
+            assert got == [r["n"] for r in spark.createDataFrame([(u,) for u in us], "u double").select(mixing.copies(F.col("u"), below).alias("n")).collect()]
+    few = spark.createDataFrame([(1, "t", "a"), (2, "t", "b")], "doc_id long, text string, source string")
+    out = mixing.replicated(few, {"a": 1.0}, total=70_000.0)
+    assert out.select("copy").distinct().count() == out.count() > 69_000
