@@ -435,3 +435,9 @@ def test_mixing_many_sources_and_large_rates(spark, monkeypatch):
     few = spark.createDataFrame([(1, "t", "a"), (2, "t", "b")], "doc_id long, text string, source string")
     out = mixing.replicated(few, {"a": 1.0}, total=70_000.0)
     assert out.select("copy").distinct().count() == out.count() > 69_000
+
+
+def test_ngram_pairs_with_a_cluster_of_a_negative_id(spark):
+    rows = spark.createDataFrame([(g, i, 2, i) for g in (10, 11) for i in (-5, 4)], "g long, doc_id long, n long, grp long")
+    clusters = spark.createDataFrame([(-5, -5)], "node long, root long")
+    assert [tuple(r) for r in ngramjoin.occurrence_pairs(rows, clusters).collect()] == [(-5, 4)]
