@@ -3,7 +3,8 @@
 A target model and a background model of the same order and smoothing share one
 vocabulary: every distinct word of the corpus.  Both are bigram models with a Dirichlet
 prior on the unigram distribution, which is add-one smoothed over the distinct words and
-an unseen one (``words`` at least).  A document's score is the mean over its tokens of
+an unseen one (``words`` at least).  A word is a run of letters, digits and characters
+beyond ASCII, with A-Z lower-cased; any other character but white space stands alone.  A document's score is the mean over its tokens of
 (target loss - background loss); low scores look like the target.
 
 Every distinct word and bigram of every document is counted by itself, without a limit:
@@ -28,7 +29,6 @@ model is counted when documents are scored, once if these are the documents it w
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,9 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined_by_size, texts_of
-from .ngramjoin import WordHashes
+from .wordarrays import MARKS, STEP, blocks, mixed
 
-WORD = re.compile(r"\w+|[^\w\s]")
 #: Target ids up to which they are sent to every executor; beyond, texts are shuffled to them.
 BROADCAST_IDS = 4_000_000
 #: Characters in a slice's share of the texts.
@@ -72,11 +71,6 @@ def slice_start(k: int, slices: int) -> np.uint64:
     return np.uint64(-(-(k << 32) // slices) << 32)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 @dataclass
 class Tokens:
     """The tokens of a block's texts in one row: document of each, keys of the words (even) and of the bigrams (odd) that end at ``at``."""
@@ -89,17 +83,17 @@ class Tokens:
 
     @classmethod
     def of(cls, texts: pa.ChunkedArray) -> Tokens:
-        hashes, parts = WordHashes(), []
-        for t in texts:
-            words = WORD.findall(t.as_py().lower())
-            parts.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-        n = np.array([len(p) for p in parts], np.int64)
-        h = np.concatenate([np.zeros(0, np.uint64), *parts])
-        doc = np.repeat(np.arange(len(parts)), n)
+        n, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for c in texts.chunks:
+            for _, at, h in blocks(c, MARKS):
+                n.append(np.diff(at))
+                hashes.append(h)
+        n, h = np.concatenate(n), np.concatenate(hashes)
+        doc = np.repeat(np.arange(len(n)), n)
         at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
         one = np.uint64(1)
-        pair = h[at - 1] * np.uint64(0x9E3779B97F4A7C15) + mixed(h[at])
-        return cls(n, doc, mixed(h) & ~one, at, mixed(pair) | one)
+        pair = h[at - 1] * STEP + h[at]
+        return cls(n, doc, h & ~one, at, mixed(pair) | one)
 
 
 def dealt(marked: DataFrame, settings: Settings, chars: int) -> DataFrame:
