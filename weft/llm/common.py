@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, local mode) a temporary folder is
-    made and kept in the session's settings.
+    Only where that setting is absent and all work is done on this machine (tests, local
+    mode) a temporary folder is made and kept in the session's settings.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,11 +35,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     This cuts the lineage with a copy that survives lost executors, so a table
     that several later steps read is computed once.  The files belong to the
     application and lie under its id; delete that folder once results are out.
+    Steps that are over sooner are taken away by ``discarded``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_in = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_in)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_enough(df: DataFrame, most_rows: int) -> bool:
