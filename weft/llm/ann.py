@@ -7,9 +7,9 @@ has a bounded size and is built once.  Query vectors are cut into blocks; every
 block) is one group that searches the shard's graph, and the shards' lists are merged per
 query.  Every vector is in the index; nothing is sampled.
 
-Nearness is the inner product.  The graph sees vectors with one more coordinate that gives
-all of them the same length, which makes the inner product a distance; scores are taken
-on the original vectors in double precision.
+Nearness is the inner product.  The graph sees scaled vectors with one more coordinate that
+gives all of them the same length, which makes the inner product a distance; scores are
+taken on the original vectors in double precision.
 
 Equal vectors are one node with a list of ids, so thousands of copies neither disconnect
 the graph nor fill a result.
@@ -35,16 +35,19 @@ from .common import stored
 SHARD_ROWS = 16_384
 LEAST_SHARDS = 8
 BLOCK_QUERIES = 2_048
-M = 12
-EF_BUILD = 64
-EF_SEARCH = 160
+M = 16
+EF_BUILD = 96
+EF_SEARCH = 320
+#: Nodes inserted at once, at most; queries that walk the graph at once; nodes that each of them opens in a step.
+BATCH, ABREAST, OPENED = 256, 128, 6
 
 
 def same_length(x: np.ndarray) -> np.ndarray:
-    """float32 rows with one more coordinate that makes all norms equal."""
-    square = (x.astype(np.float64) ** 2).sum(1)
-    rest = np.sqrt(np.maximum(square.max(initial=0.0) - square, 0))
-    return np.concatenate([x, rest[:, None]], 1).astype(np.float32)
+    """float32 rows, scaled to a largest norm of one, with one more coordinate that makes all norms equal."""
+    x = x / max(np.abs(x).max(initial=0.0), np.finfo(np.float64).tiny)
+    square = (x**2).sum(1)
+    most = square.max(initial=0.0) or 1.0
+    return np.concatenate([x, np.sqrt(np.maximum(most - square, 0))[:, None]], 1).astype(np.float32) / np.float32(most**0.5)
 
 
 def levels_of(n: int) -> np.ndarray:
@@ -54,151 +57,166 @@ def levels_of(n: int) -> np.ndarray:
 
 
 class Graph:
-    """``links[l]``: places of node i's neighbours on level l in row ``row[l][i]``, -1 where unused."""
+    """``links[l]``: node i's neighbours on level l lie in row ``row[l][i]``; n, the number of nodes, marks an unused place.
+
+    Whole batches of queries walk the graph side by side, and whole batches of nodes are
+    inserted: each is linked to what the graph finds for it and to its nearest in the batch.
+    """
 
     def __init__(self, x: np.ndarray, levels: np.ndarray):
-        self.x, self.levels = x, levels
-        n, top = len(x), int(levels.max(initial=0))
-        self.row = [np.arange(n, dtype=np.int32)]
-        self.links = [np.full((n, 2 * M), -1, np.int32)]
-        for level in range(1, top + 1):
+        self.x = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
+        self.levels, self.n = levels, len(x)
+        self.row, self.links, self.entry = [], [], 0
+        for level in range(int(levels.max(initial=0)) + 1):
             own = np.flatnonzero(levels >= level)
-            row = np.full(n, -1, np.int32)
+            row = np.full(self.n + 1, len(own), np.int32)
             row[own] = np.arange(len(own))
             self.row.append(row)
-            self.links.append(np.full((len(own), M), -1, np.int32))
-        self.size = [np.zeros(len(a), np.int32) for a in self.links]
-        self.entry, self.stamp, self.turn = -1, np.zeros(n, np.int64), 0
-
-    def search(self, q: np.ndarray, starts: list[tuple[float, int]], ef: int, level: int) -> list[tuple[float, int]]:
-        """The ``ef`` best (similarity, node) found from ``starts``, best first."""
-        self.turn += 1
-        x, stamp, turn, links, row, size = self.x, self.stamp, self.turn, self.links[level], self.row[level], self.size[level]
-        best = list(starts)
-        heapq.heapify(best)
-        todo = [(-s, i) for s, i in starts]
-        heapq.heapify(todo)
-        for _, i in starts:
-            stamp[i] = turn
-        while todo:
-            s, i = heapq.heappop(todo)
-            if len(best) >= ef and -s < best[0][0]:
+            self.links.append(np.full((len(own) + 1, M if level else 2 * M), self.n, np.int32))
+
+    def search(self, q: np.ndarray, starts: np.ndarray, ef: int, level: int, opened: int = OPENED) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes and similarities of the ``ef`` best found for each row of ``q`` from its row of ``starts``, best first."""
+        found = [self._walk(q[a : a + ABREAST], starts[a : a + ABREAST], ef, level, min(opened, ef)) for a in range(0, len(q), ABREAST)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _walk(self, q: np.ndarray, starts: np.ndarray, ef: int, level: int, opened: int) -> tuple[np.ndarray, np.ndarray]:
+        links, row, none = self.links[level], self.row[level], np.float32(-np.inf)
+        ids = np.full((len(q), max(ef, starts.shape[1])), self.n, np.int32)
+        sims, unopened = np.full(ids.shape, none), np.zeros(ids.shape, np.bool_)
+        seen = np.zeros((len(q), self.n + 1), np.bool_)
+        seen[:, self.n] = True
+        ids[:, : starts.shape[1]] = starts
+        sims[:, : starts.shape[1]] = np.where(starts < self.n, (self.x[starts] * q[:, None]).sum(2), none)
+        unopened[:] = sims > none
+        np.put_along_axis(seen, starts.astype(np.int64), True, 1)
+        width, todo = ids.shape[1], np.arange(len(q))
+        while len(todo):
+            best = np.where(unopened[todo], sims[todo], none)
+            pick = np.argpartition(-best, opened - 1, 1)[:, :opened] if opened < width else np.tile(np.arange(width), (len(todo), 1))
+            value = np.take_along_axis(best, pick, 1)
+            live = value.max(1) > none
+            todo, pick, value = todo[live], pick[live], value[live]
+            if not len(todo):
                 break
-            r = row[i]
-            near = links[r, : size[r]]
-            near = near[stamp[near] != turn]
-            if not len(near):
-                continue
-            stamp[near] = turn
-            sims = x[near] @ q
-            if len(best) >= ef:
-                ok = sims > best[0][0]
-                near, sims = near[ok], sims[ok]
-            for v, j in zip(sims.tolist(), near.tolist()):
-                if len(best) < ef:
-                    heapq.heappush(best, (v, j))
-                elif v > best[0][0]:
-                    heapq.heapreplace(best, (v, j))
-                else:
-                    continue
-                heapq.heappush(todo, (-v, j))
-        return sorted(best, reverse=True)
-
-    def diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Best first, those nearer to the node than to one already taken; then the best of the rest."""
-        if len(found) <= most:
-            return [i for _, i in found]
-        nodes = np.array([i for _, i in found])
-        to = self.x[nodes]
-        among = to @ to.T
-        taken: list[int] = []
-        closest = np.full(len(nodes), -np.inf, np.float32)
-        sims = np.array([s for s, _ in found], np.float32)
-        for k in range(len(nodes)):
-            if sims[k] > closest[k]:
-                taken.append(k)
-                if len(taken) == most:
-                    break
-                np.maximum(closest, among[k], out=closest)
-        left = most - len(taken)
-        if left:
-            have = set(taken)
-            taken += [k for k in range(len(nodes)) if k not in have][:left]
-        return nodes[taken].tolist()
-
-    def connect(self, i: int, near: list[int], level: int) -> None:
-        links, row, size = self.links[level], self.row[level], self.size[level]
+            at = todo[:, None]
+            nodes = np.where(value > none, ids[at, pick], self.n)
+            unopened[at, pick] = False
+            near = np.sort(links[row[nodes]].reshape(len(todo), -1), 1)
+            new = ~seen[at, near]
+            new[:, 1:] &= near[:, 1:] != near[:, :-1]
+            seen[at, near] = True
+            r, c = np.nonzero(new)
+            v = np.full(near.shape, none)
+            v[r, c] = np.einsum("ij,ij->i", self.x[near[r, c]], q[todo[r]])
+            every, all_ids, all_open = np.concatenate([sims[todo], v], 1), np.concatenate([ids[todo], near], 1), np.concatenate([unopened[todo], new], 1)
+            keep = np.argpartition(-every, width - 1, 1)[:, :width]
+            sims[todo], ids[todo], unopened[todo] = (np.take_along_axis(z, keep, 1) for z in (every, all_ids, all_open))
+        order = np.argsort(-sims, 1, kind="stable")[:, :ef]
+        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        return np.where(sims > none, ids, self.n), sims
+
+    def diverse(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+        """``most`` of each row's candidates, which come best first: those nearer to the node than to one already taken, then the best of the rest."""
+        out = np.full((len(ids), most), self.n, np.int32)
+        for a in range(0, len(ids), BATCH):
+            i, s = ids[a : a + BATCH], sims[a : a + BATCH]
+            v = self.x[i]
+            among = v @ v.transpose(0, 2, 1)
+            there, closest = s > -np.inf, np.full(s.shape, np.float32(-np.inf))
+            taken, count = np.zeros(s.shape, np.bool_), np.zeros(len(s), np.int32)
+            for c in range(s.shape[1]):
+                ok = there[:, c] & (s[:, c] > closest[:, c]) & (count < most)
+                taken[:, c] = ok
+                count += ok
+                closest[ok] = np.maximum(closest[ok], among[ok, c])
+            rest = there & ~taken
+            taken |= rest & (np.cumsum(rest, 1) <= (most - taken.sum(1))[:, None])
+            first = np.argsort(~taken, 1, kind="stable")[:, :most]
+            out[a : a + BATCH, : first.shape[1]] = np.where(np.take_along_axis(taken, first, 1), np.take_along_axis(i, first, 1), self.n)
+        return out
+
+    def connect(self, nodes: np.ndarray, near: np.ndarray, level: int) -> None:
+        """Links ``nodes`` to their rows of ``near`` and back; a full list is cut to three quarters of its places."""
+        links, row = self.links[level], self.row[level]
         places = links.shape[1]
-        r = row[i]
-        links[r, : len(near)] = near
-        size[r] = len(near)
-        for j in near:
-            r = row[j]
-            if size[r] < places:
-                links[r, size[r]] = i
-                size[r] += 1
-                continue
-            others = np.append(links[r], i)
-            sims = self.x[others] @ self.x[j]
-            order = np.argsort(-sims, kind="stable")
-            kept = self.diverse(list(zip(sims[order].tolist(), others[order].tolist())), places * 3 // 4)
-            links[r] = -1
-            links[r, : len(kept)] = kept
-            size[r] = len(kept)
-
-    def add(self, i: int) -> None:
-        q, level = self.x[i], int(self.levels[i])
-        if self.entry < 0:
-            self.entry = i
+        links[row[nodes], : near.shape[1]] = near
+        src, dst = np.repeat(nodes, near.shape[1]), near.ravel()
+        src, dst = src[dst < self.n], dst[dst < self.n]
+        order = np.argsort(dst, kind="stable")
+        src, dst = src[order], dst[order]
+        own, first, count = np.unique(dst, return_index=True, return_counts=True)
+        if not len(own):
             return
-        top = int(self.levels[self.entry])
-        at = [(float(self.x[self.entry] @ q), self.entry)]
-        for k in range(top, level, -1):
-            at = self.search(q, at[:1], 1, k)
-        for k in range(min(top, level), -1, -1):
-            at = self.search(q, at, EF_BUILD, k)
-            self.connect(i, self.diverse(at, M), k)
-        if level > top:
-            self.entry = i
-
-    def nearest(self, q: np.ndarray, ef: int) -> list[int]:
-        at = [(float(self.x[self.entry] @ q), self.entry)]
+        of = np.repeat(np.arange(len(own)), count)
+        held = np.full((len(own), places + int(count.max())), self.n, np.int32)
+        held[:, :places] = links[row[own]]
+        known = (held[of, :places] == src[:, None]).any(1)
+        held[of, places + np.arange(len(dst)) - first[of]] = np.where(known, self.n, src)
+        full = (held < self.n).sum(1) > places
+        links[row[own[~full]]] = np.sort(held[~full], 1)[:, :places]
+        for a in range(0, int(full.sum()), BATCH):
+            j, h = own[full][a : a + BATCH], held[full][a : a + BATCH]
+            sims = np.where(h < self.n, (self.x[h] @ self.x[j][:, :, None])[:, :, 0], np.float32(-np.inf))
+            best = np.argsort(-sims, 1, kind="stable")
+            kept = self.diverse(np.take_along_axis(h, best, 1), np.take_along_axis(sims, best, 1), places * 3 // 4)
+            links[row[j]] = self.n
+            links[row[j], : kept.shape[1]] = kept
+
+    def nearest(self, q: np.ndarray, ef: int) -> np.ndarray:
+        """The nodes of the ``ef`` best found for each row of ``q``; n fills what is missing."""
+        at = np.full((len(q), 1), self.entry)
         for k in range(int(self.levels[self.entry]), 0, -1):
-            at = self.search(q, at[:1], 1, k)
-        return [i for _, i in self.search(q, at, ef, 0)]
+            at, _ = self.search(q, at, 4, k, 2)
+        return self.search(q, at, ef, 0)[0]
 
     @classmethod
     def build(cls, x: np.ndarray) -> Graph:
         g = cls(same_length(x), levels_of(len(x)))
-        for i in np.argsort(-g.levels, kind="stable").tolist():  # high levels first: upper levels are whole before the bulk comes
-            g.add(i)
+        nodes = np.argsort(-g.levels, kind="stable")  # high levels first: upper levels are whole before the bulk comes
+        g.entry, done, top = int(nodes[0]), 1, int(g.levels.max(initial=0))
+        while done < g.n:
+            level = int(g.levels[nodes[done]])
+            batch = nodes[done : done + max(1, min(BATCH, done // 2))]
+            batch = batch[g.levels[batch] == level]
+            q, at = g.x[batch], np.full((len(batch), 1), g.entry)
+            own = q @ q.T
+            np.fill_diagonal(own, -np.inf)
+            best = np.argsort(-own, 1, kind="stable")[:, :M]
+            mine, mine_sims = np.where(np.take_along_axis(own, best, 1) > -np.inf, batch[best], g.n), np.take_along_axis(own, best, 1)
+            for k in range(top, level, -1):
+                at, _ = g.search(q, at, 1, k, 1)
+            for k in range(level, -1, -1):
+                at, sims = g.search(q, at, EF_BUILD, k)
+                every, every_sims = np.concatenate([at, mine], 1), np.concatenate([sims, mine_sims], 1)
+                order = np.argsort(-every_sims, 1, kind="stable")
+                g.connect(batch, g.diverse(np.take_along_axis(every, order, 1), np.take_along_axis(every_sims, order, 1), M), k)
+            done += len(batch)
         return g
 
     def flat(self) -> dict[str, bytes | list[bytes] | int]:
-        return {"entry": self.entry, "levels": self.levels.tobytes(), "links": [a.tobytes() for a in self.links], "sizes": [a.tobytes() for a in self.size]}
+        return {"entry": self.entry, "levels": self.levels.tobytes(), "links": [a.tobytes() for a in self.links]}
 
     @classmethod
-    def from_flat(cls, x: np.ndarray, entry: int, levels: bytes, links: list[bytes], sizes: list[bytes]) -> Graph:
+    def from_flat(cls, x: np.ndarray, entry: int, levels: bytes, links: list[bytes]) -> Graph:
         g = cls(same_length(x), np.frombuffer(levels, np.int32))
         g.entry = entry
         g.links = [np.frombuffer(b, np.int32).reshape(a.shape) for b, a in zip(links, g.links)]
-        g.size = [np.frombuffer(b, np.int32) for b in sizes]
         return g
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, dim, v) of the vectors that take part, one row an id."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and size(v) > 0")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
     sound = rows.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
     return sound.groupBy("id").agg(F.min("v").alias("v")).select("id", F.size("v").alias("dim"), "v")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-INDEX = "dim int, shard int, vectors binary, start binary, ids binary, entry int, levels binary, links array<binary>, sizes array<binary>"
+INDEX = "dim int, shard int, vectors binary, start binary, ids binary, entry int, levels binary, links array<binary>"
 
 
 def index_of(points: DataFrame, n_shards: int) -> DataFrame:
@@ -212,7 +230,7 @@ def index_of(points: DataFrame, n_shards: int) -> DataFrame:
         start = np.r_[0, np.cumsum(np.bincount(node.ravel(), minlength=len(distinct)))].astype(np.int64)
         g = Graph.build(distinct).flat()
         row = {"dim": dim, "shard": key[1].as_py(), "vectors": distinct.tobytes(), "start": start.tobytes(), "ids": ids[order].astype(np.int64).tobytes(), **g}
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.binary())]
         return pa.table({k: pa.array([v], kind) for (k, v), kind in zip(row.items(), kinds)})
 
     return points.withColumn("shard", shard_of(n_shards)).groupBy("dim", "shard").applyInArrow(build, INDEX)
@@ -234,13 +252,14 @@ def search(index: DataFrame, queries: DataFrame, n_shards: int, k: int, n_blocks
         if shard.num_rows and asked.num_rows:
             dim = key[0].as_py()
             at = {c: shard.column(c)[0].as_py() for c in shard.column_names}
-            x = np.frombuffer(at["vectors"], np.float32).reshape(-1, dim)
+            x = np.frombuffer(at["vectors"], np.float64).reshape(-1, dim)
             start, ids = np.frombuffer(at["start"], np.int64), np.frombuffer(at["ids"], np.int64)
-            g = Graph.from_flat(x, at["entry"], at["levels"], at["links"], at["sizes"])
-            for q, mine in zip(matrix(asked.column("v"), dim), asked.column("id").to_pylist()):
-                nodes = g.nearest(np.append(q, np.float32(0)), ef)
-                scores = x[nodes].astype(np.float64) @ q.astype(np.float64)
-                found = [(-s, i) for s, node in zip(scores.tolist(), nodes) for i in ids[start[node] : min(start[node + 1], start[node] + k + 1)].tolist() if i != mine]
+            g = Graph.from_flat(x, at["entry"], at["levels"], at["links"])
+            q = matrix(asked.column("v"), dim)
+            walking = np.concatenate([q / np.abs(q).max(1, keepdims=True), np.zeros((len(q), 1))], 1).astype(np.float32)
+            for v, mine, nodes in zip(q, asked.column("id").to_pylist(), g.nearest(walking, ef)):
+                nodes = nodes[nodes < g.n]
+                found = [(-s, i) for s, node in zip((x[nodes] @ v).tolist(), nodes.tolist()) for i in ids[start[node] : min(start[node + 1], start[node] + k + 1)].tolist() if i != mine]
                 for s, i in heapq.nsmallest(k, found):
                     out["query_id"].append(mine)
                     out["vec_id"].append(i)
