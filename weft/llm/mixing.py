@@ -116,8 +116,14 @@ def replicated(docs: DataFrame, targets: dict[str, float] | DataFrame | None, to
 
 
 def shuffled(rows: DataFrame) -> DataFrame:
-    """``rows`` in the random order of ``order_key`` over all partitions."""
-    return rows.repartitionByRange("order_key").sortWithinPartitions("order_key")
+    """``rows`` in the random order of ``order_key`` over all partitions.
+
+    The key is uniform on [0, 2**60), so a row's range is plain arithmetic and the rows need
+    not be sampled for it; their number is the session's number of shuffle partitions.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.shiftright(F.shiftright("order_key", 28) * F.lit(n).cast("long"), 32)
+    return rows.repartitionById(n, place.cast("int")).sortWithinPartitions("order_key")
 
 
 def mixed(docs: DataFrame, targets: dict[str, float] | DataFrame | None, total: float = 1.0, other: float = 0.0, seed: str = "mix") -> DataFrame:
