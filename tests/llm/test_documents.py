@@ -131,6 +131,14 @@ def test_line_dedup_shuffles_where_bitmaps_are_large(docs, monkeypatch):
     assert Counter(map(tuple, linededup.digests(docs).collect())) == expected
 
 
+def test_line_dedup_judges_hot_keys_where_they_lie(docs, empty, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT_LINES", 1)
+    assert Counter(map(tuple, linededup.digests(docs).collect())) == brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    monkeypatch.setattr(linededup, "BROADCAST_KEYS", 0)
+    assert Counter(map(tuple, linededup.digests(docs).collect())) == brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert linededup.digests(empty).count() == 0
+
+
 def test_line_dedup_keeps_columns(docs):
     out = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -234,7 +242,12 @@ def test_mixing_inverts_the_distribution(spark):
 def test_mixing_edge_cases(docs, empty):
     assert mixing.mixed(empty, None).count() == 0
     out = mixing.mixed(docs, None, total=2.0)
-    assert set(docs.columns) <= set(out.columns) and out.where("source is null").count() >= 0
+    assert set(docs.columns) <= set(out.columns)
+    rate_of_null = mixing.rates(docs, None, total=2.0).where("source is null").first()["rate"]
+    drawn = out.where("source is null").count()
+    u = int(hashlib.sha256(b"mix:").hexdigest()[:13], 16) / 2**52
+    below = np.cumsum([np.exp(-2.0), 2 * np.exp(-2.0), 2 * np.exp(-2.0), 4 / 3 * np.exp(-2.0), 2 / 3 * np.exp(-2.0)])
+    assert rate_of_null == 2.0 and drawn == int((below <= u).sum())
 
 
 # --- scores --------------------------------------------------------------------------------
@@ -373,11 +386,33 @@ def test_lm_counts_every_word_and_bigram(spark, monkeypatch):
 def test_licences_found_and_left_alone(spark, docs, empty):
     rows = [(1, "Intro\nReleased under the MIT License."), (2, "This work is licensed under the GNU General Public License, version 3.\nmore"), (3, "Her driver license was renewed.\nnothing here"), (4, "Licensed under CC BY-NC 4.0. and then words follow"), (5, "Licensed under the Apache License, Version 2.0.")]
     got = {(r["doc_id"], r["paragraph"]): r["family"] for r in licences.scanned(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect()}
-    assert got == {(1, 1): "MIT", (2, 0): "GPL", (3, 0): "unknown", (4, 0): "CC-BY-NC", (5, 0): "Apache"}
+    assert got == {(1, 0): "MIT", (2, 0): "GPL", (4, 0): "CC-BY-NC", (5, 0): "Apache"}
     assert licences.scanned(docs).where("family <> 'unknown'").count() == 0
     assert licences.scanned(empty).count() == 0
 
 
+def test_licences_wrapped_over_lines_and_without_anchor_words(spark):
+    texts = [
+        "Copyright 2020\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\nEnd",
+        "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "# SPDX-License-Identifier: MIT",
+        " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License",
+        " ".join(f"w{k}" for k in range(3000)) + " Licensed under the Apache License, Version 2.0. " + " ".join(f"v{k}" for k in range(3000)),
+        "The library is open to the public and the driver showed a license at the gate.",
+    ]
+    rows = licences.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("family <> 'unknown'").collect()
+    assert {(r["doc_id"], r["family"]) for r in rows} == {(0, "BSD"), (1, "MPL"), (2, "MIT"), (3, "GPL"), (4, "Apache")}
+
+
+def test_licence_probabilities_are_calibrated():
+    m = licences.trained()
+    found = [(m.probabilities(licences.grams(w)), y) for w, y in licences.examples(4, 11)]
+    sure = np.array([p.max() for p, _ in found])
+    right = np.array([p.argmax() == y for p, y in found])
+    assert right.mean() > 0.95 and abs(sure.mean() - right.mean()) < 0.03
+    assert np.mean([p[0] for p, y in found if y == 0]) > 0.9
+
+
 def test_licence_scores_equal_the_model(spark):
     m = licences.trained()
     text = "Use of this source code is governed by a BSD-style license that can be found in the file"
