@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["similarity", "relations", "texts", "knowledge"]
+MODULES = ["similarity", "relations", "texts", "knowledge", "records"]
 
 
 def _load() -> None:
