@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["similarity", "relations", "texts", "knowledge", "records"]
+MODULES = ["similarity", "relations", "texts", "knowledge", "records", "lookups"]
 
 
 def _load() -> None:
