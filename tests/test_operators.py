@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft import plans
-from weft.operators import evaluation, linkage, ranking, relational, retrieval
+from weft.functions import notes
+from weft.operators import entities, evaluation, linkage, ranking, relational, retrieval
 from weft.sources import files
 from weft.streaming import streams
 
@@ -71,9 +72,11 @@ def test_entity_dedup_is_idempotent():
 
 
 def test_link_cascade_order(spark):
-    a = spark.createDataFrame([(1, 1, "red pill", "Medication", "E9"), (1, 2, "blue  Pill", "Medication", None), (1, 3, "green pills", "Medication", None), (1, 4, "nothing", "Medication", None)], "visit long, atom_id long, concept string, kind string, ref_id string")
-    m = spark.createDataFrame([(1, "E9", "other", "Procedure", 9), (1, "E1", "blue pill", "Preventive", 1), (1, "E2", "green pill", "Medication", 2)], "visit long, entity_id string, name string, kind string, pos long")
-    assert rows(linkage.link_cascade(a, m)) == [(1, "E9", 0), (2, "E1", 2), (3, "E2", 4)]
+    atoms = [(1, "red pill", "E9", None), (2, "blue  Pill", None, None), (3, "green pills", None, None), (4, "nothing", None, None), (5, "other", None, 7), (6, "Brand X", None, None), (7, "easotic ear drops", None, None), (8, "amoxicilin tablet", None, None), (9, "scan", None, None)]
+    a = spark.createDataFrame([(1, i, c, "Medication", r, x) for i, c, r, x in atoms], "visit long, atom_id long, concept string, kind string, ref_id string, local_id long")
+    rows_of = [("E9", "odd", "", "Procedure", 9, None), ("E1", "blue pill", "", "Preventive", 1, None), ("E2", "green pill", "", "Medication", 2, None), ("E3", "third", "", "Anatomy", 3, 7), ("E4", "fourth", "brand x", "Vaccine", 4, None), ("E5", "easotic 10ml", "", "Drug", 5, 8), ("E6", "amoxycillin tablet", "", "Drug", 6, 9), ("E7", "scan", "", "LabTest", 7, 3)]
+    m = spark.createDataFrame([(1, *r) for r in rows_of], "visit long, entity_id string, name string, display string, kind string, pos long, local_id long")
+    assert rows(linkage.link_cascade(a, m)) == [(1, "E9", 0), (2, "E1", 5), (3, "E2", 5), (5, "E3", 1), (6, "E4", 4), (7, "E5", 6), (8, "E6", 8)]
 
 
 def test_flags_and_gate(spark):
@@ -142,3 +145,29 @@ def test_stable_prefix_stream(spark, tmp_path):
 def test_every_query_is_registered_once():
     names = list(plans.queries())
     assert len(names) == len(set(names)) > 70 and set(plans.oracle_sql()) <= set(names)
+
+
+def test_gates_and_picks(spark):
+    c = spark.createDataFrame([(1, "Scan", "scan", 0.5, "local", 0.95, False), (1, "Scan", "scan", 0.9, "global", 0.95, False), (2, "dental panel", "panel of teeth", 0.4, "local", 0.5, False), (2, "rest", "panel of teeth", 0.9, "local", 0.99, False)], "mention long, name string, term string, score double, source string, certainty double, is_form boolean")
+    assert [(r["mention"], r["source"]) for r in entities.fast_tracked(c).collect()] == [(1, "local")]
+    assert sorted((r["mention"], r["name"], r["step"]) for r in entities.safe_context(c, []).collect()) == [(1, "Scan", 1), (2, "dental panel", 3)]
+    assert [r["name"] for r in entities.forced_first(c, F.col("name") == "dental panel", 1).where("mention = 2").collect()] == ["dental panel"]
+    assert entities.where_given(c, "mention", None).count() == 4 and entities.where_given(c, "mention", 2).count() == 2 and entities.where_given(c, "none", 2).count() == 4
+    x = entities.with_presenting(spark.createDataFrame([("Symptom", ["presenting_complaint"]), ("ReasonForVisit", ["presenting_complaint"]), ("Diet", [])], "kind string, roles array<string>"))
+    assert sorted(r["kind"] for r in x.collect()) == ["Diet", "ReasonForVisit", "ReasonForVisit", "Symptom"]
+
+
+def test_names_go_in_as_whole_words(spark):
+    pairs = [("a.b", "dot"), ("", "x"), (None, "y"), ("dot", "$1")]
+    df = spark.createDataFrame([("A.b and axb, dot dots", pairs)], "t string, p array<struct<found:string,name:string>>")
+    assert df.select(notes.with_names(F.col("t"), F.col("p"))).first()[0] == "$1 and axb, $1 dots"
+
+
+def test_notes_edge_cases(spark):
+    df = spark.createDataFrame([(None,), ("",), ("no heading",), ("PLAN: x\nplan: y\n\nObjective :\n z ",)], "t string")
+    got = [r[0] for r in df.select(notes.sections(F.col("t"), ["Objective", "Plan"], "Objective")).collect()]
+    assert got == [None, None, {"Objective": "no heading"}, {"Objective": "z", "Plan": "x"}]
+    lines = spark.createDataFrame([(["", "Reminder to rest", "rest", "the", "an"],), ([],)], "l array<string>")
+    assert [r[0] for r in lines.select(notes.without_near_duplicates(F.col("l"))).collect()] == [["rest", "the", "an"], []]
+    assert [r[0] for r in df.select(notes.signalment_of(F.col("t"))).collect()] == ["", "", "", "Patient: Objective"]
+    assert [tuple(r[0]) for r in df.select(notes.summary_and_rest(notes.with_summary(F.col("t"), F.lit(" s ")))).collect()] == [("s", ""), ("s", ""), ("s", "no heading"), ("s", "PLAN: x\nplan: y\n\nObjective :\n z")]

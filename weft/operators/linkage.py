@@ -10,16 +10,28 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from .relational import best_per_key
 
 SECTION_RANK = ["Plan", "Assessment", "Subjective", "Objective"]
-# Which manifest kinds an atom kind may be linked to (not symmetric).
-COMPATIBLE = [("medication", "preventive"), ("medication", "parasitecontrol"), ("procedure", "diagnostic"), ("procedure", "preventive"), ("diagnostic", "procedure"), ("preventive", "medication"), ("reminder", "procedure"), ("reminder", "medication")]
-FORM_WORDS = "tablet|capsule|syrup|injection|spray|drops|ointment|shampoo|powder|gel|cream"
+# Which kinds of manifest rows an atom's kind may be linked to, besides its own.
+DRUGS = ["drug", "medicine", "medication", "substance", "supplement"]
+PREVENTION = ["vaccine", "preventive", "parasitecontrol"]
+SERVICES = ["procedure", "service", "treatment", "diagnostic"]
+TESTS = ["diagnostic", "labtest", "diagnostictest", "procedure", "service"]
+FITTING = (
+    {k: [*DRUGS, *PREVENTION, "nutrition"] for k in DRUGS}
+    | {k: [*DRUGS, *PREVENTION] for k in PREVENTION}
+    | {"nutrition": [*DRUGS, "nutrition"]}
+    | {k: SERVICES for k in ("procedure", "service", "treatment")}
+    | {k: TESTS for k in ("diagnostic", "labtest", "diagnostictest")}
+)
+# Words that tell no product apart, and words for its form.
+UNTELLING = ["the", "and", "for", "with", "from", "ear", "eye", "drops", "tablet", "capsule", "syrup", "injection", "mg", "ml", "tab", "caps"]
+FORMS = ["capsule", "capsules", "tablet", "tablets", "tab", "tabs", "syrup", "inj", "injection", "drops"]
 
 
 def same_entity(a: dict, b: dict, within: int) -> bool:
@@ -109,35 +121,54 @@ def similar_clusters(rows: DataFrame, visit: str, least: float = 0.9) -> DataFra
 def kinds_fit(atom: Column, manifest: Column) -> Column:
     a, m = F.lower(atom), F.lower(manifest)
     fits = a == m
-    for x, y in COMPATIBLE:
-        fits = fits | ((a == x) & (m == y))
+    for kind, others in FITTING.items():
+        fits = fits | ((a == kind) & m.isin(others))
     return fits
 
 
-def link_cascade(atoms: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(atom_id, entity_id, strategy): the first strategy that finds an entity, its earliest entity.
+def link_cascade(atoms: DataFrame, manifest: DataFrame, least: float = 0.72, margin: float = 0.08) -> DataFrame:
+    """(atom_id, entity_id, strategy): the first strategy that finds an entity of the visit, its earliest entity.
 
-    ``atoms``: visit, atom_id, concept, kind, ref_id; ``manifest``: visit, entity_id, name,
-    kind, pos.  Strategies: 0 the entity id; 1 equal name and kind; 2 equal name, fitting
-    kind; 3 two shared words of three letters or more, fitting kind; 4 edit ratio of 0.72
-    or more with a fitting kind.  Each is an equi-join on the visit and a key where it has one.
+    ``atoms``: visit, atom_id, concept, kind, ref_id, local_id; ``manifest``: visit, entity_id,
+    name, display, kind, pos, local_id.  Strategies: 0 the entity id; 1 the local id; 2 an equal
+    name (or display name) and kind; 3 an equal name of a row with a local id, fitting kind; 4 an
+    equal name or display name, fitting kind; 5 one name inside the other or two shared words,
+    fitting kind; 6 a shared telling word of a row with a local id, fitting kind; 7 one name inside
+    the other, same kind, with a local id; 8 an edit ratio of ``least``, ``margin`` above the next
+    one, where both name a form, fitting kind, with a local id.
+
+    Strategies 0 to 4 are equi-joins on the visit and a key.  Only what they leave is compared
+    with its visit's rows, once for all other strategies.
     """
-    a = atoms.withColumn("n", text.squeeze(F.lower("concept")))
-    m = manifest.select("visit", "entity_id", "pos", F.col("kind").alias("m_kind"), text.squeeze(F.lower("name")).alias("m_n")).distinct()
-    fit = kinds_fit(F.col("kind"), F.col("m_kind"))
-    pick = lambda df, s: df.select("atom_id", "entity_id", "pos", F.lit(s).alias("strategy"))
-    by_id = pick(a.join(m, (a["visit"] == m["visit"]) & (a["ref_id"] == m["entity_id"])), 0)
-    named = a.join(m, (a["visit"] == m["visit"]) & (F.col("n") == F.col("m_n")))
-    exact = pick(named.where(F.lower("kind") == F.lower("m_kind")), 1)
-    compatible = pick(named.where(fit), 2)
-    tokens = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3))
-    x = a.select("visit", "atom_id", "kind", F.explode(tokens(F.col("n"))).alias("w"))
-    y = m.select("visit", "entity_id", "pos", "m_kind", "m_n", F.explode(tokens(F.col("m_n"))).alias("w"))
-    words = x.join(y, ["visit", "w"]).where(fit).groupBy("atom_id", "entity_id", "pos", "m_kind", "m_n").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
-    ratio = 1 - F.levenshtein("n", "m_n") / F.greatest(F.length("n"), F.length("m_n"), F.lit(1))
-    near = a.join(m, "visit").where(fit & (F.abs(F.length("n") - F.length("m_n")) <= 0.28 * F.greatest(F.length("n"), F.length("m_n"))) & (ratio >= 0.72))
-    found = by_id.unionByName(exact).unionByName(compatible).unionByName(pick(words, 3)).unionByName(pick(near, 4))
-    return best_per_key(found, ["atom_id"], F.asc("strategy"), F.asc("pos"), F.asc("entity_id")).select("atom_id", "entity_id", "strategy")
+    plain = lambda c: text.squeeze(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\w\s]", ""))
+    lowered = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    a = atoms.select("visit", "atom_id", "kind", F.col("ref_id").alias("ref"), F.col("local_id").alias("a_local"), lowered(F.col("concept")).alias("n"), plain(F.col("concept")).alias("p"))
+    m = manifest.select("visit", "entity_id", "pos", F.col("kind").alias("m_kind"), F.col("local_id").alias("m_local"), lowered(F.col("name")).alias("m_n"), lowered(F.col("display")).alias("m_d"), plain(F.col("name")).alias("m_p")).distinct()
+    fit, same = kinds_fit(F.col("kind"), F.col("m_kind")), F.lower("kind") == F.lower("m_kind")
+    first = lambda df: best_per_key(df.where("strategy is not null"), ["atom_id"], F.asc("strategy"), F.asc("pos"), F.asc("entity_id")).select("atom_id", "entity_id", "strategy")
+    pick = lambda df, s: df.select("atom_id", "entity_id", "pos", (F.lit(s) if isinstance(s, int) else s).alias("strategy"))
+    by_id = pick(a.join(m, (a["visit"] == m["visit"]) & (a["ref"] == m["entity_id"])), 0)
+    by_local = pick(a.join(m, (a["visit"] == m["visit"]) & (a["a_local"] == m["m_local"])), 1)
+    surfaces = m.withColumn("surface", F.explode(F.array_distinct(F.array("m_n", "m_d")))).where("surface <> ''")
+    named = a.join(surfaces, (a["visit"] == surfaces["visit"]) & (a["n"] == surfaces["surface"]))
+    by_name = pick(named, F.when(same, 2).when(fit & F.col("m_local").isNotNull() & (F.col("surface") == F.col("m_n")), 3).when(fit, 4))
+    sure = first(by_id.unionByName(by_local).unionByName(by_name))
+
+    left = a.join(sure, "atom_id", "left_anti").where("p <> ''")
+    pairs = left.join(m, "visit").where(fit & (F.col("m_p") != ""))
+    tokens = lambda c, few: F.array_except(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= few)), F.array(*map(F.lit, UNTELLING)))
+    telling = F.when(F.size(tokens(F.col("p"), 4)) > 0, tokens(F.col("p"), 4)).otherwise(tokens(F.col("p"), 3))
+    inside = F.contains("p", F.col("m_p")) | F.contains("m_p", F.col("p"))
+    two = F.size(F.array_intersect(F.array_distinct(F.split("p", " ")), F.array_distinct(F.split("m_p", " ")))) >= 2
+    known = F.col("m_local").isNotNull()
+    loose = F.when(inside | two, 5).when(known & F.arrays_overlap(telling, tokens(F.col("m_p"), 3)), 6).when(known & same & inside, 7)
+    formed = lambda c: c.rlike("|".join(FORMS))
+    ratio = 1 - F.levenshtein("p", "m_p") / F.greatest(F.length("p"), F.length("m_p"))
+    scored = pairs.withColumn("strategy", loose).withColumn("ratio", F.when(known & formed(F.col("n")) & formed(F.col("m_n")), ratio))
+    order = Window.partitionBy("atom_id").orderBy(F.desc_nulls_last("ratio"), F.asc("pos"), F.asc("entity_id"))
+    ranked = scored.withColumn("place", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("ratio").over(order), F.lit(0.0)))
+    stitched = F.when((F.col("place") == 1) & (F.col("ratio") >= least) & (F.col("ratio") - F.col("next") >= margin), 8)
+    return sure.unionByName(first(pick(ranked, F.coalesce("strategy", stitched))))
 
 
 def uncovered(issues: DataFrame, medicines: DataFrame, stop: list[str]) -> DataFrame:

@@ -268,19 +268,33 @@ def entity_dedup(spark, sf_dir):
     return linkage.entity_dedup(rows, "doc_id").select("doc_id", "kind", "name", "start", "mentions")
 
 
-@query("""
-WITH a AS (SELECT o_custkey AS visit, o_orderkey AS atom_id, p_name AS n, CASE WHEN o_orderstatus = 'F' THEN 'Medication' ELSE 'Procedure' END AS kind, CASE WHEN o_orderkey % 11 = 0 THEN 'E' || o_orderkey END AS ref FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)),
-m AS (SELECT l_orderkey % (SELECT count(*) FROM customer) AS visit, 'E' || l_orderkey AS entity_id, l_linenumber AS pos, p_name AS n, CASE WHEN l_linestatus = 'F' THEN 'Medication' ELSE 'Diagnostic' END AS kind FROM lineitem JOIN part ON p_partkey = l_partkey),
-c AS (SELECT a.atom_id, m.entity_id, m.pos, CASE WHEN a.ref = m.entity_id THEN 0 WHEN a.n = m.n AND a.kind = m.kind THEN 1 WHEN a.n = m.n AND (a.kind, m.kind) IN (('Medication','Medication'),('Procedure','Diagnostic')) THEN 2
- WHEN (a.kind, m.kind) IN (('Medication','Medication'),('Procedure','Diagnostic')) AND len(list_intersect(list_filter(string_split(a.n, ' '), lambda w: length(w) >= 3), list_filter(string_split(m.n, ' '), lambda w: length(w) >= 3))) >= 2 THEN 3
- WHEN (a.kind, m.kind) IN (('Medication','Medication'),('Procedure','Diagnostic')) AND abs(length(a.n) - length(m.n)) <= 0.28 * greatest(length(a.n), length(m.n)) AND 1 - levenshtein(a.n, m.n) / greatest(length(a.n), length(m.n), 1) >= 0.72 THEN 4 END AS strategy FROM a JOIN m ON a.visit = m.visit)
+PLAIN = lambda c: f"trim(regexp_replace(regexp_replace(lower({c}), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+TELLING = lambda c, few: f"list_filter(string_split({c}, ' '), lambda w: length(w) >= {few} AND NOT list_contains({linkage.UNTELLING}, w))"
+
+
+@query(f"""
+WITH a AS (SELECT o_custkey AS visit, o_orderkey AS atom_id, CASE WHEN o_orderkey % 3 = 0 THEN substr(p_name, 1, 4) || 'x' || substr(p_name, 5) || ' tablet' WHEN o_orderkey % 3 = 1 THEN p_name ELSE substr(p_name, 2, 5) END AS n, CASE WHEN o_orderstatus = 'F' THEN 'Medication' ELSE 'Procedure' END AS kind,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'E' || o_orderkey END AS ref, CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey % 7 END AS local FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)),
+m AS (SELECT DISTINCT l_orderkey % (SELECT count(*) FROM customer) AS visit, 'E' || l_orderkey AS entity_id, l_linenumber AS pos, lower(p_name || CASE WHEN l_linenumber % 3 = 0 THEN ' tablet' ELSE '' END) AS n, lower(p_brand) AS d, CASE WHEN l_linestatus = 'F' THEN 'Drug' ELSE 'Diagnostic' END AS kind, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey % 7 END AS local FROM lineitem JOIN part ON p_partkey = l_partkey),
+j AS (SELECT a.atom_id, m.entity_id, m.pos, a.ref, a.local AS al, m.local AS ml, lower(a.n) AS n, m.n AS mn, m.d AS md, a.kind = m.kind AS same, (a.kind, m.kind) IN (('Medication', 'Drug'), ('Procedure', 'Diagnostic')) AS fit, {PLAIN("a.n")} AS p, {PLAIN("m.n")} AS mp FROM a JOIN m ON a.visit = m.visit),
+k AS (SELECT *, CASE WHEN ml IS NOT NULL AND fit AND regexp_matches(n, '{"|".join(linkage.FORMS)}') AND regexp_matches(mn, '{"|".join(linkage.FORMS)}') THEN 1 - levenshtein(p, mp) / greatest(length(p), length(mp)) END AS ratio FROM j),
+r AS (SELECT *, row_number() OVER w AS place, coalesce(lead(ratio) OVER w, 0) AS nxt FROM k WINDOW w AS (PARTITION BY atom_id ORDER BY ratio DESC NULLS LAST, pos, entity_id)),
+c AS (SELECT atom_id, entity_id, pos, CASE WHEN ref = entity_id THEN 0 WHEN al = ml THEN 1 WHEN (n = mn OR n = md) AND same THEN 2 WHEN n = mn AND fit AND ml IS NOT NULL THEN 3 WHEN (n = mn OR n = md) AND fit THEN 4
+ WHEN fit AND (contains(p, mp) OR contains(mp, p) OR len(list_intersect(list_distinct(string_split(p, ' ')), list_distinct(string_split(mp, ' ')))) >= 2) THEN 5
+ WHEN fit AND ml IS NOT NULL AND len(list_intersect(CASE WHEN len({TELLING("p", 4)}) > 0 THEN {TELLING("p", 4)} ELSE {TELLING("p", 3)} END, {TELLING("mp", 3)})) > 0 THEN 6
+ WHEN place = 1 AND ratio >= 0.72 AND ratio - nxt >= 0.08 THEN 8 END AS strategy FROM r)
 SELECT atom_id, entity_id, strategy FROM c WHERE strategy IS NOT NULL QUALIFY row_number() OVER (PARTITION BY atom_id ORDER BY strategy, pos, entity_id) = 1
 """)
 def link_cascade(spark, sf_dir):
+    """Atoms by id, local id, equal, contained, shared and alike names; names are misspelt, cut and given a form by turns."""
     part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
     n_part, n_cust = part.count(), table(spark, sf_dir, "customer").count()
-    a = orders.join(part, F.col("p_partkey") == F.col("o_orderkey") % n_part).select(F.col("o_custkey").alias("visit"), F.col("o_orderkey").alias("atom_id"), F.col("p_name").alias("concept"), F.when(F.col("o_orderstatus") == "F", "Medication").otherwise("Procedure").alias("kind"), F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("E"), F.col("o_orderkey").cast("string"))).alias("ref_id"))
-    m = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") % n_cust).alias("visit"), F.concat(F.lit("E"), F.col("l_orderkey").cast("string")).alias("entity_id"), F.col("l_linenumber").alias("pos"), F.col("p_name").alias("name"), F.when(F.col("l_linestatus") == "F", "Medication").otherwise("Diagnostic").alias("kind"))
+    k = F.col("o_orderkey")
+    concept = F.when(k % 3 == 0, F.concat(F.substring("p_name", 1, 4), F.lit("x"), F.expr("substring(p_name, 5)"), F.lit(" tablet"))).when(k % 3 == 1, F.col("p_name")).otherwise(F.substring("p_name", 2, 5))
+    a = orders.join(part, F.col("p_partkey") == k % n_part).select(F.col("o_custkey").alias("visit"), k.alias("atom_id"), concept.alias("concept"), F.when(F.col("o_orderstatus") == "F", "Medication").otherwise("Procedure").alias("kind"), F.when(k % 11 == 0, F.concat(F.lit("E"), k.cast("string"))).alias("ref_id"), F.when(k % 13 == 0, k % 7).alias("local_id"))
+    line = F.col("l_linenumber")
+    name = F.concat("p_name", F.when(line % 3 == 0, " tablet").otherwise(""))
+    m = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") % n_cust).alias("visit"), F.concat(F.lit("E"), F.col("l_orderkey").cast("string")).alias("entity_id"), line.alias("pos"), name.alias("name"), F.col("p_brand").alias("display"), F.when(F.col("l_linestatus") == "F", "Drug").otherwise("Diagnostic").alias("kind"), F.when(line % 2 == 0, F.col("l_partkey") % 7).alias("local_id"))
     return linkage.link_cascade(a, m)
 
 
