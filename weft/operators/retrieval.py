@@ -87,49 +87,55 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, t: Thresholds = DEFAULTS)
     return top_per_key(scored, ["query_id"], k, F.desc("score"), F.asc("doc_id"))
 
 
-def blocks(df: DataFrame, id_col: str, vector_col: str, n_blocks: int, side: str) -> DataFrame:
-    """(block, ids, values): vectors packed into one row a block."""
-    rows = df.where(F.size(vector_col) > 0).select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).alias(f"block_{side}"), F.struct(F.col(id_col).cast("long").alias("id"), vector.as_double(F.col(vector_col)).alias("v")).alias("r"))
+def blocks(df: DataFrame, id_col: str, vector_col: str, n_blocks: int, side: str, group_col: str | None = None) -> DataFrame:
+    """(block, rows): vectors, with a group, packed into one row a block, in order of their ids."""
+    group = F.col(group_col).cast("long") if group_col else F.lit(0).cast("long")
+    row = F.struct(F.col(id_col).cast("long").alias("id"), vector.as_double(F.col(vector_col)).alias("v"), group.alias("g"))
+    rows = df.where(F.size(vector_col) > 0).select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).alias(f"block_{side}"), row.alias("r"))
     return rows.groupBy(f"block_{side}").agg(F.sort_array(F.collect_list("r")).alias(f"rows_{side}"))
 
 
-def exact_knn(queries: DataFrame, points: DataFrame, id_col: str, vector_col: str, k: int, metric: str = "cosine", block_rows: int = 2048) -> DataFrame:
-    """(query_id, id, score, rank): exact nearest neighbours, a query's own id left out.
+def exact_knn(queries: DataFrame, points: DataFrame, id_col: str, vector_col: str, k: int, metric: str = "cosine", block_rows: int = 2048, group_col: str | None = None) -> DataFrame:
+    """(query_id, group, id, score, rank): the ``k`` nearest points of every query, itself left out; with ``group_col`` the ``k`` nearest of each group.
 
-    Both sides are packed into blocks of about ``block_rows`` vectors; every pair of blocks
-    is one matrix product that keeps its k best a query, and a window merges them.
+    Both sides are packed into blocks of bounded size; a pair of blocks is one matrix product
+    that keeps its k best a query and group, and a window merges them.
     ``metric``: cosine (greater is nearer) or l2 (smaller is nearer, returned as negative).
     """
     n_q, n_p = (max(1, -(-df.count() // block_rows)) for df in (queries, points))
-    q, p = blocks(queries, id_col, vector_col, n_q, "q"), blocks(points, id_col, vector_col, n_p, "p")
+    q, p = blocks(queries, id_col, vector_col, n_q, "q"), blocks(points, id_col, vector_col, n_p, "p", group_col)
     pairs = q.crossJoin(p)  # of blocks: a stated query set against all rows, in blocks of bounded size
 
     def task(batches):
         for b in batches:
-            out = [[], [], []]
+            out = [[], [], [], []]
             for i in range(b.num_rows):
-                (qi, qv), (pi, pv) = (unpack(b.column(b.schema.get_field_index(c))[i]) for c in ("rows_q", "rows_p"))
+                (qi, qv, _), (pi, pv, pg) = (unpack(b.column(b.schema.get_field_index(c))[i]) for c in ("rows_q", "rows_p"))
                 if metric == "cosine":
-                    s = unit(qv) @ unit(pv).T
+                    every = unit(qv) @ unit(pv).T
                 else:
-                    s = -np.sqrt(np.maximum((qv**2).sum(1)[:, None] + (pv**2).sum(1)[None] - 2 * qv @ pv.T, 0))
-                s[qi[:, None] == pi[None]] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                for row, at in enumerate(best):
-                    ok = at[np.isfinite(s[row, at])]
-                    out[0] += [int(qi[row])] * len(ok)
-                    out[1] += pi[ok].tolist()
-                    out[2] += s[row, ok].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "id", "score"])
-
-    found = pairs.repartition(n_q * n_p).mapInArrow(task, "query_id long, id long, score double")
-    return top_per_key(found.withColumn("score", F.round("score", 9)), ["query_id"], k, F.desc("score"), F.asc("id"))
-
-
-def unpack(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+                    every = -np.sqrt(np.maximum((qv**2).sum(1)[:, None] + (pv**2).sum(1)[None] - 2 * qv @ pv.T, 0))
+                every[qi[:, None] == pi[None]] = -np.inf
+                for g in np.unique(pg):
+                    own = np.flatnonzero(pg == g)
+                    s = every[:, own]
+                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    for row, at in enumerate(best):
+                        ok = at[np.isfinite(s[row, at])]
+                        out[0] += [int(qi[row])] * len(ok)
+                        out[1] += [int(g)] * len(ok)
+                        out[2] += pi[own[ok]].tolist()
+                        out[3] += s[row, ok].tolist()
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.float64())], ["query_id", "group", "id", "score"])
+
+    found = pairs.repartition(n_q * n_p).mapInArrow(task, "query_id long, group long, id long, score double")
+    return top_per_key(found.withColumn("score", F.round("score", 9)), ["query_id", "group"], k, F.desc("score"), F.asc("id"))
+
+
+def unpack(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     got = rows.values
     ids = got.field("id").to_numpy()
-    return ids, got.field("v").flatten().to_numpy().reshape(len(ids), -1)
+    return ids, got.field("v").flatten().to_numpy().reshape(len(ids), -1), got.field("g").to_numpy()
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -53,8 +53,10 @@ SELECT a.name AS a, b.name AS b, round(1 - levenshtein(a.name, b.name) / greates
 FROM n a, n b WHERE a.name < b.name AND 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.6
 """)
 def levenshtein_ratio_pairs(spark, sf_dir):
-    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    pairs = n.crossJoin(F.broadcast(n.withColumnRenamed("a", "b"))).where("a < b")  # of distinct names, a few dozen
+    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct().withColumn("n", F.length("a"))
+    # a ratio of 0.6 leaves lengths from 0.6 to 1 / 0.6 of a name's own
+    reach = n.select(F.col("a").alias("b"), F.explode(F.sequence(F.floor(F.col("n") * 0.6).cast("int"), F.ceil(F.col("n") / 0.6).cast("int"))).alias("n"))
+    pairs = n.join(reach, "n").where("a < b").select("a", "b")
     return pairs.withColumn("ratio", F.round(text.levenshtein_ratio(F.col("a"), F.col("b")), 9)).where("ratio >= 0.6")
 
 
@@ -65,7 +67,7 @@ SELECT mention, name, score FROM s QUALIFY row_number() OVER (PARTITION BY menti
 """)
 def jaro_winkler_topk(spark, sf_dir):
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    pairs = mentions(spark, sf_dir).crossJoin(F.broadcast(n))  # distinct names on both sides
+    pairs = mentions(spark, sf_dir).crossJoin(F.broadcast(n) if n.count() <= 10_000 else n)  # every mention against every distinct name: the ranking has no threshold
     scored = pairs.withColumn("score", F.round(jaro_winkler_similarity("mention", "name"), 9))
     return relational.top_per_key(scored, ["mention"], 5, F.desc("score"), F.asc("name")).drop("rank")
 
@@ -105,16 +107,18 @@ items AS (SELECT c.mention, p.p_partkey AS id, c.trigram, c.jaro_winkler, greate
 """
 
 
-def hybrid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hybrid_items(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
     """Every catalogue item of every name that a mention recalls; names are scored once each."""
     scores = retrieval.candidate_scores(mentions(spark, sf_dir), catalogue(spark, sf_dir).select("name").distinct())
     scores = scores.select("mention", "name", F.round("trigram", 9).alias("trigram"), F.round("jaro_winkler", 9).alias("jaro_winkler"), F.round("match_score", 9).alias("match_score"))
-    return scores.join(catalogue(spark, sf_dir), "name").select("mention", "id", "trigram", "jaro_winkler", "match_score", "category")
+    return scores.join(catalogue(spark, sf_dir) if items is None else items, "name").select("mention", "id", "trigram", "jaro_winkler", "match_score", "category")
 
 
 @query(HYBRID + "SELECT mention, id, trigram, jaro_winkler, match_score FROM items QUALIFY row_number() OVER (PARTITION BY mention ORDER BY match_score DESC, id) <= 10")
 def hybrid_local_search(spark, sf_dir):
-    return relational.top_per_key(hybrid_items(spark, sf_dir), ["mention"], 10, F.desc("match_score"), F.asc("id")).select("mention", "id", "trigram", "jaro_winkler", "match_score")
+    """The ten best items of each mention; a name brings its ten smallest ids, as no more of them can be among the ten."""
+    few = relational.top_per_key(catalogue(spark, sf_dir), ["name"], 10, F.asc("id")).drop("rank")
+    return relational.top_per_key(hybrid_items(spark, sf_dir, few), ["mention"], 10, F.desc("match_score"), F.asc("id")).select("mention", "id", "trigram", "jaro_winkler", "match_score")
 
 
 DECISION = HYBRID + """,
@@ -245,12 +249,7 @@ SELECT query_id, concept, id, score FROM best QUALIFY row_number() OVER (PARTITI
 def lateral_topk_distinct(spark, sf_dir):
     """Best vector of each label for every query, then the three best labels: neighbours are searched label by label."""
     v = vectors(spark, sf_dir)
-    labels = [r["label"] for r in v.select("label").distinct().orderBy("label").collect()]  # ten of them
-    parts = [retrieval.exact_knn(v, v.where(F.col("label") == x), "id", "v", 2).withColumn("concept", F.lit(x)) for x in labels]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.select("query_id", "concept", "id", F.round("score", 5).alias("score"))
+    found = retrieval.exact_knn(v, v, "id", "v", 2, group_col="label").select("query_id", F.col("group").alias("concept"), "id", F.round("score", 5).alias("score"))
     best = relational.best_per_key(found, ["query_id", "concept"], F.desc("score"), F.asc("id"))
     return relational.top_per_key(best, ["query_id"], 3, F.desc("score"), F.asc("concept")).drop("rank")
 
