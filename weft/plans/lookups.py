@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import notes, predicates as p, text
@@ -57,7 +56,7 @@ def whitelist_filter(spark, sf_dir):
 
 
 @query(f"""
-SELECT kind, array_to_string(coalesce(spans, []), ',') AS spans FROM (SELECT unnest({KINDS[:6] + ["Nothing"]}) AS kind) k LEFT JOIN (SELECT {pick(KINDS, "s_suppkey")[1]} AS kind, list(s_name ORDER BY s_suppkey) AS spans FROM supplier GROUP BY 1) USING (kind)
+SELECT kind, array_to_string(coalesce(spans, []), ',') AS spans FROM (SELECT unnest({KINDS[:6] + ["Nothing"]}) AS kind) k LEFT JOIN (SELECT {pick(KINDS, "s_suppkey")} AS kind, list(s_name ORDER BY s_suppkey) AS spans FROM supplier GROUP BY 1) USING (kind)
 """)
 def spans_by_kind(spark, sf_dir):
     kinds = spark.createDataFrame([(k,) for k in KINDS[:6] + ["Nothing"]], "kind string")
@@ -68,7 +67,7 @@ def spans_by_kind(spark, sf_dir):
 TERMS = ["x ray; blood test ;", "recheck", " ; ", "vaccine;deworming"]
 
 
-@query(f"SELECT c_custkey, array_to_string(list_filter(list_transform(string_split({pick(TERMS, 'c_custkey')[1]}, ';'), lambda x: trim(x)), lambda x: x <> ''), '|') AS terms FROM customer")
+@query(f"SELECT c_custkey, array_to_string(list_filter(list_transform(string_split({pick(TERMS, 'c_custkey')}, ';'), lambda x: trim(x)), lambda x: x <> ''), '|') AS terms FROM customer")
 def multi_intent_terms(spark, sf_dir):
     """Search terms that stand for several intents, cut apart."""
     t = F.filter(F.transform(F.split(spark_pick(TERMS, F.col("c_custkey")), ";"), lambda x: F.trim(x)), lambda x: x != "")
@@ -80,7 +79,7 @@ VITAL_ROWS = [(label, key, [label.split()[-1].lower()]) for label, key, _ in not
 
 
 @query(f"""
-WITH m AS (SELECT DISTINCT {pick(QUERIES, "doc_id")[1]} AS mention FROM documents), v AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', '{c[0]}')" for a, b, c in VITAL_ROWS)}) t(label, key, synonym)),
+WITH m AS (SELECT DISTINCT {pick(QUERIES, "doc_id")} AS mention FROM documents), v AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', '{c[0]}')" for a, b, c in VITAL_ROWS)}) t(label, key, synonym)),
 s AS (SELECT mention, key, CASE WHEN mention = lower(label) OR mention = synonym THEN 1.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END AS score FROM (SELECT mention, {trigrams_sql("mention")} AS a FROM m), (SELECT *, {trigrams_sql("label")} AS b FROM v))
 SELECT mention, key, round(score, 9) AS score FROM s WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY mention ORDER BY score DESC, key) <= 3
 """)
@@ -176,7 +175,7 @@ ROUTED = ["Medication", "Anatomy", "VitalSign", "Other"]
 
 
 @query(f"""
-WITH e AS (SELECT event_id, {pick(ROUTED, "event_id")[1]} AS kind, user_id % 3 = 0 AS complaint FROM events),
+WITH e AS (SELECT event_id, {pick(ROUTED, "event_id")} AS kind, user_id % 3 = 0 AS complaint FROM events),
 x AS (SELECT event_id, unnest(CASE WHEN complaint THEN [kind, 'ReasonForVisit'] ELSE [kind] END) AS kind FROM e)
 SELECT event_id, kind, CASE kind WHEN 'Medication' THEN 'dual_sync_resolved' WHEN 'ReasonForVisit' THEN 'dual_sync_resolved' WHEN 'Anatomy' THEN 'non_billable_preserved' WHEN 'VitalSign' THEN 'preserved' ELSE 'other_preserved' END AS match_method FROM x
 """)
@@ -188,7 +187,7 @@ def route_executor(spark, sf_dir):
 
 
 @query(f"""
-WITH m AS (SELECT o_custkey AS visit, {pick(KINDS, "o_orderkey")[1]} AS kind FROM orders), t AS (SELECT visit, unnest(string_split({case_sql("kind", p.KB_KINDS)}, ',')) AS k FROM m)
+WITH m AS (SELECT o_custkey AS visit, {pick(KINDS, "o_orderkey")} AS kind FROM orders), t AS (SELECT visit, unnest(string_split({case_sql("kind", p.KB_KINDS)}, ',')) AS k FROM m)
 SELECT visit, array_to_string(list_sort(list(DISTINCT k)), ',') AS kinds FROM t WHERE k IN ('Drug', 'Condition', 'Procedure', 'Anatomy') GROUP BY visit
 """)
 def manifest_kinds(spark, sf_dir):
@@ -198,7 +197,7 @@ def manifest_kinds(spark, sf_dir):
 
 
 @query(f"""
-WITH a AS (SELECT o_custkey AS visit, o_orderkey, {pick(KINDS, "o_orderkey")[1]} AS kind, {pick(INTENTS, "o_orderkey // 2")[1]} AS intent, o_orderpriority AS concept FROM orders),
+WITH a AS (SELECT o_custkey AS visit, o_orderkey, {pick(KINDS, "o_orderkey")} AS kind, {pick(INTENTS, "o_orderkey // 2")} AS intent, o_orderpriority AS concept FROM orders),
 m AS (SELECT * FROM a WHERE kind IN {in_sql(p.MEDICINE_KINDS)} AND intent IN {in_sql(p.MEDICINE_INTENTS)})
 SELECT visit, count(DISTINCT lower(concept)) AS covered, string_agg(DISTINCT lower(concept), '|' ORDER BY lower(concept)) AS concepts, count(*) AS blobs FROM m GROUP BY visit
 """)

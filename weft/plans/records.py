@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import notes, predicates as p, text
@@ -15,15 +15,15 @@ SPANS = [" year old male Labrador", " mg tablet", " kg neutered beagle", " yrs m
 NAMES = ["Blood test", "exam", "Service", "hip x ray", "Labrador", "dental scan", "Beagle", "poodle", "test panel", "Retriever"]
 
 
-def pick(values: list[str], i: str) -> tuple[Column, str]:
-    """The value at the place ``i`` (a SQL expression) modulo their number, for Spark and for DuckDB."""
+def pick(values: list[str], i: str) -> str:
+    """DuckDB expression for the value at the place ``i`` modulo their number; ``spark_pick`` is the same for Spark."""
     listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-    return F.element_at(F.array(*map(F.lit, values)), (F.expr(i) % len(values) + 1).cast("int")), f"([{listed}])[({i}) % {len(values)} + 1]"
+    return f"([{listed}])[({i}) % {len(values)} + 1]"
 
 
 KIND, SPAN, NAME, INTENT = (pick(v, i) for v, i in ((KINDS, "doc_id"), (SPANS, "doc_id // 2"), (NAMES, "doc_id // 3"), (INTENTS, "doc_id // 5")))
-SPAN_SQL = f"(doc_id % 40)::VARCHAR || {SPAN[1]}"
-MENTIONS_SQL = f"m AS (SELECT doc_id, {KIND[1]} AS kind, {SPAN_SQL} AS span, {NAME[1]} AS name, {INTENT[1]} AS intent, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 100 / 100.0)::DECIMAL(4,2)::VARCHAR WHEN doc_id % 3 = 1 THEN 'high' END AS certainty FROM documents)"
+SPAN_SQL = f"(doc_id % 40)::VARCHAR || {SPAN}"
+MENTIONS_SQL = f"m AS (SELECT doc_id, {KIND} AS kind, {SPAN_SQL} AS span, {NAME} AS name, {INTENT} AS intent, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 100 / 100.0)::DECIMAL(4,2)::VARCHAR WHEN doc_id % 3 = 1 THEN 'high' END AS certainty FROM documents)"
 
 
 def spark_pick(values: list[str], i: Column) -> Column:
@@ -84,7 +84,7 @@ FITS_SQL = "CASE " + " ".join(f"WHEN kind = '{k}' AND c <> '' THEN CASE WHEN c I
 
 
 @query(f"""
-WITH {MENTIONS_SQL}, x AS (SELECT *, {pick(CATEGORIES, "doc_id // 4")[1]} AS category FROM m),
+WITH {MENTIONS_SQL}, x AS (SELECT *, {pick(CATEGORIES, "doc_id // 4")} AS category FROM m),
 y AS (SELECT *, trim(regexp_replace(replace(lower(category), '&', 'and'), '[^a-z0-9]+', ' ', 'g')) AS c FROM x)
 SELECT doc_id, kind, {FAMILY_SQL} AS family, CASE WHEN doc_id % 4 = 0 THEN 'CLINICAL' ELSE {FAMILY_SQL} END AS given_family, {case_sql("kind", p.KB_KINDS)} AS kb_kinds,
   CASE WHEN lower(kind) = 'anatomy' AND lower(name) IN {in_sql(p.BREEDS_TAKEN_FOR_ANATOMY)} THEN 'Other' ELSE kind END AS corrected, {FITS_SQL} AS fits
@@ -101,12 +101,12 @@ def kind_lookups(spark, sf_dir):
 
 
 @query("""
-WITH x AS (SELECT l_orderkey, l_linenumber, l_shipdate AS made, l_receiptdate AS expires, (l_partkey % 50)::VARCHAR AS batch, (l_suppkey % 50)::VARCHAR AS barcode, CASE WHEN l_linenumber = 7 THEN -l_extendedprice ELSE l_extendedprice * 3 END AS price FROM {lines}),
+WITH x AS (SELECT l_orderkey, l_linenumber, l_shipdate AS made, late AS expires, (l_partkey % 50)::VARCHAR AS batch, (l_suppkey % 50)::VARCHAR AS barcode, CASE WHEN l_linenumber = 7 THEN -l_extendedprice ELSE l_extendedprice * 3 END AS price FROM (SELECT *, l_shipdate + INTERVAL (l_partkey % 30) DAY AS late FROM lineitem)),
 y AS (SELECT *, CASE WHEN l_orderkey % 7 = 0 THEN expires ELSE made END AS m, CASE WHEN l_orderkey % 7 = 0 THEN made ELSE expires END AS e FROM x)
 SELECT l_orderkey, l_linenumber, least(m, e)::DATE::VARCHAR AS made, greatest(m, e)::DATE::VARCHAR AS expires, CASE WHEN batch <> barcode THEN batch END AS batch, CASE WHEN price >= 0 THEN round(price, 2) END AS price,
   array_to_string(list_filter([CASE WHEN m >= e THEN 'dates_not_in_order' END, CASE WHEN m > e THEN 'dates_swapped' END, CASE WHEN batch = barcode THEN 'batch_equals_barcode' END, CASE WHEN price < 0 THEN 'negative_price' END, CASE WHEN price > 100000 THEN 'high_price' END], lambda w: w IS NOT NULL), ',') AS warnings
 FROM y
-""".replace("{lines}", "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_shipdate + INTERVAL (l_partkey % 30) DAY AS l_receiptdate FROM lineitem)"))
+""")
 def item_validation(spark, sf_dir):
     """Reversed dates swapped, equal codes and negative prices cleared, each with a warning."""
     lines = table(spark, sf_dir, "lineitem").withColumn("late", F.date_add(F.col("l_shipdate").cast("date"), (F.col("l_partkey") % 30).cast("int"))).withColumn("early", F.col("l_shipdate").cast("date"))
@@ -172,7 +172,7 @@ REMINDERS = ["Schedule recheck in 2 weeks", "Do not bathe", "Avoid stairs, retur
 
 
 @query(f"""
-WITH r AS (SELECT o_orderkey, {pick(REMINDERS, "o_orderkey")[1]} AS t, {pick(INTENTS, "o_custkey")[1]} AS intent, {pick(["", "ASAP", "2024-01-05"], "o_orderkey // 2")[1]} AS due, {pick(["12-3", "x1", ""], "o_orderkey // 3")[1]} AS item FROM orders)
+WITH r AS (SELECT o_orderkey, {pick(REMINDERS, "o_orderkey")} AS t, {pick(INTENTS, "o_custkey")} AS intent, {pick(["", "ASAP", "2024-01-05"], "o_orderkey // 2")} AS due, {pick(["12-3", "x1", ""], "o_orderkey // 3")} AS item FROM orders)
 SELECT o_orderkey, NOT (regexp_matches(lower(t), '\\b(avoid|do not|don''t)\\b') AND NOT regexp_matches(lower(t), '\\b(schedule|recheck|return|visit|appointment)\\b'))
   AND (intent IN ('Scheduled', 'Future') OR due = '2024-01-05' OR item = '12-3' OR t <> 'Feed well') AS needs_action FROM r
 """)
@@ -244,7 +244,7 @@ LINES = ["Reminder to give the tablets after food", "give tablets after food eve
 
 
 @query(f"""
-WITH x AS (SELECT p_partkey, [{pick(LINES, "p_partkey")[1]}, {pick(LINES, "p_partkey // 6")[1]}, {pick(LINES, "p_partkey // 36")[1]}] AS l FROM part),
+WITH x AS (SELECT p_partkey, [{pick(LINES, "p_partkey")}, {pick(LINES, "p_partkey // 6")}, {pick(LINES, "p_partkey // 36")}] AS l FROM part),
 y AS (SELECT p_partkey, list_transform(list_filter(l, lambda v: v <> ''), lambda v: [trim(regexp_replace(v, '(?i)^reminder to ', ''))]) AS l FROM x)
 SELECT p_partkey, array_to_string(list_reduce(l, lambda acc, v: list_transform([list_position(list_transform(acc, lambda q: list_transform([list_filter(list_distinct({words_sql("q")}), lambda w: NOT (w IN {in_sql(notes.STOP)}))], lambda qk: list_transform([list_filter(list_distinct({words_sql("v[1]")}), lambda w: NOT (w IN {in_sql(notes.STOP)}))], lambda vk: len(list_intersect(qk, vk)) >= 0.7 * least(len(qk), len(vk)))[1])[1]), true)],
   lambda z: CASE WHEN coalesce(z, 0) = 0 THEN list_concat(acc, v) WHEN length(v[1]) > length(acc[z]) THEN list_concat(list_concat(acc[:z - 1], v), acc[z + 1:]) ELSE acc END)[1]), '|') AS kept FROM y
@@ -257,7 +257,7 @@ def near_duplicate_lines(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey, regexp_replace(regexp_replace('the ' || lower(c_mktsegment) || ' case of ' || c_name || ', ' || c_mktsegment || 's', '(?i)\\b\\Q' || c_mktsegment || '\\E\\b', 'segment', 'g'), '(?i)\\b\\Q' || c_name || '\\E\\b', 'N$1'.replace('$', '$'), 'g') AS note FROM customer
+SELECT c_custkey, regexp_replace(regexp_replace('the ' || lower(c_mktsegment) || ' case of ' || c_name || ', ' || c_mktsegment || 's', '(?i)\\b\\Q' || c_mktsegment || '\\E\\b', 'segment', 'g'), '(?i)\\b\\Q' || c_name || '\\E\\b', 'N$1', 'g') AS note FROM customer
 """)
 def name_injection(spark, sf_dir):
     """A note with verified names put in, one after the other, as whole words."""
@@ -314,9 +314,9 @@ def entity_keys(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, round((CASE WHEN s[1] = 'alpha' OR contains(n, 'acme') THEN 0.2 ELSE 0 END), 6) AS bonus, round(CASE WHEN contains(n, 'hip') THEN least(1.0, p_size / 50.0 * 1.2) ELSE p_size / 50.0 END, 6) AS boosted, form
-FROM (SELECT p_partkey, p_size, p_name AS n, string_split(lower(p_name), ' ') AS s, p_partkey % 2 = 0 AS form FROM part)
-""".replace("CASE WHEN s[1] = 'alpha' OR contains(n, 'acme') THEN 0.2 ELSE 0 END", "0.2 + CASE WHEN p_partkey % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 0.1 ELSE 0 END").replace("contains(n, 'hip')", "p_partkey % 3 = 0"))
+SELECT p_partkey, round(0.2 + CASE WHEN p_partkey % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 0.1 ELSE 0 END, 6) AS bonus,
+  round(CASE WHEN p_partkey % 3 = 0 THEN least(1.0, p_size / 50.0 * 1.2) ELSE p_size / 50.0 END, 6) AS boosted, p_partkey % 2 = 0 AS form FROM part
+""")
 def sku_bonus(spark, sf_dir):
     """Points for shared brands, forms and numbers; a score raised where issue and name share a topic; shared dosage forms."""
     k, brand = F.col("p_partkey"), F.lower(F.element_at(F.split("p_brand", "[^A-Za-z]"), 1))
