@@ -171,3 +171,22 @@ def test_notes_edge_cases(spark):
     assert [r[0] for r in lines.select(notes.without_near_duplicates(F.col("l"))).collect()] == [["rest", "the", "an"], []]
     assert [r[0] for r in df.select(notes.signalment_of(F.col("t"))).collect()] == ["", "", "", "Patient: Objective"]
     assert [tuple(r[0]) for r in df.select(notes.summary_and_rest(notes.with_summary(F.col("t"), F.lit(" s ")))).collect()] == [("s", ""), ("s", ""), ("s", "no heading"), ("s", "PLAN: x\nplan: y\n\nObjective :\n z")]
+
+
+def test_signal_candidates_recall_by_sound_and_vector(spark):
+    m = spark.createDataFrame([("nite owl",), ("zzz",), (None,)], "mention string")
+    n = spark.createDataFrame([("knight owl",), ("physics",)], "name string")
+    v = spark.createDataFrame([("zzz", "physics", 0.1)], "mention string, name string, distance double")
+    got = {(r["mention"], r["name"]): r["match_score"] for r in retrieval.signal_candidates(m, n, v).collect()}
+    assert set(got) == {("nite owl", "knight owl"), ("zzz", "physics")} and got["zzz", "physics"] == pytest.approx(0.9)
+
+
+def test_requests_are_judged_in_batches(spark, tmp_path):
+    schema = "request long, mention string"
+    spark.createDataFrame([(1, "a"), (2, "b")], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for name, answer, verdict in (("good", lambda d: d.select("request", F.upper("mention").alias("verdict")), {1: "A", 2: "B"}), ("bad", lambda d: d.select("nothing"), {1: None, 2: None})):
+        q = entities.sent_in_batches(stream, answer, str(tmp_path / name), str(tmp_path / f"check-{name}"))
+        q.processAllAvailable()
+        q.stop()
+        assert {r["request"]: r["verdict"] for r in spark.read.parquet(str(tmp_path / name)).collect()} == verdict

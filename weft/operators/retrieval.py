@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Thresholds
 from ..functions import text, vector
-from ..functions.phonetic import jaro_winkler_similarity, metaphone_key, phonetic_score
+from ..functions.phonetic import double_metaphone_keys, jaro_winkler_similarity, metaphone_key, phonetic_score
 from .relational import top_per_key
 
 
@@ -60,6 +60,38 @@ def candidate_scores(mentions: DataFrame, names: DataFrame, column: str = "name"
     return scored.withColumn("match_score", F.greatest("trigram", "jaro_winkler")).where(F.col("match_score") >= t.keep_match)
 
 
+def phonetic_codes(strings: DataFrame, column: str) -> DataFrame:
+    """(s, key, codes): the metaphone key of each distinct string, and the codes by which it may be recalled: that key, its first word's key, and both Double Metaphone keys."""
+    s = strings.select(F.col(column).alias("s")).where(F.col("s").isNotNull()).distinct()
+    keyed = s.select("s", metaphone_key("s").alias("key"), metaphone_key(F.split("s", " ")[0]).alias("first"), double_metaphone_keys("s").alias("dm"))
+    tagged = lambda tag, c: F.when(c != "", F.concat(F.lit(tag), c))
+    return keyed.select("s", "key", F.array_distinct(F.array_compact(F.array(tagged("k", F.col("key")), tagged("f", F.col("first")), tagged("d", F.col("dm.primary")), tagged("d", F.col("dm.alternate"))))).alias("codes"))
+
+
+def signal_candidates(mentions: DataFrame, names: DataFrame, vectors: DataFrame | None = None, t: Thresholds = DEFAULTS) -> DataFrame:
+    """(mention, name, trigram, jaro_winkler, phonetic, vector, match_score) of every pair that a signal recalls.
+
+    Recall: trigram similarity, an equal phonetic code, or a row of ``vectors`` (mention, name,
+    distance).  The match score is the best of trigram, Jaro-Winkler and vector signal; weaker
+    matches than ``keep_match`` go.  Each recall is an equi-join; strings are scored once a pair.
+    """
+    near = trigram_join(mentions.select(F.col("mention").alias("name")), names, "name", t.trigram_match).select(F.col("a").alias("mention"), F.col("b").alias("name"))
+    a, b = phonetic_codes(mentions, "mention"), phonetic_codes(names, "name")
+    exploded = lambda df, c: df.select(F.col("s").alias(c), F.explode("codes").alias("code"))
+    sounding = exploded(a, "mention").join(exploded(b, "name"), "code").select("mention", "name")
+    pairs = near.unionByName(sounding)
+    if vectors is not None:
+        pairs = pairs.unionByName(vectors.select("mention", "name"))
+    keys = lambda df, c, k: df.select(F.col("s").alias(c), F.col("key").alias(k))
+    both = pairs.distinct().join(keys(a, "mention", "key_a"), "mention").join(keys(b, "name", "key_b"), "name")
+    if vectors is not None:
+        both = both.join(vectors.select("mention", "name", (1 - F.col("distance")).alias("vector")), ["mention", "name"], "left")
+    else:
+        both = both.withColumn("vector", F.lit(None).cast("double"))
+    scored = both.select("mention", "name", text.trigram_similarity(F.col("mention"), F.col("name")).alias("trigram"), jaro_winkler_similarity("mention", "name").alias("jaro_winkler"), phonetic_score(F.col("key_b"), F.col("key_a")).alias("phonetic"), "vector")
+    return scored.withColumn("match_score", F.greatest("trigram", "jaro_winkler", "vector")).where(F.col("match_score") >= t.keep_match)
+
+
 def escalated(found: DataFrame, wanted: DataFrame, key: str, next_stage) -> DataFrame:
     """``found`` and, for keys of ``wanted`` without a result, what ``next_stage(missing keys)`` finds."""
     missing = wanted.join(found.select(key).distinct(), key, "left_anti")

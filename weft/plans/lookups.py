@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import notes, predicates as p, text
-from ..functions.phonetic import jaro_winkler_similarity
+from ..functions.phonetic import double_metaphone, jaro_winkler_similarity, metaphone
 from ..operators import entities, evaluation, relational, retrieval, routing
 from ..sources import files
 from .records import INTENTS, KINDS, any_sql, case_sql, in_sql, pick, spark_pick
@@ -314,3 +314,24 @@ def fallback_fetch(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("name_by_id"))
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey"), F.col("n_name").alias("name_by_key"))
     return e.join(F.broadcast(n), F.col("user_id") % 40 == F.col("n_nationkey"), "left").drop("n_nationkey")  # nations: a fixed table
+
+
+# The words of the given parts' names; their phonetic keys reach the SQL as a table of values, since DuckDB has no such function.
+WORDS = (["blue", "cold", "hot", "large", "new", "old", "red", "small"], ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"])
+SPOKEN = sorted({x for a in WORDS[0] for b in WORDS[1] for n in [f"{a} {b}"] for x in (n, n[:2] + n[3:])})
+KEYS_SQL = "v AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{metaphone(s)}', ['k{metaphone(s)}', 'f{metaphone(s.split()[0])}', 'd{double_metaphone(s)[0]}', 'd{double_metaphone(s)[1]}'])" for s in SPOKEN) + ") t(s, key, codes))"
+
+
+@query(f"""
+WITH {KEYS_SQL}, m AS (SELECT DISTINCT substr(p_name, 1, 2) || substr(p_name, 4) AS mention FROM part), n AS (SELECT DISTINCT p_name AS name FROM part),
+p AS (SELECT mention, name, {trigrams_sql("mention")} AS a, {trigrams_sql("name")} AS b, x.key AS ka, y.key AS kb, len(list_intersect(x.codes, y.codes)) > 0 AS sounds FROM m JOIN v x ON x.s = mention CROSS JOIN n JOIN v y ON y.s = name),
+s AS (SELECT *, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS trigram, {jaro_winkler_sql("mention", "name")} AS jaro_winkler, greatest(0, 0.8 * (1 - levenshtein(ka, kb) / greatest(length(ka), length(kb), 1))) AS phonetic FROM p),
+c AS (SELECT mention, name, round(trigram, 9) AS trigram, round(jaro_winkler, 9) AS jaro_winkler, round(phonetic, 9) AS phonetic, round(greatest(trigram, jaro_winkler), 9) AS match_score FROM s WHERE (trigram >= 0.3 OR sounds) AND greatest(trigram, jaro_winkler) >= 0.3)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY mention ORDER BY match_score DESC, phonetic DESC, name) <= 5
+""")
+def signal_search(spark, sf_dir):
+    """Local search with all text signals: trigrams, Jaro-Winkler, metaphone and Double Metaphone recall, best signal by name."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    found = retrieval.signal_candidates(mentions(spark, sf_dir), names)
+    found = found.select("mention", "name", *(F.round(c, 9).alias(c) for c in ("trigram", "jaro_winkler", "phonetic", "match_score")))
+    return relational.top_per_key(found, ["mention"], 5, F.desc("match_score"), F.desc("phonetic"), F.asc("name")).drop("rank")
