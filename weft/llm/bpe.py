@@ -5,9 +5,8 @@ Two forms of one method, the fold of ranked merges over the bytes of distinct wo
 * :func:`encode` / :func:`decode_bytes`, the main path: Spark deals out the documents,
   every task folds each distinct word of its rows once and looks repeats up.
 * :func:`encode_words_native`: the same fold as Spark higher-order functions over byte
-  arrays with a literal rank map.  A lookup in a map literal scans its entries, so with
-  the 50,256 ranks of a real vocabulary each step of the fold costs tens of thousands of
-  comparisons (figures in the README); it is meant for small vocabularies.
+  arrays with a literal rank map, cut in hash buckets so that a lookup doesn't scan it.
+  Its ids can't come back to the documents cheaply (figures in the README).
 
 Null and empty texts give no ids.  Very long texts and very long words take
 O(n log n) steps.  Repeated rows give repeated results.
@@ -26,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import bucket, buckets, literal, texts_of
 
 #: Distinct words that a task remembers before it starts over; bounds its memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Words beyond this many bytes are folded with a heap.
 LONG_WORD = 96
 NEVER = 1 << 60
@@ -176,13 +175,16 @@ def encode_words_native(words: DataFrame, ranks: dict[bytes, int], most_bytes: i
 
     The bytes of a word become an array of hex pieces.  A fold over as many steps as
     the longest word has bytes merges, in each step, the first pair of lowest rank; the
-    rank map is a literal.  Words beyond ``most_bytes`` bytes are refused.
+    rank map is a literal array of hash buckets.  Words beyond ``most_bytes`` bytes are refused.
     """
-    rank_of = F.create_map(*[F.lit(x) for piece, rank in ranks.items() for x in (piece.hex().upper(), rank)])
+    pieces = sorted(ranks, key=ranks.__getitem__)
+    n = 1 << max(4, (len(pieces) // 4).bit_length())
+    place_of, rank_at = buckets([piece.hex().upper() for piece in pieces], n), literal([ranks[piece] for piece in pieces], "array<int>")
     none = F.lit(1 << 30)
+    known = lambda x: F.get(rank_at, F.element_at(F.get(place_of, bucket(x, n)), x))
 
     def rank(x):
-        return F.coalesce(F.element_at(rank_of, x), none)
+        return F.coalesce(known(x), none)
 
     def step(parts, _):
         pairs = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.struct(rank(F.concat(p, F.get(parts, i + 1))).alias("r"), i.alias("i")))
@@ -194,7 +196,7 @@ def encode_words_native(words: DataFrame, ranks: dict[bytes, int], most_bytes: i
     hexed = F.hex(F.encode("word", "UTF-8"))
     size = F.octet_length("word")
     start = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(hexed, i * 2 + 1, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    whole = F.element_at(rank_of, hexed)
+    whole = known(hexed)
     folded = F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), start, step, lambda parts: F.transform(parts, rank))
     checked = words.select(F.assert_true(F.octet_length("word") <= most_bytes), "word").select("word").where("word is not null").distinct()
     return checked.select("word", F.when(whole.isNotNull(), F.array(whole)).otherwise(folded).alias("ids"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,37 @@ def training_labels(labels: DataFrame, label: str, folds: int, held_out: int) ->
     return rows.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
 
 
+#: Rows with texts handed to Python at once; Spark's default of 10,000 makes batches of tens of MB, which both sides hold.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``BATCH_ROWS`` rows, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, null texts read as empty; other columns may clash and are not looked at."""
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+
+
+def literal(value: list, kind: str) -> Column:
+    """A constant of a nested type: Spark reads it from JSON once, when it folds constants."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def bucket(w: Column, n: int) -> Column:
+    """The place of a string's map in ``buckets``."""
+    return F.pmod(F.xxhash64(w), F.lit(n)).cast("int")
+
+
+def buckets(words: list[str], n: int) -> Column:
+    """A literal array of ``n`` small maps from words to their places in ``words``, by ``bucket``: a look-up costs the same whatever their number."""
+    maps: list[dict[str, int]] = [{} for _ in range(n)]
+    for k, w in enumerate(words):
+        h = xxhash.xxh64_intdigest(w, seed=42)
+        maps[(h - (1 << 64) if h >> 63 else h) % n][w] = k
+    return literal(maps, "array<map<string,int>>")

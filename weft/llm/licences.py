@@ -25,17 +25,17 @@ gives an empty result.  Other columns are not looked at, whatever their names.
 
 from __future__ import annotations
 
-import json
 import random
 import re
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bucket, buckets, literal
+
 UNKNOWN = "unknown"
 TOKEN = r"[a-z0-9]+(?:[.+\-][a-z0-9]+)*"
 #: Words in a window, and hash buckets of the literal tables.
@@ -259,24 +259,6 @@ def trained(copies: int = 8, steps: int = 160, rate: float = 2.0, l1: float = 4e
     return Model(b.astype(np.float64), weights, float(temperature), templates)
 
 
-def bucket(w: Column) -> Column:
-    return F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
-
-
-def literal(value: list, kind: str) -> Column:
-    """A constant of a nested type: Spark reads it from JSON once, when it folds constants."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
-
-
-def buckets(words: list[str]) -> Column:
-    """An array of small maps from words to their places in ``words``, by ``bucket``."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for k, w in enumerate(words):
-        h = xxhash.xxh64_intdigest(w, seed=42)
-        maps[(h - (1 << 64) if h >> 63 else h) % BUCKETS][w] = k
-    return literal(maps, "array<map<string,int>>")
-
-
 def once(value: Column, keep=None) -> Column:
     """``value`` as a generated column, so that filters and later steps don't compute it again; rows that don't meet ``keep`` go."""
     return F.explode(F.filter(F.array(value), keep) if keep else F.array(value))
@@ -306,11 +288,11 @@ def scanned(docs: DataFrame, least: float = 0.6, coverage: float = 0.6, model: M
             follow[place[g.split()[0]]].append((place[g.split()[1]], k))
     zero = np.zeros(len(FAMILIES))
     table = literal([m.weights.get(g, zero).tolist() for g in every], "array<array<double>>")
-    word_table, alone = buckets(words), literal([number.get(w) for w in words], "array<int>")
+    word_table, alone = buckets(words, BUCKETS), literal([number.get(w) for w in words], "array<int>")
     seconds, pairs = (literal([[x[k] for x in of] for of in follow], "array<array<int>>") for k in (0, 1))
 
     key, there = ["doc_id", "version", "paragraph"], lambda x: x.isNotNull()
-    ids = F.transform("words", lambda w: F.element_at(F.get(word_table, bucket(w)), w))
+    ids = F.transform("words", lambda w: F.element_at(F.get(word_table, bucket(w, BUCKETS)), w))
     numbered = paragraphs(docs).select(*key, once(ids, lambda a: F.exists(a, there)).alias("ids"))
     one = F.transform("ids", lambda w: F.get(alone, w))
     two = F.transform("ids", lambda w, i: F.get(F.get(pairs, w), F.array_position(F.get(seconds, w), F.get("ids", i + 1)) - 1))

@@ -44,7 +44,7 @@ from .common import fold_of, small_enough, stored, texts_of, training_labels
 
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Examples in a block.
 BLOCK = 512
 
