@@ -39,7 +39,7 @@ from .common import discarded, joined_by_size, stored
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Lines of one key up to which they are sorted together.
-HOT_LINES = 100_000
+HOT_LINES = 4_000
 #: Hot keys up to which they are sent to every executor.
 BROADCAST_KEYS = 500_000
 #: Entries (of 12 bytes, rows counting as two) up to which all bitmaps are sent to every executor; beyond, texts are shuffled to them.
