@@ -12,8 +12,9 @@ an n-gram is known by a 63-bit hash and a bit for its order, so two of n would b
 for one about n * n / 2**64 times (0.05 times for a billion bigrams).  Nothing of the corpus is
 sent to the driver or to every executor:
 
-1. Documents are dealt by a hash to blocks.  A block's task counts its distinct n-grams and
-   cuts them, sorted, into slices of the key range: one row a block and slice, packed.
+1. Documents are dealt by a hash of id and text to blocks, and so are the hashes of those of
+   the target, which a join of narrow rows finds.  A block's task counts its distinct n-grams
+   and cuts them, sorted, into slices of the key range: one row a block and slice, packed.
    A very frequent n-gram is one entry a block.
 2. A slice's task adds the blocks' counts up and answers every block with the totals of
    the n-grams that it asked for, in the same order, so without the keys.
@@ -36,11 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_by_size, texts_of
+from .common import texts_of
 from .wordarrays import MARKS, STEP, blocks, mixed
 
-#: Target ids up to which they are sent to every executor; beyond, texts are shuffled to them.
-BROADCAST_IDS = 4_000_000
 #: Characters in a slice's share of the texts.
 SLICE_CHARS = 16_000_000
 
@@ -96,20 +95,30 @@ class Tokens:
         return cls(n, doc, h & ~one, at, mixed(pair) | one)
 
 
-def dealt(marked: DataFrame, settings: Settings, chars: int) -> DataFrame:
-    """``marked`` with the block of each row, the same in each run."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key): ``key`` is a hash of both, by which a row is known and dealt out."""
+    return texts_of(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def dealt(rows: DataFrame, settings: Settings, chars: int) -> DataFrame:
+    """``rows`` with the block of each key, the same in each run."""
     blocks = -(-chars // (8 << settings.slots)) or 1
-    return marked.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    return rows.withColumn("block", F.pmod("key", F.lit(blocks)))
 
 
-def asking(rows: DataFrame, slices: int, count: bool, ask: bool) -> DataFrame:
-    """A row a block and slice: its distinct keys, their counts in all and in target rows if ``count``, and whether it wants totals."""
+def asking(rows: DataFrame, marks: DataFrame, slices: int, count: bool, ask: bool) -> DataFrame:
+    """A row a block and slice: its distinct keys, their counts in all and in target rows if ``count``, and whether it wants totals.
 
-    def task(t: pa.Table) -> pa.Table:
+    ``marks``: the keys of target rows, dealt like ``rows``, so that no text moves to find them.
+    """
+
+    def task(t: pa.Table, m: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table({c: pa.array([], k) for c, k in (("slice", pa.int64()), ("block", pa.int64()), ("ask", pa.bool_()), ("keys", pa.binary()), ("n0", pa.binary()), ("n1", pa.binary()))})
         tokens = Tokens.of(t.column("text"))
         keys, n0 = np.unique(np.concatenate([tokens.word, tokens.bigram]), return_counts=True)
         n1 = np.zeros(len(keys), np.int64)
-        target = t.column("target").to_numpy()[tokens.doc]
+        target = np.isin(t.column("key").to_numpy(), m.column("mark").to_numpy())[tokens.doc]
         some, n = np.unique(np.concatenate([tokens.word[target], tokens.bigram[target[tokens.at]]]), return_counts=True)
         n1[np.searchsorted(keys, some)] = n
         if not count:
@@ -124,7 +133,7 @@ def asking(rows: DataFrame, slices: int, count: bool, ask: bool) -> DataFrame:
         block = t.column("block")[0].as_py()
         return pa.table({"slice": pa.array(range(slices), pa.int64()), "block": pa.array([block] * slices, pa.int64()), "ask": [ask] * slices, "keys": pa.array(out[0], pa.binary()), "n0": pa.array(out[1], pa.binary()), "n1": pa.array(out[2], pa.binary())})
 
-    return rows.groupBy("block").applyInArrow(task, "slice long, block long, ask boolean, keys binary, n0 binary, n1 binary")
+    return rows.groupBy("block").cogroup(marks.groupBy("mark_block")).applyInArrow(task, "slice long, block long, ask boolean, keys binary, n0 binary, n1 binary")
 
 
 def answered(asked: DataFrame, slices: int) -> DataFrame:
@@ -148,11 +157,11 @@ def answered(asked: DataFrame, slices: int) -> DataFrame:
 
 @dataclass
 class Models:
-    """Background and target model over one vocabulary: the documents that they are counted from, those of the target marked."""
+    """Background and target model over one vocabulary: the documents that they are counted from, and the ids of the target's."""
 
     settings: Settings
     docs: DataFrame
-    marked: DataFrame
+    ids: DataFrame
 
     def score(self, text: str) -> tuple[int, float, float]:
         """(tokens, mean target loss, mean background loss); the first token counts by its unigram."""
@@ -162,8 +171,7 @@ class Models:
 
 def fit(docs: DataFrame, targets: DataFrame, settings: Settings = Settings()) -> Models:
     """``targets``: ids (column doc_id) of the documents that stand for the target; all documents are the background."""
-    ids = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    return Models(settings, docs, joined_by_size(texts_of(docs), ids, "doc_id", "left", BROADCAST_IDS))
+    return Models(settings, docs, targets.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct())
 
 
 def scored(docs: DataFrame, models: Models) -> DataFrame:
@@ -171,13 +179,14 @@ def scored(docs: DataFrame, models: Models) -> DataFrame:
     s, chars = models.settings, lambda d: d.agg(F.sum(F.length("text"))).first()[0] or 0
     n = chars(texts_of(models.docs))
     slices = -(-n // SLICE_CHARS) or 1
-    rows = dealt(models.marked, s, n)
+    rows = dealt(keyed(models.docs), s, n)
+    marks = rows.select("doc_id", "key", "block").join(models.ids, "doc_id").select(F.col("key").alias("mark"), F.col("block").alias("mark_block")).distinct()
     if docs is models.docs:
-        asked = asking(rows, slices, True, True)
+        asked = asking(rows, marks, slices, True, True)
     else:
-        counted = asking(rows, slices, True, False)
-        rows = dealt(texts_of(docs).withColumn("target", F.lit(False)), s, chars(texts_of(docs)))
-        asked = counted.unionByName(asking(rows, slices, False, True))
+        counted = asking(rows, marks, slices, True, False)
+        rows = dealt(keyed(docs), s, chars(texts_of(docs)))
+        asked = counted.unionByName(asking(rows, marks.limit(0), slices, False, True))
 
     def task(d: pa.Table, t: pa.Table) -> pa.Table:
         t = t.sort_by("slice")
