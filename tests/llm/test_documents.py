@@ -268,6 +268,68 @@ def test_quality_learns_and_covers_every_row(spark, docs, empty):
     assert quality.classify(empty, labels_of(spark, 5, bool), label="y").count() == 0
 
 
+def test_quality_scores_equal_a_plain_discriminant(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join("".join(rng.choice(list("abcdeXY!#1"), rng.integers(1, 9))) for _ in range(rng.integers(1, 60))) + ("\nx\nx" if i % 3 else "") for i in range(160)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.classify(d, labels_of(spark, 160, lambda i: i % 3 == 0), label="y").collect()}
+    x = np.array([quality.statistics_of(t) for t in texts])
+    learn = [i for i in range(160) if zlib.crc32(str(i).encode()) % 4 != 2]
+    y = np.array([i % 3 == 0 for i in range(160)])
+    n = {k: sum(y[i] == k for i in learn) for k in (0, 1)}
+    parts = {k: x[[i for i in learn if y[i] == k]] for k in (0, 1)}
+    own = {k: np.cov(parts[k].T, bias=True) for k in (0, 1)}
+    pooled = (n[0] * own[0] + n[1] * own[1]) / (n[0] + n[1])
+    logs = np.full(160, np.log((n[1] + 1) / (n[0] + 1)))
+    for k in (0, 1):
+        few = min(1.0, 0.1 + 0.5 * x.shape[1] / n[k])
+        cov = (1 - few) * own[k] + few * pooled
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + np.diag(np.maximum(np.diag(pooled), 1e-6)) * 1e-3
+        away = x - parts[k].mean(0)
+        logs += (1 if k else -1) * (-0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away) - 0.5 * np.linalg.slogdet(cov)[1])
+    assert np.allclose([got[i] for i in range(160)], 1 / (1 + np.exp(-np.clip(logs, -500, 500))), atol=1e-6)
+
+
+def test_toxicity_scores_equal_plain_neighbours(spark):
+    """Every text against every example, over the same terms."""
+    rng = np.random.default_rng(13)
+    pool = ["vile", "nasty", "mean", "kind", "calm", "mild"]
+    rows = [(i, " ".join([*rng.choice(pool[:4] if i % 3 == 0 else pool[2:], rng.integers(0, 7)), f"n{rng.integers(40)}"])) for i in range(240)]
+    settings = toxicity.Settings(neighbours=7)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, y int")
+    model = toxicity.fit(d, labelled, settings)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(d, model).collect()}
+    terms = toxicity.Terms(model.number)
+    dense = np.zeros((240, len(model.number)))
+    for i, t in rows:
+        at, w = toxicity.vector(t, terms, model.idf)
+        dense[i, at] = w
+    near = (dense @ dense[:200].T).round(12)
+
+    def vote(i, without):
+        s = near[i].copy()
+        if without:
+            s[i] = 0
+        best = [j for j in np.lexsort((np.arange(200), -s))[:7] if s[j] > 0]
+        return (sum(s[j] ** 2 * (j % 3 == 0) for j in best) + 0.05 * model.prior) / (sum(s[j] ** 2 for j in best) + 0.05) if best else None
+
+    left = [(v, i % 3 == 0) for i in range(200) if dense[i].any() and (v := vote(i, True)) is not None]
+    knots = toxicity.pool_adjacent(np.r_[0.0, [v for v, _ in left], 1.0], np.r_[0.0, [t for _, t in left], 1.0], np.ones(len(left) + 2))
+    for i in range(240):
+        v = vote(i, False)
+        assert got[i] == pytest.approx(model.unmatched if v is None else np.interp(v, *knots), abs=1e-6)
+
+
+def test_toxicity_knows_a_word_of_three_examples(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join([f"w{k}" for k in rng.integers(0, 3000, 30)] + (["rareslur"] if i in (0, 8, 16, 500) else ["badword"] if i % 8 == 0 else []))) for i in range(501)]
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(360)], "doc_id long, y int")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(d, labels)
+    assert "rareslur" in model.number and {r["doc_id"]: r["score"] for r in toxicity.scored(d, model).collect()}[500] >= 0.5
+
+
 def test_toxicity_learns_and_gives_evidence(spark, docs, empty):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
@@ -322,6 +384,8 @@ def test_rules_counts_and_verdicts(spark, docs, empty):
         t = next((x for i, x in enumerate(TEXTS) if i == r["doc_id"]), "text of nobody, long enough to count") or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         assert (r["n_words"], r["word_chars"], r["n_symbols"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)))
+        filled = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        assert r["n_repeat_words"] == windows(w) and r["n_dup_lines"] == len(filled) - len(set(filled))
         assert r["base_failed"] == (len(w) < 10 or 100 * r["n_repeat_words"] > 20 * len(w)) and not (r["base_failed"] and r["kept"])
     assert rules.judged_documents(empty).count() == 0
 
@@ -429,11 +493,9 @@ def test_ngram_join_shuffles_where_tables_are_large(spark, monkeypatch):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
-def test_lm_shuffles_where_targets_are_many(spark, docs, monkeypatch):
-    targets = spark.createDataFrame([(i,) for i in range(6)], "doc_id long")
-    expected = sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 9)) for r in lm.scored(docs, lm.fit(docs, targets)).collect())
-    monkeypatch.setattr(lm, "BROADCAST_IDS", 0)
-    assert sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 9)) for r in lm.scored(docs, lm.fit(docs, targets)).collect()) == expected
+def test_lm_targets_repeat_and_miss(spark, docs):
+    score = lambda ids: sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 9)) for r in lm.scored(docs, lm.fit(docs, spark.createDataFrame([(i,) for i in ids], "doc_id int"))).collect())
+    assert score([0, 1, 2, 3, 4, 5]) == score([5, 4, 4, 3, 2, 1, 0, 0, 999, None])
 
 
 def test_toxic_rows_go_by_their_own_text(spark):

@@ -80,3 +80,51 @@ def test_stage_keeps_extra_columns(spark):
     assert ngramjoin.without_near_copies(docs).collect() == [docs.where("doc_id = 0").first()]
     kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
     assert [r["text"] != "" for r in kept.orderBy("doc_id").collect()] == [False] * 4 + [True] and kept.columns == docs.columns
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_graph_recall_on_a_large_shard(scaled):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 48))
+    if scaled:
+        x *= np.exp(rng.normal(size=(6000, 1)) * 0.4)
+    g = ann.Graph.build(x)
+    q = x[:60]
+    walking = np.concatenate([q / np.abs(q).max(1, keepdims=True), np.zeros((60, 1))], 1).astype(np.float32)
+    found = g.nearest(walking, ann.EF_SEARCH)
+    again = ann.Graph.from_flat(x, *(g.flat()[k] for k in ("entry", "levels", "links"))).nearest(walking, ann.EF_SEARCH)
+    assert np.array_equal(found, again)
+    recall = []
+    for i in range(60):
+        s = x @ q[i]
+        s[i] = -np.inf
+        mine = found[i][(found[i] < g.n) & (found[i] != i)]
+        best = mine[np.argsort(-s[mine])[:20]]
+        recall.append(len(set(best.tolist()) & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_hnsw_doubles_lengths_and_ties(spark):
+    rows = [(0, [1e300, 0.0]), (1, [0.25, 0.0]), (2, [0.25, 0.0]), (3, [0.25, 5.0]), (4, [1.0, 2.0, 3.0]), (20, [0.1, 0.2, 0.3]), (5, [0.1 + 1e-12, 0.0])]
+    got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=3).collect()]
+    by = {q: [(v, s) for a, _, v, s in sorted(got) if a == q] for q in (0, 20)}
+    assert by[0] == [(1, 0.25e300), (2, 0.25e300), (3, 0.25e300)]
+    assert [v for v, _ in by[20]] == [4] and by[20][0][1] == pytest.approx(1.4, abs=1e-15)
+
+
+def test_pipeline_edge_rows(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, version string, copy string"
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "en", "a", 1, "x", "y"), (1, text, "en", "a", 1, "x", "y"), (2, text + " end", "en", None, 1, None, None), (None, text, None, None, None, None, None), (3, None, None, "a", None, None, None), (4, "", "en", "a", 0, "x", "y")]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, docs in (("rows", spark.createDataFrame(rows, schema)), ("none", spark.createDataFrame([], schema))):
+        out = docs
+        for stage, f in pipeline.STAGES[:-1]:
+            out = common.stored(f(spark, out, str(tmp_path)), f"edge-{name}")
+            assert out.columns == docs.columns, stage
+            if name == "none":
+                assert out.isEmpty()
+            elif stage == "n-gram Jaccard join":
+                assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4]
+        assert pipeline.STAGES[-1][1](spark, out, str(tmp_path)).count() == out.count()

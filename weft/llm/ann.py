@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SHARD_ROWS = 16_384
+SHARD_ROWS = 8_192
 LEAST_SHARDS = 8
 BLOCK_QUERIES = 2_048
 M = 16
 EF_BUILD = 96
-EF_SEARCH = 320
+EF_SEARCH = 512
 #: Nodes inserted at once, at most; queries that walk the graph at once; nodes that each of them opens in a step.
 BATCH, ABREAST, OPENED = 256, 128, 6
 
