@@ -190,3 +190,11 @@ def test_requests_are_judged_in_batches(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert {r["request"]: r["verdict"] for r in spark.read.parquet(str(tmp_path / name)).collect()} == verdict
+
+
+def test_phonetic_join_equals_comparing_all(spark):
+    from weft.functions.phonetic import metaphone
+
+    left, right = ["knight", "nite", "Smith", "physics", "", "ab12"], ["night", "smythe", "fysiks", "xyz", "apple", None]
+    got = {(r["a"], r["b"]) for r in retrieval.phonetic_join(spark.createDataFrame([(x,) for x in left], "n string"), spark.createDataFrame([(x,) for x in right], "n string"), "n").collect()}
+    assert got == {(a, b) for a in left for b in right if metaphone(a)[:4] and metaphone(a)[:4] == metaphone(b)[:4]}

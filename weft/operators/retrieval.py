@@ -43,9 +43,9 @@ def with_phonetic_key(df: DataFrame, column: str, out: str = "phonetic") -> Data
     return df.join(keys, column, "left")
 
 
-def phonetic_join(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
-    """(a, b, score) of distinct values that share a metaphone key's first four codes."""
-    of = lambda df, s: with_phonetic_key(df.select(F.col(column).alias(s)).distinct(), s, f"key_{s}").where(f"key_{s} <> ''").withColumn("k", F.substring(f"key_{s}", 1, 4))
+def phonetic_join(left: DataFrame, right: DataFrame, column: str, codes: int = 4) -> DataFrame:
+    """(a, b, score) of distinct values whose metaphone keys begin with the same ``codes`` codes; the beginning is what counts as sounding alike."""
+    of = lambda df, s: with_phonetic_key(df.select(F.col(column).alias(s)).distinct(), s, f"key_{s}").where(f"key_{s} <> ''").withColumn("k", F.substring(f"key_{s}", 1, codes))
     return of(left, "a").join(of(right, "b"), "k").select("a", "b", phonetic_score(F.col("key_b"), F.col("key_a")).alias("score"))
 
 

@@ -324,3 +324,27 @@ def sku_bonus(spark, sf_dir):
     wanted = F.concat_ws(" ", brand, F.lit("tablet"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")))
     topic = F.when(k % 3 == 0, "dental care").otherwise("skin care")
     return table(spark, sf_dir, "part").select("p_partkey", p.sku_bonus(wanted, name, ["brand"], ["tablet"]).alias("bonus"), F.round(p.contextual_boost(F.col("p_size") / 50.0, F.lit("dental pain, hip"), topic, ["hip", "dental"]), 6).alias("boosted"), p.shared_form(wanted, name).alias("form"))
+
+
+@query("""
+SELECT c_custkey, 'Plan' AS section, 'E1' AS anchor, c_mktsegment AS text FROM customer UNION ALL SELECT c_custkey, 'Plan', 'E2', 'b c' FROM customer UNION ALL SELECT c_custkey, 'Objective', 'E3', c_name FROM customer WHERE c_custkey % 2 = 0
+""")
+def section_anchors(spark, sf_dir):
+    """Anchored names of every section of a note."""
+    plan = F.concat(F.lit("give [[E1|"), F.col("c_mktsegment"), F.lit("]] and [[E2|b c]]"))
+    objective = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("[[E3|"), F.col("c_name"), F.lit("]] seen"))).otherwise("nothing")
+    note = F.create_map(F.lit("Plan"), plan, F.lit("Objective"), objective, F.lit("Empty"), F.lit(""))
+    each = table(spark, sf_dir, "customer").select("c_custkey", F.explode(note).alias("section", "body"))
+    return each.select("c_custkey", "section", F.explode(text.anchor_segments(F.col("body"))).alias("a")).select("c_custkey", "section", F.col("a.id").alias("anchor"), F.col("a.text").alias("text"))
+
+
+@query("""
+SELECT c_custkey, c_name || chr(10) || c_mktsegment AS note_text, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS intent, round(c_acctbal / 10000 * 0.8 + 0.2, 6) AS gate_score FROM customer
+""")
+def run_texts(spark, sf_dir):
+    """A note's text from its JSON values, an intent passed through unless blank, and the boosted score that gates look at."""
+    c = table(spark, sf_dir, "customer")
+    as_json = F.to_json(F.struct(F.col("c_name").alias("a"), F.col("c_mktsegment").alias("b")))
+    values = F.array_join(F.map_values(F.from_json(as_json, "map<string,string>")), "\n")
+    score = F.round(F.col("c_acctbal") / 10000 * 0.8 + 0.2, 6)
+    return c.select("c_custkey", values.alias("note_text"), text.blank_to_null(F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise("  ")).alias("intent"), score.alias("gate_score"))
