@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
@@ -88,10 +86,7 @@ def alternatives_top3(spark, sf_dir):
 @query("SELECT p_partkey AS id, p_name AS name, nullif(CASE WHEN p_size % 5 = 0 THEN '' ELSE p_brand END, '') AS brand, p_retailprice AS price FROM part")
 def csv_round_trip(spark, sf_dir):
     """Written with a header and read with a schema; blanks come back as null."""
-    from uuid import uuid4
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/csv-{uuid4().hex[:12]}"
+    path = files.scratch(spark, "csv")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.col("p_brand")).alias("brand"), F.col("p_retailprice").alias("price"))
     files.write_csv(p, path, ["id", "name", "brand", "price"])
     return files.read_csv(spark, path, "id long, name string, brand string, price double")

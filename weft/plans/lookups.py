@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import notes, predicates as p, text
 from ..functions.phonetic import double_metaphone, jaro_winkler_similarity, metaphone
-from ..operators import entities, evaluation, relational, retrieval, routing
+from ..operators import entities, relational, retrieval, routing
 from ..sources import files
 from .records import INTENTS, KINDS, any_sql, case_sql, in_sql, pick, spark_pick
 from .registry import jaro_winkler_sql, query, table, trigrams_sql, words_sql
@@ -291,7 +288,7 @@ SELECT r_regionkey % 2 AS folder, max(r_regionkey) AS newest, (array_agg('{"id":
 """)
 def artifact_round_trip(spark, sf_dir):
     """Artifacts of several runs written and read again; the latest run of each folder is taken, its note parsed."""
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/artifacts-{uuid.uuid4().hex[:12]}"
+    path = files.scratch(spark, "artifacts")
     rows = table(spark, sf_dir, "region").select((F.col("r_regionkey") % 2).alias("folder"), F.col("r_regionkey").alias("run"), F.to_json(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))).alias("payload"))
     rows.write.partitionBy("folder", "run").text(path)
     back = spark.read.option("basePath", path).text(path).select(F.col("folder").cast("long"), F.col("run").cast("long"), F.col("value").alias("payload"))

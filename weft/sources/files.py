@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, which all executors share; without that setting in local mode alone, under a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header and a stated schema; blank text becomes null."""
     df = spark.read.csv(path, header=True, schema=schema)
