@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licences, linededup, lm, mixing, ngramjoin, quality, rules, toxicity
+from . import ann, bpe, licences, linededup, lm, mixing, ngramjoin, pieces, quality, rules, toxicity
 from .common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +110,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), pieces.read_model(public_tokenizers.path(PIECE_FILE)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_qda, op2_licence_scan, op3_line_dedup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_ngram_jaccard, op8_hnsw, op9_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_qda, op2_licence_scan, op3_line_dedup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_ngram_jaccard, op8_hnsw, op9_toxicity, op10_byte_bpe, op12_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
