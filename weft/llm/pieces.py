@@ -20,7 +20,7 @@ import codecs
 import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -34,9 +34,11 @@ from .common import texts_of
 MARK = "▁"
 #: Distinct marked words that a task's table holds before it becomes the older one of two; bounds its memory.
 TABLE_WORDS = 200_000
-#: Words beyond this many characters are segmented with a heap and not kept.
+#: Words beyond this many characters are segmented with a heap.
 LONG_WORD = 64
-NEVER = 1 << 60
+#: Words of a task's texts that are looked up together, and distinct words that are merged together.
+WORDS_AT_ONCE, ROWS_AT_ONCE = 200_000, 20_000
+NEVER, NO_MERGE = 1 << 60, np.iinfo(np.int32).max
 BPE = 2
 
 
@@ -133,21 +135,103 @@ def merged_long(word: str, order: dict[str, int]) -> list[str]:
 
 def segmented(word: str, v: Vocabulary) -> list[int]:
     """Ids of one marked word; characters without a piece become their bytes, or the unknown id (one for a run of them)."""
-    whole = v.ids.get(word)
-    if whole is not None and len(word) == 1:
-        return [whole]
+    parts = (merged_short if len(word) <= LONG_WORD else merged_long)(word, v.order)
+    return spelt([v.ids[p] if p in v.ids else -1 - ord(p) for p in parts], v)
+
+
+def spelt(ids: list[int], v: Vocabulary) -> list[int]:
+    """``ids`` with the bytes, or the unknown id, in place of -1 - c for a character c without a piece."""
     out: list[int] = []
-    for part in (merged_short if len(word) <= LONG_WORD else merged_long)(word, v.order):
-        k = v.ids.get(part)
-        if k is not None:
+    for k in ids:
+        if k >= 0:
             out.append(k)
         elif v.byte_ids:
-            out.extend(v.byte_ids[b] for b in part.encode())
+            out.extend(v.byte_ids[b] for b in chr(-1 - k).encode())
         elif not out or out[-1] != v.unknown:
             out.append(v.unknown)
     return out
 
 
+class Merges:
+    """The merges of a vocabulary as sorted arrays, for many words at once."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        n = len(v.surfaces)
+        pairs = {v.ids[p[:i]] * n + v.ids[p[i:]]: k for p, k in v.ids.items() for i in range(1, len(p)) if p[:i] in v.ids and p[i:] in v.ids}
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        self.place = np.full(n, NO_MERGE, np.int32)
+        for p, k in v.ids.items():
+            self.place[k] = v.order[p]
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for p, k in v.ids.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = k
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that each pair of ids makes, -1 where none; negative ids make none."""
+        wanted = a.astype(np.int64) * len(self.place) + b
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where((self.keys[at] == wanted) & (a >= 0) & (b >= 0), self.made[at], -1)
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of every word, all words a merge at a time; longest words by themselves."""
+        out: list[bytes] = [b""] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_width.setdefault(-(-len(w) // 8) * 8, []).append(k)
+        for width, rows in by_width.items():
+            if width > LONG_WORD or not len(self.keys):
+                for k in rows:
+                    out[k] = np.array(segmented(words[k], self.v), "<u4").tobytes()
+                continue
+            for s in range(0, len(rows), ROWS_AT_ONCE):
+                some = rows[s : s + ROWS_AT_ONCE]
+                for k, ids in zip(some, self.of_width([words[k] for k in some], width)):
+                    out[k] = ids
+        return out
+
+    def of_width(self, words: list[str], width: int) -> list[bytes]:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width)
+        columns = np.arange(width)
+        ids = self.of_char[chars]
+        ids = np.where(ids >= 0, ids, -1 - chars.astype(np.int32))  # characters without a piece stand below zero
+        ids[columns >= size[:, None]] = -1
+        strange = ((ids < 0) & (columns < size[:, None])).any(1)
+        made = self.pair(ids[:, :-1], ids[:, 1:])
+        places = np.where(made >= 0, self.place[made], NO_MERGE)
+        live, mine, ranks = np.arange(len(words)), ids.copy(), places
+        while len(live):
+            at = ranks.argmin(1)
+            r = np.arange(len(live))
+            going = ranks[r, at] < NO_MERGE
+            if not going.all():
+                ids[live[~going]] = mine[~going]
+                live, mine, ranks, at = live[going], mine[going], ranks[going], at[going]
+                r = r[: len(live)]
+                if not len(live):
+                    break
+            joined = self.pair(mine[r, at], mine[r, at + 1])
+            after = columns + (columns > at[:, None])
+            mine = np.take_along_axis(np.pad(mine, ((0, 0), (0, 1)), constant_values=-1), after, 1)
+            mine[r, at] = joined
+            ranks = np.take_along_axis(np.pad(ranks, ((0, 0), (0, 1)), constant_values=NO_MERGE), after[:, :-1], 1)
+            size[live] -= 1
+            for left in (at - 1, at):
+                sound = (left >= 0) & (left < width - 1)
+                k = left[sound]
+                pair = self.pair(mine[r[sound], k], mine[r[sound], k + 1])
+                ranks[r[sound], k] = np.where(pair >= 0, self.place[pair], NO_MERGE)
+        ends = np.cumsum(size) * 4
+        packed = ids[columns < size[:, None]].astype("<u4").tobytes()
+        out = [packed[e - 4 * n : e] for e, n in zip(ends.tolist(), size.tolist())]
+        for k in np.flatnonzero(strange).tolist():
+            out[k] = np.array(spelt(np.frombuffer(out[k], "<i4").tolist(), self.v), "<u4").tobytes()
+        return out
+
+
 def words_of(v: Vocabulary) -> Callable[[str], list[str]]:
     """A function from a text to its marked words, in order; together they are the marked text."""
     split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
@@ -157,26 +241,41 @@ def words_of(v: Vocabulary) -> Callable[[str], list[str]]:
     return lambda text: split(start + text.replace(" ", MARK)) if text else []
 
 
-class WordTable(dict):
-    """Marked word to its ids as little-endian unsigned 32-bit integers; a word is segmented when it is first asked for.
+class WordTable:
+    """The distinct marked words that a task has met, each with its packed ids.
 
     A full table becomes the older one, from which words that are met again come back, so frequent words stay.
     """
 
     def __init__(self, v: Vocabulary):
-        super().__init__()
-        self.v, self.older = v, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = np.array(segmented(word, self.v), dtype="<u4").tobytes()
-        if len(word) <= LONG_WORD:
-            if len(self) >= TABLE_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+        self.words, self.merges, self.young, self.older = words_of(v), Merges(v), {}, {}
+
+    def segment(self, words: set[str]) -> None:
+        """Puts ``words`` into the table."""
+        new = [w for w in words if w not in self.young]
+        fresh = [w for w in new if w not in self.older]
+        if len(self.young) + len(new) > TABLE_WORDS:
+            known = {w: self.young[w] for w in words if w in self.young} | {w: self.older[w] for w in new if w in self.older}
+            self.older, self.young = self.young, known
+        else:
+            self.young |= {w: self.older[w] for w in new if w in self.older}
+        self.young |= zip(fresh, self.merges.of_words(fresh))
+
+    def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Packed ids of every text, in order: some texts at a time are cut, their distinct words segmented, and the ids joined by position."""
+        waiting: list[list[str]] = []
+        n = 0
+        for text in texts:
+            waiting.append(self.words(text))
+            n += len(waiting[-1])
+            if n >= WORDS_AT_ONCE:
+                yield from self.joined(waiting)
+                waiting, n = [], 0
+        yield from self.joined(waiting)
+
+    def joined(self, texts: list[list[str]]) -> Iterator[bytes]:
+        self.segment(set().union(*texts))
+        return (b"".join(map(self.young.__getitem__, words)) for words in texts)
 
 
 def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
@@ -184,9 +283,9 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(v)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids_of = words_of(shipped.value), WordTable(shipped.value)
+        words = WordTable(shipped.value)
         for b in batches:
-            ids = [b"".join(map(ids_of.__getitem__, words(t.as_py()))) for t in b.column(1)]
+            ids = list(words.ids(t.as_py() for t in b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return texts_of(docs).mapInArrow(task, "doc_id long, ids binary")
@@ -232,11 +331,11 @@ def digests(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shipped.value
-        words, ids_of, decimal, sha = words_of(v), WordTable(v), [str(k) for k in range(len(v.surfaces))], hashlib.sha256
+        words, decimal, sha = WordTable(v), [str(k) for k in range(len(v.surfaces))], hashlib.sha256
         for b in batches:
             n, of_ids, of_texts = [], [], []
-            for t in b.column(1):
-                ids = np.frombuffer(b"".join(map(ids_of.__getitem__, words(t.as_py()))), "<u4").tolist()
+            for packed in words.ids(t.as_py() for t in b.column(1)):
+                ids = np.frombuffer(packed, "<u4").tolist()
                 n.append(len(ids))
                 of_ids.append(sha(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 of_texts.append(sha(decoded(ids, v).encode()).hexdigest())
