@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licences, linededup, lm, mixing, ngramjoin, pieces, quality, rules, toxicity
+from . import ann, bpe, licences, linededup, lm, mixing, ngramjoin, pieces, quality, rules, toxicity, turns
 from .common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -114,9 +114,70 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), pieces.read_model(public_tokenizers.path(PIECE_FILE)))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), harmed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS harm
+  FROM conversations, bits
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM harmed, range(2) c(copy) WHERE harm <> 0 AND (copy = 0 OR harm = 3)
+), placed AS (
+  SELECT *, row_number() OVER w AS n, left(role, 1) AS initial, lag(left(role, 1)) OVER w AS earlier,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))
+), marked AS (
+  SELECT *, n > min(n) OVER (PARTITION BY conv_id, role, text) AS again, bare = '' AS blank, bare <> '' AND again AS duplicate, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated,
+         earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM marked GROUP BY conv_id
+), walked AS (
+  SELECT conv_id, 0::BIGINT AS n, {'c': 0, 'a': '', 'o': ''} AS s0, {'c': 1000000, 'a': '', 'o': ''} AS s1,
+         {'c': 2, 'a': 'I', 'o': chr(10) || 'user:'} AS u, {'c': 4, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a
+  FROM counts
+  UNION ALL
+  SELECT conv_id, n, s0, s1, u, list_min([a, {'c': u.c + 2, 'a': u.a || 'I', 'o': u.o || chr(10) || 'assistant:'}]) AS a
+  FROM (
+    SELECT conv_id, n, s0, s1, a, list_min([u, {'c': s0.c + 2, 'a': s0.a || 'I', 'o': s0.o || chr(10) || 'user:'}, {'c': s1.c + 2, 'a': s1.a || 'I', 'o': s1.o || chr(10) || 'user:'},
+                                            {'c': a.c + 2, 'a': a.a || 'I', 'o': a.o || chr(10) || 'user:'}]) AS u
+    FROM (
+      SELECT conv_id, n, {'c': s0.c + 3, 'a': s0.a || 'D', 'o': s0.o} AS s0,
+             list_min([{'c': s1.c + 3, 'a': s1.a || 'D', 'o': s1.o}, {'c': s0.c + keep_s, 'a': s0.a || 'K', 'o': s0.o || kept}]) AS s1,
+             list_min([{'c': u.c + 3, 'a': u.a || 'D', 'o': u.o}, {'c': s0.c + keep_u, 'a': s0.a || 'K', 'o': s0.o || kept}, {'c': s1.c + keep_u, 'a': s1.a || 'K', 'o': s1.o || kept},
+                       {'c': a.c + keep_u, 'a': a.a || 'K', 'o': a.o || kept}, {'c': s0.c + other, 'a': s0.a || 'R', 'o': s0.o || as_user},
+                       {'c': s1.c + other, 'a': s1.a || 'R', 'o': s1.o || as_user}, {'c': a.c + other, 'a': a.a || 'R', 'o': a.o || as_user}]) AS u,
+             list_min([{'c': a.c + 3, 'a': a.a || 'D', 'o': a.o}, {'c': u.c + keep_a, 'a': u.a || 'K', 'o': u.o || kept}, {'c': u.c + other, 'a': u.a || 'R', 'o': u.o || as_assistant}]) AS a
+      FROM (
+        SELECT w.conv_id, w.n + 1 AS n, s0, s1, u, a, chr(10) || role || ':' || text AS kept, chr(10) || 'user:' || text AS as_user, chr(10) || 'assistant:' || text AS as_assistant,
+               CASE WHEN blank OR duplicate THEN 1000000 ELSE truncated::INTEGER END AS adds, adds + 2 AS other,
+               adds + CASE initial WHEN 's' THEN 0 ELSE 1000000 END AS keep_s, adds + CASE initial WHEN 'u' THEN 0 ELSE 1000000 END AS keep_u, adds + CASE initial WHEN 'a' THEN 0 ELSE 1000000 END AS keep_a
+        FROM walked w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.n = w.n + 1
+      )
+    )
+  )
+), finished AS (
+  SELECT c.*, list_min([w.s0, w.a]) AS best FROM counts c JOIN walked w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.n = c.n
+)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN finished f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_qda, op2_licence_scan, op3_line_dedup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_ngram_jaccard, op8_hnsw, op9_toxicity, op10_byte_bpe, op12_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality_qda, op2_licence_scan, op3_line_dedup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_ngram_jaccard, op8_hnsw, op9_toxicity, op10_byte_bpe, op12_sentencepiece, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op7_ngram_jaccard": OP7_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op13_conversation_repair": OP13_SQL}
