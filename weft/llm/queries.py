@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licences, linededup, lm, mixing, ngramjoin, pieces, quality, rules, toxicity, turns
+from . import ann, bpe, licences, linededup, lm, mixing, negatives, ngramjoin, pieces, quality, rules, toxicity, turns
 from .common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -110,6 +110,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the rows gets the next label, so that labels and vectors disagree somewhere."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(negatives.usable(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding"), lambda vec_id: vec_id % 100 == 0)
+
+
+OP11_SQL = """
+WITH p AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM p a, p b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), pieces.read_model(public_tokenizers.path(PIECE_FILE)))
 
@@ -176,8 +198,8 @@ FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN finished f ON f.co
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_qda, op2_licence_scan, op3_line_dedup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_ngram_jaccard, op8_hnsw, op9_toxicity, op10_byte_bpe, op12_sentencepiece, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_quality_qda, op2_licence_scan, op3_line_dedup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_ngram_jaccard, op8_hnsw, op9_toxicity, op10_byte_bpe, op11_hard_negatives, op12_sentencepiece, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op13_conversation_repair": OP13_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_conversation_repair": OP13_SQL}
