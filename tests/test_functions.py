@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from weft.functions import jsonx, phonetic, text, vector
 from weft.operators import chunking, evaluation, routing
-from weft.streaming import streams
 
 
 def one(spark, rows, schema, *cols):
@@ -134,11 +133,3 @@ def test_kinds_and_routes(spark):
     rows = [("Medication", "meds", []), ("Medication", "5 year old male dog", []), ("Medication", "x", ["dose"]), ("VitalSign", "omega chew tablet", []), ("VitalSign", "temp", []), ("Symptom", "pulse high", []), ("Symptom", "itch", []), ("Other", "x", [])]
     got = one(spark, rows, "k string, s string, a array<string>", routing.route(F.col("k"), F.col("s"), F.col("a")))
     assert [r[0] for r in got] == ["skip_vitals", "skip_signalment", "dual_sync", "dual_sync", "skip_vitals", "global_vitals", "skip_non_billable", "skip_other"]
-
-
-def test_json_scanner_is_incremental():
-    whole = '[{"a": "}"}, {"b": {"c": 1}}, {"d": 2}]'
-    for cut in range(len(whole)):
-        first, at = streams.completed_objects(whole[:cut], 0)
-        rest, _ = streams.completed_objects(whole[at:cut] + whole[cut:], 0)
-        assert first + rest == ['{"a": "}"}', '{"b": {"c": 1}}', '{"d": 2}']

@@ -181,17 +181,6 @@ def test_signal_candidates_recall_by_sound_and_vector(spark):
     assert set(got) == {("nite owl", "knight owl"), ("zzz", "physics")} and got["zzz", "physics"] == pytest.approx(0.9)
 
 
-def test_requests_are_judged_in_batches(spark, tmp_path):
-    schema = "request long, mention string"
-    spark.createDataFrame([(1, "a"), (2, "b")], schema).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    for name, answer, verdict in (("good", lambda d: d.select("request", F.upper("mention").alias("verdict")), {1: "A", 2: "B"}), ("bad", lambda d: d.select("nothing"), {1: None, 2: None})):
-        q = entities.sent_in_batches(stream, answer, str(tmp_path / name), str(tmp_path / f"check-{name}"))
-        q.processAllAvailable()
-        q.stop()
-        assert {r["request"]: r["verdict"] for r in spark.read.parquet(str(tmp_path / name)).collect()} == verdict
-
-
 def test_phonetic_join_equals_comparing_all(spark):
     from weft.functions.phonetic import metaphone
 

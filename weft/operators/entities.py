@@ -128,19 +128,3 @@ def excerpt(dim: DataFrame, name: str, synonyms: str, order: list[Column], most:
     """Lines "name (synonyms)" of the first rows: at most ``most`` rows, a report, with ``each`` synonyms."""
     some = F.array_join(F.slice(F.col(synonyms), 1, each), ", ")
     return dim.orderBy(*order).limit(most).select(F.concat_ws(" ", F.col(name), F.when(some != "", F.concat(F.lit("("), some, F.lit(")")))).alias("line"))
-
-
-def sent_in_batches(stream: DataFrame, answer, path: str, checkpoint: str, interval: str = "50 milliseconds"):
-    """A streaming query that gathers requests for ``interval`` and appends what ``answer(batch)`` gives to ``path``; a batch that fails is answered with nulls.
-
-    ``answer``: DataFrame of (request, ...) to DataFrame of (request, verdict).
-    """
-
-    def each(batch: DataFrame, number: int) -> None:
-        try:
-            out = answer(batch).select("request", "verdict")
-            out.write.mode("append").parquet(path)
-        except Exception:  # noqa: BLE001  an outside judge may fail in any way; its callers get no verdict
-            batch.select("request", F.lit(None).cast("string").alias("verdict")).write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

@@ -77,38 +77,3 @@ def windowed(events: DataFrame, size: str, slide: str | None = None, late: str =
 
 def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-def completed_objects(buffer: str, start: int) -> tuple[list[str], int]:
-    """Objects of a growing JSON array that are complete, and where to go on."""
-    out, depth, quoted, escaped, begin, at = [], 0, False, False, -1, start
-    for i in range(start, len(buffer)):
-        c = buffer[i]
-        if quoted:
-            escaped, quoted = (False, True) if escaped else (c == "\\", c != '"')
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            if depth == 0:
-                begin = i
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                out.append(buffer[begin : i + 1])
-                at = i + 1
-    return out, at
-
-
-def json_objects_stream(pieces: DataFrame) -> DataFrame:
-    """(session, object): each object of a streamed JSON array as soon as it closes; ``pieces``: session, seq, piece."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (rest,) = state.get if state.exists else ("",)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        buffer = rest + "".join(rows["piece"])
-        done, at = completed_objects(buffer, 0)
-        state.update((buffer[at:],))
-        yield pd.DataFrame({"session": [key[0]] * len(done), "object": done})
-
-    return pieces.groupBy("session").applyInPandasWithState(update, "session long, object string", "rest string", "append", "NoTimeout")
