@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["similarity", "relations", "texts", "knowledge", "records", "lookups"]
+MODULES = ["similarity", "relations", "texts", "knowledge", "records", "lookups", "streams"]
 
 
 def _load() -> None:
