@@ -6,7 +6,6 @@ total order; everything keyed is a grouped aggregate or a ranked union of joins.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,21 +13,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import edits
 from .relational import best_per_key
 
 SECTION_RANK = ["Plan", "Assessment", "Subjective", "Objective"]
+# The meta kind of an atom's kind; other kinds stand for themselves.
+META_KINDS = {
+    "medicine": "PHARMACOLOGICAL", "drug": "PHARMACOLOGICAL", "medication": "PHARMACOLOGICAL", "substance": "PHARMACOLOGICAL", "supplement": "PHARMACOLOGICAL",
+    "nutrition": "PHARMACOLOGICAL", "vaccine": "PHARMACOLOGICAL", "preventive": "PHARMACOLOGICAL", "parasitecontrol": "PHARMACOLOGICAL",
+    "diagnostic": "DIAGNOSTIC", "labtest": "DIAGNOSTIC", "diagnostictest": "DIAGNOSTIC", "imaging": "DIAGNOSTIC",
+    "procedure": "INTERVENTIONAL", "service": "INTERVENTIONAL", "treatment": "INTERVENTIONAL",
+    "vitalsign": "VITAL", "vital": "VITAL",
+    "reminder": "REMINDER", "followup": "REMINDER", "follow-up": "REMINDER",
+    "reasonforvisit": "RFV", "reason": "RFV",
+}
 # Which kinds of manifest rows an atom's kind may be linked to, besides its own.
-DRUGS = ["drug", "medicine", "medication", "substance", "supplement"]
-PREVENTION = ["vaccine", "preventive", "parasitecontrol"]
-SERVICES = ["procedure", "service", "treatment", "diagnostic"]
-TESTS = ["diagnostic", "labtest", "diagnostictest", "procedure", "service"]
-FITTING = (
-    {k: [*DRUGS, *PREVENTION, "nutrition"] for k in DRUGS}
-    | {k: [*DRUGS, *PREVENTION] for k in PREVENTION}
-    | {"nutrition": [*DRUGS, "nutrition"]}
-    | {k: SERVICES for k in ("procedure", "service", "treatment")}
-    | {k: TESTS for k in ("diagnostic", "labtest", "diagnostictest")}
-)
+FITTING = {
+    "drug": ["drug", "medicine", "medication", "substance", "supplement", "vaccine", "preventive", "parasitecontrol", "nutrition"],
+    "medicine": ["drug", "medicine", "medication", "substance", "supplement", "vaccine", "preventive", "parasitecontrol", "nutrition"],
+    "medication": ["drug", "medicine", "medication", "substance", "supplement", "vaccine", "preventive", "parasitecontrol", "nutrition"],
+    "substance": ["drug", "medicine", "medication", "substance", "supplement", "vaccine", "preventive", "parasitecontrol", "nutrition"],
+    "supplement": ["drug", "medicine", "medication", "substance", "supplement", "vaccine", "preventive", "parasitecontrol", "nutrition"],
+    "vaccine": ["drug", "medicine", "medication", "substance", "supplement", "vaccine", "preventive", "parasitecontrol"],
+    "preventive": ["drug", "medicine", "medication", "substance", "supplement", "vaccine", "preventive", "parasitecontrol"],
+    "parasitecontrol": ["drug", "medicine", "medication", "substance", "supplement", "vaccine", "preventive", "parasitecontrol"],
+    "nutrition": ["drug", "medicine", "medication", "substance", "supplement", "nutrition"],
+    "procedure": ["procedure", "service", "treatment", "diagnostic"],
+    "service": ["procedure", "service", "treatment", "diagnostic"],
+    "treatment": ["procedure", "service", "treatment", "diagnostic"],
+    "diagnostic": ["diagnostic", "labtest", "diagnostictest", "procedure", "service"],
+    "labtest": ["diagnostic", "labtest", "diagnostictest", "procedure", "service"],
+    "diagnostictest": ["diagnostic", "labtest", "diagnostictest", "procedure", "service"],
+}
 # Words that tell no product apart, and words for its form.
 UNTELLING = ["the", "and", "for", "with", "from", "ear", "eye", "drops", "tablet", "capsule", "syrup", "injection", "mg", "ml", "tab", "caps"]
 FORMS = ["capsule", "capsules", "tablet", "tablets", "tab", "tabs", "syrup", "inj", "injection", "drops"]
@@ -70,52 +86,54 @@ def entity_dedup(entities: DataFrame, key: str, within: int = 80) -> DataFrame:
     return entities.groupBy(key).applyInPandas(one, f"{key} long, kind string, name string, start long, kb_id double, mentions long")
 
 
-def atom_groups(atoms: DataFrame) -> DataFrame:
-    """Adds ``group_key``: the service id, else the stock id, else kind and dedup key, else the atom's own id."""
+def atom_text(c: Column) -> Column:
+    """Lower case, punctuation as spaces, single spaces."""
+    return text.squeeze(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\w\s]", " "))
+
+
+def meta_kind(kind: Column) -> Column:
+    k = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in META_KINDS.items() for x in pair)), k), F.when(k != "", k), F.lit("OTHER"))
+
+
+def atom_groups(atoms: DataFrame, visit: str, least: float = 0.9) -> DataFrame:
+    """Adds ``group_key``, by the first of: the service id; the stock id; dedup key and meta kind; a cluster of like concepts of one meta kind.
+
+    Clusters form in the order of ``atom_id``: an atom joins the first cluster whose first concept is like its own, by a
+    normalised edit ratio of ``least``.  An atom without any text is a group of its own.
+    """
     key = (
         F.when(F.col("service_id").isNotNull(), F.concat(F.lit("svc:"), F.col("service_id")))
         .when(F.col("stock_id").isNotNull(), F.concat(F.lit("stk:"), F.col("stock_id")))
-        .when(text.blank_to_null(F.col("dedup_key")).isNotNull(), F.concat(F.lit("key:"), F.lower("kind"), F.lit(":"), F.col("dedup_key")))
-        .otherwise(F.concat(F.lit("own:"), F.col("atom_id")))
+        .when(atom_text(F.col("dedup_key")) != "", F.concat(F.lit("key:"), meta_kind(F.col("kind")), F.lit(":"), atom_text(F.col("dedup_key"))))
     )
-    return atoms.withColumn("group_key", key)
+    marked = atoms.withColumns({"group_key": key, "_meta": meta_kind(F.col("kind")), "_text": atom_text(F.col("concept"))})
+    left = marked.where("group_key is null").select(visit, F.col("_meta"), F.col("_text"), F.col("atom_id").cast("string").alias("atom_id"))
+    like = edits.clusters(left, [visit, "_meta"], "_text", "atom_id", least)
+    both = marked.join(like, [visit, "_meta", "_text"], "left")
+    own = F.when(F.col("leader").isNotNull(), F.concat(F.lit("like:"), F.col("_meta"), F.lit(":"), F.col("leader"))).otherwise(F.concat(F.lit("own:"), F.col("atom_id")))
+    return both.withColumn("group_key", F.coalesce("group_key", own)).drop("_meta", "_text", "leader")
 
 
 def atom_dedup(atoms: DataFrame, visit: str) -> DataFrame:
-    """One atom a group and visit: best section first, then with an id, then the smallest atom id; sources joined."""
-    rank = F.array_position(F.array(*map(F.lit, SECTION_RANK)), F.col("section"))
-    has_id = F.when(F.col("service_id").isNotNull() | F.col("stock_id").isNotNull(), 0).otherwise(1)
-    order = F.struct(F.when(rank > 0, rank).otherwise(99).alias("r"), has_id.alias("h"), F.col("atom_id").alias("a"))
-    sources = F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("atom_id", "source"))), lambda x: x["source"])), " | ")
-    grouped = atom_groups(atoms).groupBy(visit, "group_key").agg(F.min_by(F.struct("atom_id", "concept", "kind", "section"), order).alias("best"), sources.alias("sources"), F.count(F.lit(1)).alias("n"))
-    return grouped.select(visit, "group_key", "best.*", "sources", "n")
-
-
-def similar_clusters(rows: DataFrame, visit: str, least: float = 0.9) -> DataFrame:
-    """(visit, id, cluster): greedy clusters of one kind whose text is like the cluster's first one."""
-
-    def ratio(a: str, b: str) -> float:
-        a, b = (re.sub(r"\s+", " ", re.sub("[^a-z0-9 ]", "", x.lower())).strip() for x in (a, b))
-        if not a or not b:
-            return 0.0
-        row = list(range(len(b) + 1))
-        for i, c in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, d in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
-        return 1 - row[-1] / max(len(a), len(b))
+    """One atom a group and visit: the best by section, then with an id, then by atom id.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        heads: list[tuple[int, str, str]] = []
-        out = []
-        for i, kind, name in frame.sort_values("id")[["id", "kind", "name"]].itertuples(index=False):
-            head = next((h for h, k, n in heads if k == kind and ratio(n, name) >= least), None)
-            if head is None:
-                heads.append((i, kind, name))
-            out.append((frame[visit].iloc[0], i, i if head is None else head))
-        return pd.DataFrame(out, columns=[visit, "id", "cluster"])
-
-    return rows.groupBy(visit).applyInPandas(one, f"{visit} long, id long, cluster long")
+    Ids that it lacks come from the first of the others that has them; its source comes first, then
+    those of the others, each text once.  Sources are made distinct before they are gathered.
+    """
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SECTION_RANK)), F.trim("section")), F.lit(0)), F.lit(99))
+    has_id = F.when(F.col("service_id").isNotNull() | F.col("stock_id").isNotNull(), 0).otherwise(1)
+    order = F.struct(rank.alias("r"), has_id.alias("h"), F.col("atom_id").alias("a"))
+    known = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("atom_id")))
+    ids = ("service_id", "stock_id")
+    grouped = atom_groups(atoms, visit).withColumn("source", F.trim(F.coalesce("source", F.lit(""))))
+    best = grouped.groupBy(visit, "group_key").agg(F.min_by(F.struct("atom_id", "concept", "kind", "section", "source", *ids), order).alias("best"), *(known(c).alias(f"any_{c}") for c in ids), F.count(F.lit(1)).alias("n"))
+    told = grouped.where("source <> ''").groupBy(visit, "group_key", "source").agg(F.min("atom_id").alias("at"))
+    told = told.groupBy(visit, "group_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "source"))), lambda x: x["source"]).alias("told"))
+    first = F.when(F.col("best.source") != "", F.array("best.source")).otherwise(F.array().cast("array<string>"))
+    sources = F.array_join(F.array_distinct(F.concat(first, F.coalesce("told", F.array().cast("array<string>")))), " | ")
+    shown = best.join(told, [visit, "group_key"], "left")
+    return shown.select(visit, "group_key", *(f"best.{c}" for c in ("atom_id", "concept", "kind", "section")), *(F.coalesce(f"best.{c}", f"any_{c}").alias(c) for c in ids), sources.alias("sources"), "n")
 
 
 def kinds_fit(atom: Column, manifest: Column) -> Column:
