@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -125,17 +127,53 @@ def found_spans(text: str, spans: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def seed_length(n: int, sizes: list[int], least: float) -> int:
+    """Length of a run that a needle of ``n`` characters shares with any window of ``sizes`` at a ratio of ``least``.
+
+    M matched characters leave n + w - 2M unmatched ones, which part the matched ones into at
+    most one more run than that.
+    """
+    lengths = []
+    for w in sizes:
+        matched = math.ceil(least * (n + w) / 2 - 1e-9)
+        lengths.append(math.ceil(matched / (n + w - 2 * matched + 1)))
+    return max(1, min(lengths))
+
+
+def proposed_windows(needle: str, hay: str, sizes: list[int], least: float) -> set[tuple[int, int]]:
+    """(size, start) of all windows that can reach ``least``: around the places where a seed of the needle stands in the text."""
+    n, q = len(needle), seed_length(len(needle), sizes, least)
+    seeds: dict[str, list[int]] = {}
+    for j in range(n - q + 1):
+        seeds.setdefault(needle[j : j + q], []).append(j)
+    spare = [(w, n + w - 2 * math.ceil(least * (n + w) / 2 - 1e-9)) for w in sizes]
+    out: set[tuple[int, int]] = set()
+    for p in range(len(hay) - q + 1):
+        for j in seeds.get(hay[p : p + q], ()):
+            for w, unmatched in spare:
+                for i in range(max(0, p - j - unmatched, p + q - w), min(p, p - j + unmatched, len(hay) - w) + 1):
+                    before = p - i
+                    if abs(j - before) + abs((n - j) - (w - before)) <= unmatched:
+                        out.add((w, i))
+    return out
+
+
 def closest_substring(needle: str, hay: str, least: float) -> tuple[int, int] | None:
-    """The window of ``hay`` most like ``needle`` by difflib's ratio, earliest on ties; None below ``least``."""
-    from difflib import SequenceMatcher
-
-    m, best, where = SequenceMatcher(autojunk=False), least, None
-    m.set_seq2(needle)
-    for size in range(max(1, len(needle) // 2), int(1.5 * len(needle)) + 3):
-        for i in range(len(hay) - size + 1):
-            m.set_seq1(hay[i : i + size])
-            if m.real_quick_ratio() >= best and m.quick_ratio() >= best and ((r := m.ratio()) > best or where is None and r >= best):
-                best, where = r, (i, i + size)
+    """The window of ``hay`` most like ``needle`` by difflib's ratio, the shortest and then earliest on ties; None below ``least``.
+
+    Windows have from half to one and a half times the needle's length.  Only those around a shared
+    seed are compared, so the work grows with the text and not with its windows.
+    """
+    n = len(needle)
+    sizes = [w for w in range(max(2, n // 2), min(int(n * 1.5) + 2, len(hay)) + 1) if 2 * min(n, w) >= least * (n + w) - 1e-9]
+    if not needle or n > len(hay) or not sizes:
+        return None
+    m, best, where = SequenceMatcher(), least, None
+    m.set_seq1(needle)
+    for w, i in sorted(proposed_windows(needle, hay, sizes, least)):
+        m.set_seq2(hay[i : i + w])
+        if m.real_quick_ratio() >= best and m.quick_ratio() >= best and ((r := m.ratio()) > best or where is None and r >= best):
+            best, where = r, (i, i + w)
     return where
 
 

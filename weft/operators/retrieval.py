@@ -37,6 +37,21 @@ def trigram_join(left: DataFrame, right: DataFrame, column: str, least: float) -
     return shared.withColumn("similarity", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def contained_names(names: DataFrame, column: str = "name") -> DataFrame:
+    """(name) of the distinct values that lie within a longer one.
+
+    A name is looked for only where its rarest run of three characters stands (the whole name, if shorter), so common runs
+    are not joined on.
+    """
+    distinct = names.select(F.col(column).alias("name")).where("name <> ''").distinct()
+    runs = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - (k - 1), F.lit(1))), lambda i: F.substring("name", i, F.lit(k))))
+    postings = distinct.select("name", F.explode(F.concat(*(F.when(F.length("name") >= k, runs(k)).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3)))).alias("run"))
+    own = postings.where(F.length("run") == F.least(F.length("name"), F.lit(3))).join(postings.groupBy("run").agg(F.count("*").alias("n")), "run")
+    rarest = top_per_key(own, ["name"], 1, F.asc("n"), F.asc("run")).select(F.col("name").alias("short"), "run")
+    met = rarest.join(postings, "run").where((F.col("short") != F.col("name")) & F.contains("name", F.col("short")))
+    return met.select(F.col("short").alias("name")).distinct()
+
+
 def with_phonetic_key(df: DataFrame, column: str, out: str = "phonetic") -> DataFrame:
     """Adds the metaphone key, computed once a distinct value."""
     keys = df.select(column).distinct().withColumn(out, metaphone_key(F.col(column)))

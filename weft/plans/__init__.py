@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["similarity", "relations", "texts", "knowledge", "records", "lookups", "streams", "matching"]
+MODULES = ["similarity", "relations", "texts", "knowledge", "records", "lookups", "streams", "matching", "rules"]
 
 
 def _load() -> None:

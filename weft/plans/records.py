@@ -168,21 +168,6 @@ def reminder_merge(spark, sf_dir):
     return named.unionByName(rows.where("name = ''"))
 
 
-REMINDERS = ["Schedule recheck in 2 weeks", "Do not bathe", "Avoid stairs, return in 3 days", "Feed well", "If worse then call", "Give tablets after food"]
-
-
-@query(f"""
-WITH r AS (SELECT o_orderkey, {pick(REMINDERS, "o_orderkey")} AS t, {pick(INTENTS, "o_custkey")} AS intent, {pick(["", "ASAP", "2024-01-05"], "o_orderkey // 2")} AS due, {pick(["12-3", "x1", ""], "o_orderkey // 3")} AS item FROM orders)
-SELECT o_orderkey, NOT (regexp_matches(lower(t), '\\b(avoid|do not|don''t)\\b') AND NOT regexp_matches(lower(t), '\\b(schedule|recheck|return|visit|appointment)\\b'))
-  AND (intent IN ('Scheduled', 'Future') OR due = '2024-01-05' OR item = '12-3' OR t <> 'Feed well') AS needs_action FROM r
-""")
-def reminder_rows(spark, sf_dir):
-    """Which reminder rows ask for something, by intent, due date, item or text."""
-    o = F.col("o_orderkey")
-    t = spark_pick(REMINDERS, o)
-    return table(spark, sf_dir, "orders").select("o_orderkey", p.needs_action(routing.is_actionable(t), t, spark_pick(INTENTS, F.col("o_custkey")), spark_pick(["", "ASAP", "2024-01-05"], F.floor(o / 2)), spark_pick(["12-3", "x1", ""], F.floor(o / 3))).alias("needs_action"))
-
-
 SECTIONS = ["Subjective", "Objective", "Assessment", "Plan"]
 NOTE_SQL = "CASE doc_id % 5 WHEN 0 THEN 'Subjective: ' || w1 || chr(10) || 'Plan: 1. ' || w2 || chr(10) || '2) Unknown-not specified' || chr(10) || 'ASSESSMENT : ' || w3 WHEN 1 THEN w1 || ' ' || w2 WHEN 2 THEN 'Error: ' || w1 WHEN 3 THEN '' ELSE 'Objective:' || chr(10) || w1 || chr(10) || 'Plan: ' || w2 END"
 
@@ -314,16 +299,13 @@ def entity_keys(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, round(0.2 + CASE WHEN p_partkey % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 0.1 ELSE 0 END, 6) AS bonus,
-  round(CASE WHEN p_partkey % 3 = 0 THEN least(1.0, p_size / 50.0 * 1.2) ELSE p_size / 50.0 END, 6) AS boosted, p_partkey % 2 = 0 AS form FROM part
+SELECT p_partkey, round(CASE WHEN p_partkey % 3 = 0 THEN least(1.0, p_size / 50.0 * 1.2) ELSE p_size / 50.0 END, 6) AS boosted, p_partkey % 2 = 0 AS form FROM part
 """)
-def sku_bonus(spark, sf_dir):
-    """Points for shared brands, forms and numbers; a score raised where issue and name share a topic; shared dosage forms."""
-    k, brand = F.col("p_partkey"), F.lower(F.element_at(F.split("p_brand", "[^A-Za-z]"), 1))
-    name = F.concat_ws(" ", brand, F.when(k % 2 == 0, "tablet").otherwise("powder"), F.col("p_size").cast("string"))
-    wanted = F.concat_ws(" ", brand, F.lit("tablet"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")))
+def topic_boost(spark, sf_dir):
+    """A score raised where issue and name share a topic; shared dosage forms."""
+    k = F.col("p_partkey")
     topic = F.when(k % 3 == 0, "dental care").otherwise("skin care")
-    return table(spark, sf_dir, "part").select("p_partkey", p.sku_bonus(wanted, name, ["brand"], ["tablet"]).alias("bonus"), F.round(p.contextual_boost(F.col("p_size") / 50.0, F.lit("dental pain, hip"), topic, ["hip", "dental"]), 6).alias("boosted"), p.shared_form(wanted, name).alias("form"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(p.contextual_boost(F.col("p_size") / 50.0, F.lit("dental pain, hip"), topic, ["hip", "dental"]), 6).alias("boosted"), p.shared_form(F.lit("one tablet"), F.when(k % 2 == 0, "tablet").otherwise("powder")).alias("form"))
 
 
 @query("""
