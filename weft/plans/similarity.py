@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vector
 from ..functions.phonetic import double_metaphone_keys, jaro_winkler_similarity
-from ..operators import ranking, relational, retrieval
+from ..operators import ranking, relational, retrieval, text_index
+from ..sources.files import scratch
 from .registry import jaro_winkler_sql, query, table, trigrams_sql, words_sql
 
 
@@ -293,6 +294,18 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25(q, table(spark, sf_dir, "documents"), 10).drop("rank")
 
 
+@query(BM25 + "SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10")
+def bm25_indexed(spark, sf_dir):
+    """An index of the documents, a tenth of them with other texts, then brought up to date and searched."""
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "text-index")
+    k = F.col("doc_id")
+    old = docs.select("doc_id", F.when(k % 10 == 3, F.concat(F.lit("before it was changed "), F.substring("text", 1, 50))).otherwise(F.col("text")).alias("text"))
+    text_index.update(old.unionByName(docs.where(k % 50 == 0).select((-k - 1).alias("doc_id"), "text")), folder)
+    text_index.update(docs.where(k % 10 == 3), folder, deleted=docs.where(k % 50 == 0).select((-k - 1).alias("doc_id")))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return text_index.search(q, folder, 10).drop("rank")
+
+
 HYBRID_CAT = BM25 + """, k AS (SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10),
 mm AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS b FROM k WINDOW w AS (PARTITION BY query_id)),
 h AS (SELECT query_id, doc_id, round(least(1, 0.65 * ((doc_id % 100) / 100.0) + 0.35 * b + CASE WHEN doc_id % 7 = query_id % 7 THEN 0.35 ELSE 0 END), 6) AS score FROM mm)
