@@ -73,8 +73,9 @@ def documents_of(spark: SparkSession, folder: str, upto: int) -> DataFrame:
 
 
 def update(docs: DataFrame, folder: str, deleted: DataFrame | None = None, modified: str | None = None) -> State:
-    """Adds new and changed ``docs`` (doc_id, text), takes away the ids of ``deleted``, and commits a new version."""
+    """Adds new and changed ``docs`` (doc_id, text), one row an id, takes away the ids of ``deleted``, even of ``docs``, and commits a new version."""
     spark = docs.sparkSession
+    docs = docs if deleted is None else docs.join(deleted.select("doc_id"), "doc_id", "left_anti")
     before = state_of(spark, folder)
     version = before.version + 1 if before else 0
     split = docs.select("doc_id", text.words(F.col("text")).alias("w"))
