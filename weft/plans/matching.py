@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import automaton
+from ..operators import automaton, suggestions
 from .registry import query, table
 
 SPACED = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g'))"
@@ -38,3 +38,35 @@ def atom_match(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     items = lines.select((F.col("l_orderkey") % 40).alias("visit"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").alias("item"), F.array(first, second, third).alias("names")).distinct()
     return automaton.matched_atoms(items, atoms).select("visit", "item", F.coalesce("atom", F.lit(-1)).alias("atom"), F.coalesce("how", F.lit("-")).alias("how"))
+
+
+@query("""
+WITH m AS (SELECT o_orderkey AS mention, o_orderpriority AS span, CASE WHEN o_orderkey % 3 = 0 THEN upper(o_orderpriority) ELSE o_orderstatus || o_orderkey % 5 END AS normalized, CASE o_orderkey % 4 WHEN 0 THEN 'Procedure' WHEN 1 THEN 'Surgery' ELSE 'Medication' END AS kind, [o_custkey % 90, o_custkey % 40, o_custkey % 7] AS domains FROM orders),
+l AS (SELECT DISTINCT l_orderkey AS mention, p_name AS name, l_discount * 10 + l_linenumber / 100.0 AS score, l_partkey AS stock_id, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey END AS service_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 5 <> 2),
+g AS (SELECT DISTINCT l_orderkey - 1 AS mention, CASE WHEN l_linenumber = 1 THEN upper(p_name) ELSE p_name END AS name, l_tax * 10 + l_linenumber / 1000.0 AS score, l_partkey AS concept_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 7 <> 3),
+a AS (SELECT mention, 0 AS side, row_number() OVER (PARTITION BY mention ORDER BY score DESC, name, stock_id, service_id NULLS LAST) AS rank, name, score, stock_id, service_id, NULL AS concept_id FROM l
+  UNION ALL SELECT mention, 1, row_number() OVER (PARTITION BY mention ORDER BY score DESC, name, concept_id), name, score, NULL, NULL, concept_id FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY mention, lower(name) ORDER BY side, rank) AS seen FROM a WHERE CASE side WHEN 0 THEN rank <= 5 ELSE rank <= 15 END),
+s AS (SELECT mention, string_agg(concat_ws('/', name, round(score, 4)::DECIMAL(10,4), coalesce(service_id, -1), coalesce(stock_id, -1), coalesce(concept_id, -1)), ';' ORDER BY side, rank) AS listed, any_value(name || stock_id) FILTER (WHERE side = 0 AND rank = 1) AS first FROM k WHERE side = 0 OR seen = 1 GROUP BY mention),
+v AS (SELECT s_suppkey % 35 AS domain, s_suppkey AS service_id, s_name AS service, s_acctbal AS price, CASE WHEN s_suppkey % 3 = 0 THEN 'Surgery' ELSE 'Tele-Consultation' END AS category FROM supplier),
+b AS (SELECT domain, service_id, service FROM v WHERE contains(lower(category), 'consult') QUALIFY row_number() OVER (PARTITION BY domain ORDER BY price DESC, service_id) = 1),
+c AS (SELECT mention, domain, service_id, service FROM (SELECT mention, unnest(domains) AS domain, generate_subscripts(domains, 1) AS place FROM m WHERE kind <> 'Medication') JOIN b USING (domain) QUALIFY row_number() OVER (PARTITION BY mention ORDER BY place) = 1)
+SELECT mention, coalesce(service, CASE WHEN lower(normalized) <> lower(span) THEN normalized ELSE span END) AS display_name, CASE WHEN service_id IS NULL THEN 'dual_sync_judge_rejected' ELSE 'domain_consultation_fallback' END AS match_method,
+ coalesce(service_id, -1) AS service_id, coalesce('domain_consultation:' || domain || ':' || service_id, '-') AS dedupe_key, coalesce(listed, '') AS suggestions, coalesce(first, '-') AS first
+FROM m LEFT JOIN s USING (mention) LEFT JOIN c USING (mention)
+""")
+def rejected_suggestions(spark, sf_dir):
+    """Orders as rejected mentions, their lines as local and the next order's as general candidates, suppliers as services."""
+    k, n = F.col("o_orderkey"), F.col("l_linenumber")
+    kind = F.when(k % 4 == 0, "Procedure").when(k % 4 == 1, "Surgery").otherwise("Medication")
+    normalized = F.when(k % 3 == 0, F.upper("o_orderpriority")).otherwise(F.concat("o_orderstatus", (k % 5).cast("string")))
+    mentions = table(spark, sf_dir, "orders").select(k.alias("mention"), F.col("o_orderpriority").alias("span"), normalized.alias("normalized"), kind.alias("kind"), F.array(*(F.col("o_custkey") % d for d in (90, 40, 7))).alias("domains"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    local = lines.where("l_orderkey % 5 <> 2").select(F.col("l_orderkey").alias("mention"), F.col("p_name").alias("name"), (F.col("l_discount") * 10 + n / 100).alias("score"), F.col("l_partkey").alias("stock_id"), F.when(n % 2 == 0, F.col("l_suppkey")).alias("service_id"), F.lit(None).cast("long").alias("concept_id")).distinct()
+    general = lines.where("l_orderkey % 7 <> 3").select((F.col("l_orderkey") - 1).alias("mention"), F.when(n == 1, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), (F.col("l_tax") * 10 + n / 1000).alias("score"), F.col("l_partkey").alias("concept_id")).distinct()
+    s = F.col("s_suppkey")
+    services = table(spark, sf_dir, "supplier").select((s % 35).alias("domain"), s.alias("service_id"), F.col("s_name").alias("service"), F.col("s_acctbal").alias("price"), F.when(s % 3 == 0, "Surgery").otherwise("Tele-Consultation").alias("category"))
+    out = suggestions.rejected(mentions, local, general, services)
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("-1"))
+    line = lambda x: F.concat_ws("/", x["name"], F.round(x["match_score"], 4).cast("decimal(10,4)").cast("string"), number(x["service_id"]), number(x["stock_id"]), number(x["kb_concept_id"]))
+    return out.select("mention", "display_name", "match_method", F.coalesce("local_service_id", F.lit(-1)).alias("service_id"), F.coalesce("dedupe_key", F.lit("-")).alias("dedupe_key"), F.array_join(F.transform("suggestions", line), ";").alias("suggestions"), F.coalesce(F.concat("primary.name", F.col("primary.stock_id").cast("string")), F.lit("-")).alias("first"))
