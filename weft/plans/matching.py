@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import automaton, suggestions
+from ..operators import attributes, automaton, suggestions
 from .registry import query, table
 
 SPACED = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g'))"
@@ -70,3 +70,40 @@ def rejected_suggestions(spark, sf_dir):
     number = lambda c: F.coalesce(c.cast("string"), F.lit("-1"))
     line = lambda x: F.concat_ws("/", x["name"], F.round(x["match_score"], 4).cast("decimal(10,4)").cast("string"), number(x["service_id"]), number(x["stock_id"]), number(x["kb_concept_id"]))
     return out.select("mention", "display_name", "match_method", F.coalesce("local_service_id", F.lit(-1)).alias("service_id"), F.coalesce("dedupe_key", F.lit("-")).alias("dedupe_key"), F.array_join(F.transform("suggestions", line), ";").alias("suggestions"), F.coalesce(F.concat("primary.name", F.col("primary.stock_id").cast("string")), F.lit("-")).alias("first"))
+
+
+SCHEMA = [
+    ("Medicine", "HAS_DOSE", "dose", "5 mg", True, "number"), ("Medicine", "HAS_ROUTE", "route", "PO", True, "text"), ("Medicine", "IS_DAILY", "daily", "true", False, "flag"), ("Medicine", "STARTS", "start", "1995-01-02", False, "date"),
+    ("Procedure", "HAS_SITE", "site", "left hip", True, "text"), ("Procedure", "HAS_COUNT", "count", "2", False, "number"), ("Procedure", "HAS_DOSE", "dose", None, None, None),
+]
+SCHEMA_SQL = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in SCHEMA)
+
+
+@query(f"""
+WITH z(source_kind, relationship, target, use_case, required, type) AS (VALUES {SCHEMA_SQL}),
+l AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_shipdate::DATE) AS id, l_orderkey % 4 AS k, l_partkey % 5 AS j, l_linenumber AS n, l_partkey AS p, l_shipdate::DATE AS d FROM lineitem),
+a AS (SELECT id, CASE k WHEN 0 THEN 'Procedure' WHEN 3 THEN 'Odd' ELSE 'Medicine' END AS kind, CASE j WHEN 0 THEN '{{"HAS_DOSE": ' || p || ', "HAS_ROUTE": "PO", "IS_DAILY": true, "STARTS": "' || d || '"}}'
+  WHEN 1 THEN '{{"HAS_DOSE": "' || n || '", "HAS_SITE": "hip", "JUNK": [1, "x"], "HAS_COUNT": "many"}}' WHEN 2 THEN '{{"HAS_DOSE": "some", "HAS_ROUTE": null, "STARTS": "soon", "IS_DAILY": "false"}}' WHEN 3 THEN '[1, 2]' ELSE CASE WHEN n = 1 THEN NULL WHEN n = 2 THEN '{{broken' ELSE '{{}}' END END AS payload FROM l),
+o AS (SELECT *, coalesce(CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END, false) AS is_object FROM a),
+e AS (SELECT id, kind, u.name, json_extract(payload, '$.' || u.name) AS value, json_extract_string(payload, '$.' || u.name) AS v FROM o, (SELECT unnest(json_keys(CASE WHEN is_object THEN payload END)) AS name) u),
+m AS (SELECT e.*, z.source_kind IS NOT NULL AS known, coalesce(z.type, 'text') AS type FROM e LEFT JOIN z ON z.source_kind = e.kind AND z.relationship = e.name WHERE json_type(value) <> 'NULL'),
+c AS (SELECT *, CASE type WHEN 'number' THEN TRY_CAST(v AS DOUBLE) IS NOT NULL WHEN 'flag' THEN TRY_CAST(v AS BOOLEAN) IS NOT NULL WHEN 'date' THEN TRY_CAST(v AS DATE) IS NOT NULL ELSE true END AS sound FROM m),
+s AS (SELECT id, string_agg(name || '=' || CASE type WHEN 'number' THEN TRY_CAST(v AS DOUBLE)::BIGINT::VARCHAR ELSE v END, ',' ORDER BY name) FILTER (WHERE known AND sound) AS sound, string_agg(name || '=' || CASE WHEN json_type(value) = 'ARRAY' THEN replace(value::VARCHAR, ' ', '') ELSE value::VARCHAR END, ';' ORDER BY name) FILTER (WHERE NOT known) AS unknown, string_agg(name, ',' ORDER BY name) FILTER (WHERE known AND NOT sound) AS wrong FROM c GROUP BY id),
+q AS (SELECT o.id, string_agg(z.relationship, ',' ORDER BY z.relationship) AS missing FROM o JOIN z ON z.source_kind = o.kind AND z.required LEFT JOIN c ON c.id = o.id AND c.name = z.relationship AND c.known AND c.sound WHERE c.id IS NULL GROUP BY o.id)
+SELECT id, is_object, coalesce(sound, '') AS sound, coalesce(unknown, '') AS unknown, coalesce(wrong, '') AS wrong, coalesce(missing, '') AS missing FROM o LEFT JOIN s USING (id) LEFT JOIN q USING (id)
+""")
+def attribute_schema(spark, sf_dir):
+    """Payloads of line items, sound, odd and broken ones, against a schema of two kinds."""
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").cast("string")).alias("id"), (F.col("l_orderkey") % 4).alias("k"), (p % 5).alias("j"), n.alias("n"), p.alias("p"), F.to_date("l_shipdate").cast("string").alias("d")).distinct()
+    whole = F.format_string('{"HAS_DOSE": %s, "HAS_ROUTE": "PO", "IS_DAILY": true, "STARTS": "%s"}', F.col("p").cast("string"), "d")
+    part = F.format_string('{"HAS_DOSE": "%s", "HAS_SITE": "hip", "JUNK": [1, "x"], "HAS_COUNT": "many"}', F.col("n").cast("string"))
+    odd = F.lit('{"HAS_DOSE": "some", "HAS_ROUTE": null, "STARTS": "soon", "IS_DAILY": "false"}')
+    payload = F.when(F.col("j") == 0, whole).when(F.col("j") == 1, part).when(F.col("j") == 2, odd).when(F.col("j") == 3, "[1, 2]").otherwise(F.when(F.col("n") == 1, None).when(F.col("n") == 2, "{broken").otherwise("{}"))
+    kind = F.when(F.col("k") == 0, "Procedure").when(F.col("k") == 3, "Odd").otherwise("Medicine")
+    schema = spark.createDataFrame(SCHEMA, "source_kind string, relationship string, target_attribute string, use_case string, is_required boolean, value_type string")
+    out = attributes.checked(lines.select("id", kind.alias("kind"), payload.alias("payload")), schema)
+    pairs = lambda c, show: F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), show(e["value"])))
+    text = lambda v: v.cast("string")
+    sound = F.array_sort(F.concat(pairs("numbers", lambda v: v.cast("long").cast("string")), *(pairs(c, text) for c in ("flags", "dates", "texts"))))
+    return out.select("id", "is_object", F.array_join(sound, ",").alias("sound"), F.array_join(F.array_sort(pairs("unknown", text)), ";").alias("unknown"), F.array_join("wrong", ",").alias("wrong"), F.array_join(F.array_sort("missing"), ",").alias("missing"))
