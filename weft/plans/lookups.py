@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import notes, predicates as p, text
 from ..functions.phonetic import double_metaphone, jaro_winkler_similarity, metaphone
 from ..operators import entities, relational, retrieval, routing
-from ..sources import files
+from ..sources import artifacts, files
 from .records import INTENTS, KINDS, any_sql, case_sql, in_sql, pick, spark_pick
 from .registry import jaro_winkler_sql, query, table, trigrams_sql, words_sql
 from .similarity import D, mentions, vectors
@@ -284,16 +284,18 @@ def model_comparison(spark, sf_dir):
 
 
 @query("""
-SELECT r_regionkey % 2 AS folder, max(r_regionkey) AS newest, (array_agg('{"id":' || r_regionkey || ',"name":"' || r_name || '"}' ORDER BY r_regionkey DESC))[1] AS payload FROM region GROUP BY 1
+SELECT o_orderkey AS id, o_orderpriority AS stage, o_totalprice AS ms, o_orderstatus = 'F' AS done, (SELECT count(*) FROM orders WHERE o_orderkey % 3 > 0) AS n_rows, (SELECT sum(length(o_orderpriority)) FROM orders WHERE o_orderkey % 3 > 0)::BIGINT AS n_chars FROM orders WHERE o_orderkey % 3 > 0
 """)
 def artifact_round_trip(spark, sf_dir):
-    """Artifacts of several runs written and read again; the latest run of each folder is taken, its note parsed."""
+    """Two runs of stage timings written as artifacts; the pointer leads to the second one, its manifest has the counts."""
+    artifacts.register(spark)
     path = files.scratch(spark, "artifacts")
-    rows = table(spark, sf_dir, "region").select((F.col("r_regionkey") % 2).alias("folder"), F.col("r_regionkey").alias("run"), F.to_json(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))).alias("payload"))
-    rows.write.partitionBy("folder", "run").text(path)
-    back = spark.read.option("basePath", path).text(path).select(F.col("folder").cast("long"), F.col("run").cast("long"), F.col("value").alias("payload"))
-    latest = back.groupBy("folder").agg(F.max_by(F.struct("run", "payload"), "run").alias("l"))
-    return latest.select("folder", F.col("l.run").alias("newest"), F.col("l.payload").alias("payload"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("stage"), F.col("o_totalprice").alias("ms"), (F.col("o_orderstatus") == "F").alias("done"))
+    for keep in ("id % 3 = 0", "id % 3 > 0"):
+        rows.where(keep).write.format("artifact").option("text", "stage").mode("append").save(path)
+    told = artifacts.latest(path)
+    back = spark.read.format("artifact").schema("id long, stage string, ms double, done boolean").load(path)
+    return back.withColumns({"n_rows": F.lit(told["rows"]), "n_chars": F.lit(told["chars"]).cast("long")})
 
 
 @query()
