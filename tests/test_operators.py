@@ -63,14 +63,6 @@ def test_exact_knn_equals_brute_force(spark):
         assert sorted(by[i]) == [(pytest.approx(d, abs=1e-6), j) for d, j in exact]
 
 
-def test_entity_dedup_is_idempotent():
-    r = [{"kind": "D", "name": n, "start": s, "kb_id": None} for n, s in (("pain", 0), ("Pain", 50), ("abdominal pain", 100), ("pain", 900))]
-    once = linkage.fold_entities(r, 80)
-    assert [(x["name"], x["mentions"]) for x in once] == [("pain", 3), ("pain", 1)]
-    again = linkage.fold_entities([{k: x[k] for k in ("kind", "name", "start", "kb_id")} for x in once], 80)
-    assert [x["name"] for x in again] == [x["name"] for x in once]
-
-
 def test_link_cascade_order(spark):
     atoms = [(1, "red pill", "E9", None), (2, "blue  Pill", None, None), (3, "green pills", None, None), (4, "nothing", None, None), (5, "other", None, 7), (6, "Brand X", None, None), (7, "easotic ear drops", None, None), (8, "amoxicilin tablet", None, None), (9, "scan", None, None)]
     a = spark.createDataFrame([(1, i, c, "Medication", r, x) for i, c, r, x in atoms], "visit long, atom_id long, concept string, kind string, ref_id string, local_id long")

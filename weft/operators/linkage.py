@@ -50,42 +50,6 @@ UNTELLING = ["the", "and", "for", "with", "from", "ear", "eye", "drops", "tablet
 FORMS = ["capsule", "capsules", "tablet", "tablets", "tab", "tabs", "syrup", "inj", "injection", "drops"]
 
 
-def same_entity(a: dict, b: dict, within: int) -> bool:
-    """Ids decide if both have one; else equal names nearby, or one in the other nearby."""
-    if a["kb_id"] == a["kb_id"] and b["kb_id"] == b["kb_id"] and a["kb_id"] is not None and b["kb_id"] is not None:
-        return a["kb_id"] == b["kb_id"]
-    apart = abs(a["start"] - b["start"])
-    x, y = a["name"].lower().strip(), b["name"].lower().strip()
-    if x == y:
-        return apart <= within
-    return bool(x and y) and (x in y or y in x) and apart <= 2 * within
-
-
-def fold_entities(rows: list[dict], within: int) -> list[dict]:
-    """Greedy left to right, longer first: a row joins the first kept one that it equals."""
-    kept: list[dict] = []
-    for r in sorted(rows, key=lambda r: (r["start"], -len(r["name"]), r["name"])):
-        for k in kept:
-            if k["kind"] == r["kind"] and same_entity(k, r, within):
-                k["mentions"] += 1
-                break
-        else:
-            kept.append({**r, "mentions": 1})
-    return kept
-
-
-def entity_dedup(entities: DataFrame, key: str, within: int = 80) -> DataFrame:
-    """(key, kind, name, start, kb_id, mentions): per document, duplicates across chunks merged."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = fold_entities(frame[["kind", "name", "start", "kb_id"]].to_dict("records"), within)
-        out = pd.DataFrame(rows, columns=["kind", "name", "start", "kb_id", "mentions"])
-        out.insert(0, key, frame[key].iloc[0])
-        return out
-
-    return entities.groupBy(key).applyInPandas(one, f"{key} long, kind string, name string, start long, kb_id double, mentions long")
-
-
 def atom_text(c: Column) -> Column:
     """Lower case, punctuation as spaces, single spaces."""
     return text.squeeze(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\w\s]", " "))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import linkage, ranking, relational, routing
+from ..operators import entity_fold, linkage, ranking, relational, routing
 from ..streaming import streams
 from .registry import query, table
 
@@ -278,8 +278,15 @@ def entity_dedup(spark, sf_dir):
     """Words of a document's lines as mentions; greedy merging depends on order, so SQL has no short form."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"))
     words = lines.select("doc_id", F.posexplode(F.filter(F.split("t", " "), lambda w: F.length(w) >= 9)).alias("at", "name"), "line")
-    rows = words.select("doc_id", F.when(F.col("at") % 2 == 0, "Symptom").otherwise("Procedure").alias("kind"), "name", (F.col("line") * 40 + F.col("at")).cast("long").alias("start"), F.lit(None).cast("double").alias("kb_id"))
-    return linkage.entity_dedup(rows, "doc_id").select("doc_id", "kind", "name", "start", "mentions")
+    start = (F.col("line") * 40 + F.col("at")).cast("long")
+    none = F.lit(None).cast("long")
+    attributes = F.when(F.col("at") % 3 == 0, F.create_map(F.lit("anatomy"), F.substring("name", 1, 1))).otherwise(F.create_map(F.lit("note"), F.col("name")))
+    rows = words.select(
+        "doc_id", F.when(F.col("at") % 2 == 0, "Symptom").otherwise("Procedure").alias("kind"), "name", start.alias("start"), (start + F.length("name")).alias("stop"), none.alias("concept_id"),
+        F.when(F.col("at") % 11 == 0, F.length("name").cast("long")).alias("service_id"), none.alias("stock_id"), F.when(F.col("at") % 5 == 0, "ordered").otherwise("").alias("intent"), F.lit(None).cast("string").alias("supporting"), attributes.alias("attributes"),
+    )
+    kept = entity_fold.entity_dedup(rows, "doc_id")
+    return kept.select("doc_id", "kind", "name", "start", "mentions", F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("attributes"))
 
 
 PLAIN = lambda c: f"trim(regexp_replace(regexp_replace(lower({c}), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'))"
