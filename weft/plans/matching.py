@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attributes, automaton, suggestions
+from ..operators import attributes, automaton, decision, suggestions
+from .records import pick, spark_pick
 from .registry import query, table
 
 SPACED = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g'))"
@@ -107,3 +108,48 @@ def attribute_schema(spark, sf_dir):
     text = lambda v: v.cast("string")
     sound = F.array_sort(F.concat(pairs("numbers", lambda v: v.cast("long").cast("string")), *(pairs(c, text) for c in ("flags", "dates", "texts"))))
     return out.select("id", "is_object", F.array_join(sound, ",").alias("sound"), F.array_join(F.array_sort(pairs("unknown", text)), ";").alias("unknown"), F.array_join("wrong", ",").alias("wrong"), F.array_join(F.array_sort("missing"), ",").alias("missing"))
+
+
+SAID = ["tablets", "bravecto tablet", "fho", "xray of hip", "some long mention here", "abc", "exam", "nutrich capsule 60s", "blue ring drops", ""]
+SHOWN = ["Nutrich capsule", "exam", "tablet pack", "blue ring drops", "scan", "Bravecto tab"]
+ODDS = ["Drug", "Procedure", "Medicine", "Vaccine", "Diagnosis"]
+FLOW = f"""
+WITH l AS (SELECT DISTINCT l_orderkey AS entity, l_partkey * 100 + l_linenumber AS id, l_partkey AS p, l_suppkey AS s, l_linenumber AS n FROM lineitem),
+r AS (SELECT entity, {pick(SAID, "entity")} AS mention, {pick(ODDS, "entity // 3")} AS kind, id, {pick(SHOWN, "p")} AS name, CASE WHEN entity % 11 = 0 THEN 0 ELSE (p * 7 + n) % 101 / 100.0 END::DOUBLE AS t, CASE WHEN entity % 11 = 0 THEN 0 ELSE (s * 13 + p * (entity % 2)) % 101 / 100.0 END::DOUBLE AS ph,
+  CASE WHEN entity % 3 = 0 OR entity % 11 = 0 THEN 0 ELSE (p * (CASE WHEN entity % 2 = 0 THEN 7 ELSE 31 END) + n) % 101 / 100.0 END::DOUBLE AS v, p % 2 = 0 AS relevant FROM l),
+m AS (SELECT *, CASE WHEN entity % 11 = 0 THEN (id % 97) / 96.0 WHEN entity % 4 = 0 THEN greatest(t, v) WHEN entity % 4 = 1 THEN greatest(ph, v) ELSE round((t + ph + v) / 3, 6) END::DOUBLE AS m FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY m DESC, id) AS rank FROM m QUALIFY rank <= 10),
+c AS (SELECT * REPLACE (CASE WHEN m > 0 AND t = 0 AND ph = 0 AND v = 0 THEN m ELSE t END AS t) FROM k),
+w AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY t DESC, rank) AS rt, row_number() OVER (PARTITION BY entity ORDER BY ph DESC, m DESC, rank) AS rp, row_number() OVER (PARTITION BY entity ORDER BY v DESC, rank) AS rv FROM c),
+g AS (SELECT entity, any_value(mention) AS mention, any_value(kind) AS kind, max(id) FILTER (WHERE rank = 1) AS top, max(m) FILTER (WHERE rank = 1) AS best, round(max(m) FILTER (WHERE rank = 1) - coalesce(max(m) FILTER (WHERE rank = 2), 0), 9) AS margin, max(t) FILTER (WHERE rank = 1) AS tt, max(ph) FILTER (WHERE rank = 1) AS tp, max(v) FILTER (WHERE rank = 1) AS tv,
+  max(name) FILTER (WHERE rank = 1) AS name, bool_or(relevant) FILTER (WHERE rank = 1) AS relevant, max(id) FILTER (WHERE rt = 1) AS bt, max(id) FILTER (WHERE rp = 1) AS bp, max(id) FILTER (WHERE rv = 1) AS bv, max(t) AS mt, max(v) AS mv, max(v) > 0 AS hv,
+  bool_and(name NOT IN ('exam', 'scan')) FILTER (WHERE rank <= 5) AS specifics FROM w GROUP BY entity),
+d AS (SELECT *, mention IN ('tablets', 'exam', '', 'abc', 'fho') AS generic, (bt = top)::INT + (bp = top)::INT + (hv AND bv = top)::INT AS votes, CASE WHEN kind IN ('Drug', 'Medicine') THEN 0.88 ELSE 0.92 END AS base FROM g),
+x AS (SELECT *, CASE WHEN generic THEN '' WHEN bt = bp AND (NOT hv OR bt = bv) AND (CASE WHEN hv THEN greatest(mt, mv) ELSE mt END) >= 0.7 THEN 'A' WHEN best >= CASE WHEN {{low}} THEN 0.80 ELSE base END THEN 'B1'
+  WHEN votes >= 2 AND margin >= 0.15 AND bt = top AND hv AND bv = top AND tt >= 0.62 AND tv >= 0.3 AND kind IN ('Drug', 'Medicine', 'Vaccine') AND (contains(mention, 'capsule') AND contains(name, 'capsule') OR contains(mention, 'tab') AND contains(lower(name), 'tab') OR contains(mention, 'drops') AND contains(name, 'drops')) THEN 'BRAND'
+  WHEN votes >= 2 AND margin >= 0.08 AND greatest(tt, tv) >= 0.7 THEN 'B2' ELSE '' END AS gate FROM d)
+"""
+SPENT = "CASE WHEN gate <> '' THEN gate WHEN NOT generic AND mention = 'xray of hip' AND tv >= 0.75 THEN 'SHORT' WHEN NOT generic AND tt >= 0.75 AND tv >= 0.75 THEN 'PREDICTIVE' WHEN generic AND specifics THEN 'REJECT' ELSE 'JUDGE' END"
+
+
+def flow_candidates(spark, sf_dir):
+    """Lines of an order as candidates of one mention, with scores that bring every gate about."""
+    e, p, s, n = F.col("entity"), F.col("p"), F.col("s"), F.col("n")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n")).distinct()
+    bare = e % 11 == 0
+    t, ph = F.when(bare, 0.0).otherwise((p * 7 + n) % 101 / 100), F.when(bare, 0.0).otherwise((s * 13 + p * (e % 2)) % 101 / 100)
+    v = F.when((e % 3 == 0) | bare, 0.0).otherwise((p * F.when(e % 2 == 0, 7).otherwise(31) + n) % 101 / 100)
+    rows = lines.select("entity", spark_pick(SAID, e).alias("mention"), spark_pick(ODDS, F.floor(e / 3)).alias("kind"), "id", spark_pick(SHOWN, p).alias("name"), t.alias("trigram"), ph.alias("phonetic"), v.alias("vector"), (p % 2 == 0).alias("relevant"))
+    score = F.when(bare, (F.col("id") % 97) / 96).when(e % 4 == 0, F.greatest("trigram", "vector")).when(e % 4 == 1, F.greatest("phonetic", "vector")).otherwise(F.round((F.col("trigram") + F.col("phonetic") + F.col("vector")) / 3, 6))
+    return rows.withColumn("match_score", score)
+
+
+@query(FLOW.format(low="relevant AND tp > 0.15 AND tt < 0.3") + f", y AS (SELECT *, {SPENT} AS decision FROM x) SELECT entity, decision, CASE WHEN decision = 'A' THEN bt WHEN decision IN ('REJECT', 'JUDGE') THEN -1 ELSE top END AS chosen_id, best, margin FROM y")
+def decision_flow(spark, sf_dir):
+    """Every gate, the rejection of generic mentions and what is left to the judge."""
+    return decision.decision_flow(flow_candidates(spark, sf_dir)).withColumn("chosen_id", F.coalesce("chosen_id", F.lit(-1)))
+
+
+@query(FLOW.format(low="false") + "SELECT entity, CASE gate WHEN '' THEN 'NONE' ELSE gate END AS decision, CASE gate WHEN 'A' THEN bt WHEN '' THEN -1 ELSE top END AS chosen_id, best, margin FROM x")
+def decision_flow_without_judge(spark, sf_dir):
+    return decision.decision_flow(flow_candidates(spark, sf_dir), judged=False).withColumn("chosen_id", F.coalesce("chosen_id", F.lit(-1)))
