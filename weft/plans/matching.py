@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attributes, automaton, decision, suggestions
+from ..operators import attributes, automaton, decision, safety, suggestions
 from .records import pick, spark_pick
 from .registry import query, table
 
@@ -153,3 +153,36 @@ def decision_flow(spark, sf_dir):
 @query(FLOW.format(low="false") + "SELECT entity, CASE gate WHEN '' THEN 'NONE' ELSE gate END AS decision, CASE gate WHEN 'A' THEN bt WHEN '' THEN -1 ELSE top END AS chosen_id, best, margin FROM x")
 def decision_flow_without_judge(spark, sf_dir):
     return decision.decision_flow(flow_candidates(spark, sf_dir), judged=False).withColumn("chosen_id", F.coalesce("chosen_id", F.lit(-1)))
+
+
+TOLD = ["tick and flea control", "hip scan", "omega oil", "horse vaccine", "deworming prevention", "skin rash", "joint exercise", "blood count test", "noble angle", "flea protection spray"]
+TERMS = ["", "hip radiograph", "", "", "worm control", "rash", "", "complete blood count", "norberg angle", ""]
+CONCEPTS = ["tick paralysis", "hip", "Fish oil, omega", "horse influenza vaccine of cattle", "worm disease", "skin rash", "joint", "blood count", "Norberg angle", "goat pox", "flea"]
+CONCEPT_KINDS = ["Disease", "Anatomy", "Condition", "Procedure"]
+MENTION_KINDS = ["Procedure", "exercise", "Medication", "diagnostic", "therapy", "Diagnosis"]
+SHARED_SQL = lambda a, b, k: f"(CASE WHEN len({a}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / len({a}) END)"
+WORD_LIST = lambda c, k: f"list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda w: length(w) >= {k}))"
+
+
+@query(f"""
+WITH l AS (SELECT DISTINCT l_orderkey AS mention, l_partkey * 100 + l_linenumber AS concept, l_partkey AS p, l_linenumber AS n FROM lineitem),
+c AS (SELECT mention, {pick(TOLD, "mention")} AS span, {pick(TERMS, "mention")} AS term, {pick(MENTION_KINDS, "mention // 7")} AS kind, concept, {pick(CONCEPTS, "p")} AS name, {pick(CONCEPT_KINDS, "p // 11")} AS concept_kind, ((p * 37 + n * 11) % 103) / 102.0 AS score FROM l),
+b AS (SELECT *, CASE WHEN mention % 6 = 0 THEN '' ELSE span END AS normalized, CASE WHEN term = '' THEN span ELSE term END AS t FROM c QUALIFY row_number() OVER (PARTITION BY mention ORDER BY score DESC, concept) = 1),
+v AS (SELECT *, contains(lower(span), lower(name)) OR contains(lower(name), lower(span)) AS near, CASE WHEN score < 0.55 THEN 'below_threshold'
+  WHEN lower(kind) IN ('procedure', 'diagnostic') AND {SHARED_SQL(WORD_LIST("t", 2), WORD_LIST("name", 2), "")} < 0.35 THEN 'needs_judge'
+  WHEN len(list_filter(['cattle', 'horse', 'goat'], lambda s: contains(lower(name), s) AND NOT contains(span, s))) > 0 THEN 'species'
+  WHEN regexp_matches(span, 'control|prevention|protection') AND regexp_matches(span, 'tick|flea|worm') AND concept_kind IN ('Disease', 'Condition') THEN 'preventive'
+  WHEN lower(kind) IN ('exercise', 'therapy') AND concept_kind = 'Anatomy' THEN 'anatomy'
+  WHEN {SHARED_SQL(WORD_LIST("span", 1), WORD_LIST("name", 1), "")} < 0.25 AND NOT (contains(lower(span), lower(name)) OR contains(lower(name), lower(span))) THEN 'unrelated' ELSE 'bound' END AS verdict FROM b)
+SELECT mention, verdict, CASE WHEN verdict = 'bound' THEN concept ELSE -1 END AS concept, CASE WHEN verdict = 'bound' AND near THEN name ELSE span END AS display_name FROM v
+""")
+def safety_gates(spark, sf_dir):
+    """Lines of an order as concepts of one mention; the best of them meets every gate."""
+    m, p = F.col("mention"), F.col("p")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mention"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("concept"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("n")).distinct()
+    span, zero = spark_pick(TOLD, m), F.lit(0.0)
+    rows = lines.select(
+        "mention", span.alias("span"), spark_pick(TERMS, m).alias("search_term"), F.when(m % 6 == 0, "").otherwise(span).alias("normalized"), spark_pick(MENTION_KINDS, F.floor(m / 7)).alias("kind"), "concept",
+        spark_pick(CONCEPTS, p).alias("name"), spark_pick(CONCEPT_KINDS, F.floor(p / 11)).alias("concept_kind"), ((p * 37 + F.col("n") * 11) % 103 / 102).alias("score"), zero.alias("trigram"), zero.alias("phonetic"), zero.alias("vector"),
+    )
+    return safety.guarded(rows).withColumn("concept", F.coalesce("concept", F.lit(-1)))
