@@ -97,7 +97,7 @@ def transcript_flags(c: Column) -> Column:
             ("transcription", "error", "EMPTY_TRANSCRIPT", text.blank_to_null(c).isNull()),
             ("transcription", "warning", "SHORT_TRANSCRIPT", text.blank_to_null(c).isNotNull() & (n < 25)),
             ("transcription", "warning", "UNCLEAR_AUDIO_MARKERS", c.rlike(r"(?i)\[(?:unclear|inaudible)\]")),
-            ("transcription", "info", "SUSPECT_TOKENS", F.size(text.garbled_tokens(c)) >= 2),
+            ("transcription", "warning", "SUSPECT_ASR_TOKENS", F.size(text.garbled_tokens(c)) >= 2),
         ]
     )
 
@@ -106,9 +106,8 @@ def link_flags(linked: Column, unlinked: Column) -> Column:
     ratio = unlinked / F.greatest(linked + unlinked, F.lit(1))
     return flags(
         [
-            ("grounding", "error", "HIGH_UNLINKED_RATE", (ratio >= 0.6) & (linked == 0)),
-            ("grounding", "warning", "PARTIAL_UNLINKED", (ratio >= 0.35) & (linked > 0)),
-            ("grounding", "info", "NOTHING_TO_LINK", linked + unlinked == 0),
+            ("grounding", "warning", "HIGH_UNLINKED_RATE", (ratio >= 0.6) & (linked == 0)),
+            ("grounding", "warning", "PARTIAL_UNLINKED", (ratio >= 0.35) & ((ratio < 0.6) | (linked > 0))),
         ]
     )
 

@@ -269,8 +269,8 @@ def quality_gate(spark, sf_dir):
 
 @query(f"""
 WITH d AS (SELECT doc_id, text, len({words_sql("text")}) AS n FROM documents), l AS (SELECT doc_id, CASE WHEN trim(text) = '' THEN ['EMPTY_TRANSCRIPT'] ELSE [] END || CASE WHEN trim(text) <> '' AND n < 25 THEN ['SHORT_TRANSCRIPT'] ELSE [] END || CASE WHEN regexp_matches(text, '(?i)\\[(?:unclear|inaudible)\\]') THEN ['UNCLEAR_AUDIO_MARKERS'] ELSE [] END
- || CASE WHEN len(list_distinct(list_filter({words_sql("text")}, lambda w: length(w) >= 12 AND length(regexp_replace(w, '[^aeiou]', '', 'g')) <= greatest(1, length(w) // 5)))) >= 2 THEN ['SUSPECT_TOKENS'] ELSE [] END AS codes FROM d)
-SELECT doc_id, array_to_string(codes, ',') AS codes, CASE WHEN list_contains(codes, 'EMPTY_TRANSCRIPT') THEN 'failing' WHEN list_contains(codes, 'SHORT_TRANSCRIPT') OR list_contains(codes, 'UNCLEAR_AUDIO_MARKERS') THEN 'degraded' ELSE 'healthy' END AS overall FROM l
+ || CASE WHEN len(list_distinct(list_filter({words_sql("text")}, lambda w: length(w) >= 12 AND length(regexp_replace(w, '[^aeiou]', '', 'g')) <= greatest(1, length(w) // 5)))) >= 2 THEN ['SUSPECT_ASR_TOKENS'] ELSE [] END AS codes FROM d)
+SELECT doc_id, array_to_string(codes, ',') AS codes, CASE WHEN list_contains(codes, 'EMPTY_TRANSCRIPT') THEN 'failing' WHEN list_contains(codes, 'SHORT_TRANSCRIPT') OR list_contains(codes, 'UNCLEAR_AUDIO_MARKERS') OR list_contains(codes, 'SUSPECT_ASR_TOKENS') THEN 'degraded' ELSE 'healthy' END AS overall FROM l
 """)
 def health_flags(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", evaluation.transcript_flags(F.col("text")).alias("f"))
@@ -279,7 +279,7 @@ def health_flags(spark, sf_dir):
 
 @query("""
 WITH u AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS linked, count(*) FILTER (WHERE event_type = 'error') AS unlinked FROM events GROUP BY user_id)
-SELECT user_id, CASE WHEN linked + unlinked = 0 THEN 'NOTHING_TO_LINK' WHEN linked = 0 AND unlinked / greatest(linked + unlinked, 1) >= 0.6 THEN 'HIGH_UNLINKED_RATE' WHEN linked > 0 AND unlinked / greatest(linked + unlinked, 1) >= 0.35 THEN 'PARTIAL_UNLINKED' ELSE '' END AS codes FROM u
+SELECT user_id, CASE WHEN linked = 0 AND unlinked / greatest(linked + unlinked, 1) >= 0.6 THEN 'HIGH_UNLINKED_RATE' WHEN unlinked / greatest(linked + unlinked, 1) >= 0.35 THEN 'PARTIAL_UNLINKED' ELSE '' END AS codes FROM u
 """)
 def link_rate_flags(spark, sf_dir):
     u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("linked"), F.count_if(F.col("event_type") == "error").alias("unlinked"))
