@@ -137,9 +137,9 @@ def vector_norms(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, list_distinct([p_name, regexp_replace(p_name, '\\s+(?:widget|gear|bolt)$', ''), replace(regexp_replace(p_name, '\\s+(?:widget|gear|bolt)$', ''), 'red', 'crimson')])::VARCHAR[] IS NOT NULL AS ok,
- len(list_distinct([p_name, regexp_replace(p_name, '\\s+(?:widget|gear|bolt)$', ''), replace(regexp_replace(p_name, '\\s+(?:widget|gear|bolt)$', ''), 'red', 'crimson')]))::INTEGER AS n FROM part
+WITH x AS (SELECT p_partkey, lower(p_name) AS n, regexp_replace(lower(p_name), '\\s+(?:widget|gear|bolt)$', '') AS b FROM part)
+SELECT p_partkey, n || CASE WHEN b <> n THEN '|' || b ELSE '' END || CASE WHEN regexp_matches(b, '\\bred\\b') THEN '|' || regexp_replace(b, '\\bred\\b', 'crimson', 'g') ELSE '' END AS terms FROM x
 """)
 def search_terms(spark, sf_dir):
     terms = text.search_terms(F.col("p_name"), ["widget", "gear", "bolt"], {"red": "crimson"})
-    return table(spark, sf_dir, "part").select("p_partkey", terms.isNotNull().alias("ok"), F.size(terms).alias("n"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(terms, "|").alias("terms"))

@@ -43,8 +43,8 @@ def atom_match(spark, sf_dir):
 
 @query("""
 WITH m AS (SELECT o_orderkey AS mention, o_orderpriority AS span, CASE WHEN o_orderkey % 3 = 0 THEN upper(o_orderpriority) ELSE o_orderstatus || o_orderkey % 5 END AS normalized, CASE o_orderkey % 4 WHEN 0 THEN 'Procedure' WHEN 1 THEN 'Surgery' ELSE 'Medication' END AS kind, [o_custkey % 90, o_custkey % 40, o_custkey % 7] AS domains FROM orders),
-l AS (SELECT DISTINCT l_orderkey AS mention, p_name AS name, l_discount * 10 + l_linenumber / 100.0 AS score, l_partkey AS stock_id, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey END AS service_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 5 <> 2),
-g AS (SELECT DISTINCT l_orderkey - 1 AS mention, CASE WHEN l_linenumber = 1 THEN upper(p_name) ELSE p_name END AS name, l_tax * 10 + l_linenumber / 1000.0 AS score, l_partkey AS concept_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 7 <> 3),
+l AS (SELECT DISTINCT CASE WHEN l_orderkey % 5 <> 2 THEN l_orderkey ELSE -1 END AS mention, p_name AS name, l_discount * 10 + l_linenumber / 100.0 AS score, l_partkey AS stock_id, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey END AS service_id FROM lineitem JOIN part ON l_partkey = p_partkey),
+g AS (SELECT DISTINCT CASE WHEN l_orderkey % 7 <> 3 THEN l_orderkey - 1 ELSE -1 END AS mention, CASE WHEN l_linenumber = 1 THEN upper(p_name) ELSE p_name END AS name, l_tax * 10 + l_linenumber / 1000.0 AS score, l_partkey AS concept_id FROM lineitem JOIN part ON l_partkey = p_partkey),
 a AS (SELECT mention, 0 AS side, row_number() OVER (PARTITION BY mention ORDER BY score DESC, name, stock_id, service_id NULLS LAST) AS rank, name, score, stock_id, service_id, NULL AS concept_id FROM l
   UNION ALL SELECT mention, 1, row_number() OVER (PARTITION BY mention ORDER BY score DESC, name, concept_id), name, score, NULL, NULL, concept_id FROM g),
 k AS (SELECT *, row_number() OVER (PARTITION BY mention, lower(name) ORDER BY side, rank) AS seen FROM a WHERE CASE side WHEN 0 THEN rank <= 5 ELSE rank <= 15 END),
@@ -63,8 +63,8 @@ def rejected_suggestions(spark, sf_dir):
     normalized = F.when(k % 3 == 0, F.upper("o_orderpriority")).otherwise(F.concat("o_orderstatus", (k % 5).cast("string")))
     mentions = table(spark, sf_dir, "orders").select(k.alias("mention"), F.col("o_orderpriority").alias("span"), normalized.alias("normalized"), kind.alias("kind"), F.array(*(F.col("o_custkey") % d for d in (90, 40, 7))).alias("domains"))
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    local = lines.where("l_orderkey % 5 <> 2").select(F.col("l_orderkey").alias("mention"), F.col("p_name").alias("name"), (F.col("l_discount") * 10 + n / 100).alias("score"), F.col("l_partkey").alias("stock_id"), F.when(n % 2 == 0, F.col("l_suppkey")).alias("service_id"), F.lit(None).cast("long").alias("concept_id")).distinct()
-    general = lines.where("l_orderkey % 7 <> 3").select((F.col("l_orderkey") - 1).alias("mention"), F.when(n == 1, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), (F.col("l_tax") * 10 + n / 1000).alias("score"), F.col("l_partkey").alias("concept_id")).distinct()
+    local = lines.select(F.when(F.col("l_orderkey") % 5 != 2, F.col("l_orderkey")).otherwise(-1).alias("mention"), F.col("p_name").alias("name"), (F.col("l_discount") * 10 + n / 100).alias("score"), F.col("l_partkey").alias("stock_id"), F.when(n % 2 == 0, F.col("l_suppkey")).alias("service_id"), F.lit(None).cast("long").alias("concept_id")).distinct()
+    general = lines.select(F.when(F.col("l_orderkey") % 7 != 3, F.col("l_orderkey") - 1).otherwise(-1).alias("mention"), F.when(n == 1, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), (F.col("l_tax") * 10 + n / 1000).alias("score"), F.col("l_partkey").alias("concept_id")).distinct()
     s = F.col("s_suppkey")
     services = table(spark, sf_dir, "supplier").select((s % 35).alias("domain"), s.alias("service_id"), F.col("s_name").alias("service"), F.col("s_acctbal").alias("price"), F.when(s % 3 == 0, "Surgery").otherwise("Tele-Consultation").alias("category"))
     out = suggestions.rejected(mentions, local, general, services)

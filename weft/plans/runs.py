@@ -9,8 +9,8 @@ from .registry import query, table
 
 NO_SPACE = "regexp_replace({0}, '\\s+', '', 'g') = ''"
 RUNS = r"""
-WITH e AS (SELECT l_orderkey % 997 AS run, CASE l_linenumber WHEN 1 THEN 'Medicine' WHEN 2 THEN 'Parasite Control' WHEN 3 THEN 'Symptom' ELSE 'Diagnostic' END AS kind, CASE WHEN l_partkey % 9 = 0 THEN 'skip_vitals' WHEN l_partkey % 9 = 1 THEN 'dual_sync_reject' END AS method, CASE WHEN l_suppkey % 5 = 0 THEN 'dual_sync' END AS route,
-  l_partkey % 7 <= l_orderkey % 997 % 7 AS has_id, l_suppkey % 3 AS hints FROM lineitem WHERE l_orderkey % 997 % 6 <> 0 AND l_orderkey % 997 % 11 < 9),
+WITH e AS (SELECT CASE WHEN l_orderkey % 997 % 6 <> 0 AND l_orderkey % 997 % 11 < 9 THEN l_orderkey % 997 ELSE -1 END AS run, CASE l_linenumber WHEN 1 THEN 'Medicine' WHEN 2 THEN 'Parasite Control' WHEN 3 THEN 'Symptom' ELSE 'Diagnostic' END AS kind, CASE WHEN l_partkey % 9 = 0 THEN 'skip_vitals' WHEN l_partkey % 9 = 1 THEN 'dual_sync_reject' END AS method, CASE WHEN l_suppkey % 5 = 0 THEN 'dual_sync' END AS route,
+  l_partkey % 7 <= l_orderkey % 997 % 7 AS has_id, l_suppkey % 3 AS hints FROM lineitem),
 b AS (SELECT *, coalesce(method, '') <> 'skip_vitals' AND (kind <> 'Symptom' OR route IS NOT NULL) AS billed FROM e),
 g AS (SELECT run, count(*) AS manifest, count(*) FILTER (WHERE billed AND has_id) AS linked, count(*) FILTER (WHERE billed AND NOT has_id) AS need, count(*) FILTER (WHERE billed AND NOT has_id AND hints > 0) AS hints, count(*) FILTER (WHERE billed AND method = 'dual_sync_reject') AS rejects FROM b GROUP BY run),
 d AS (SELECT doc_id AS run, regexp_replace(coalesce(text, ''), '[^ -~\n]', '', 'g') AS t FROM documents),
@@ -41,8 +41,8 @@ def run_health(spark, sf_dir):
     """Documents as runs, line items as their entities; every code and every state of a stage comes up."""
     run, line = F.col("run"), F.col("l_orderkey") % 997
     n, p = F.col("l_linenumber"), F.col("l_partkey")
-    entities = table(spark, sf_dir, "lineitem").where((line % 6 != 0) & (line % 11 < 9)).select(
-        line.alias("run"), F.when(n == 1, "Medicine").when(n == 2, "Parasite Control").when(n == 3, "Symptom").otherwise("Diagnostic").alias("kind"), F.when(p % 9 == 0, "skip_vitals").when(p % 9 == 1, "dual_sync_reject").alias("method"),
+    entities = table(spark, sf_dir, "lineitem").select(
+        F.when((line % 6 != 0) & (line % 11 < 9), line).otherwise(-1).alias("run"), F.when(n == 1, "Medicine").when(n == 2, "Parasite Control").when(n == 3, "Symptom").otherwise("Diagnostic").alias("kind"), F.when(p % 9 == 0, "skip_vitals").when(p % 9 == 1, "dual_sync_reject").alias("method"),
         F.when(F.col("l_suppkey") % 5 == 0, "dual_sync").alias("route"), F.when(p % 7 <= line % 7, p).alias("stock_id"), F.lit(None).cast("long").alias("service_id"), (F.col("l_suppkey") % 3).alias("n_suggestions"), F.lit(None).cast("boolean").alias("was_rejected"),
     )
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^ -~\n]", "").alias("t"))

@@ -190,7 +190,7 @@ def multi_signal_rerank(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT DISTINCT p_brand || ' ' || p_name || CASE WHEN p_partkey % 7 = 0 THEN ' and nut' ELSE '' END AS name, p_type = 'PROMO' AS preferred FROM part UNION ALL SELECT DISTINCT substr(p_brand || ' ' || p_name, 3, 12), false FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT DISTINCT substr(p_name, 2, 2), false FROM part),
+WITH n AS (SELECT DISTINCT p_brand || ' ' || p_name || CASE WHEN p_partkey % 7 = 0 THEN ' and nut' ELSE '' END AS name, p_type = 'PROMO' AS preferred FROM part UNION ALL SELECT DISTINCT substr(p_brand || ' ' || p_name, 3, 12), false FROM part UNION ALL SELECT DISTINCT substr(p_name, 2, 2), false FROM part),
 k AS (SELECT name, bool_or(preferred) AS preferred FROM n GROUP BY name)
 SELECT name, round((CASE WHEN EXISTS (SELECT 1 FROM k o WHERE o.name <> k.name AND contains(o.name, k.name)) THEN -0.1 ELSE 0 END)
   + CASE WHEN len(string_split(name, ' ')) BETWEEN 2 AND 3 AND preferred THEN 0.05 ELSE 0 END + CASE WHEN len(string_split(name, ' ')) >= 4 THEN -0.08 ELSE 0 END, 9)::DOUBLE AS change FROM k
@@ -200,7 +200,7 @@ def tie_breaker(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     whole = F.concat_ws(" ", "p_brand", "p_name")
     names = part.select(F.concat(whole, F.when(F.col("p_partkey") % 7 == 0, " and nut").otherwise("")).alias("name"), (F.col("p_type") == "PROMO").alias("p"))
-    names = names.unionByName(part.where("p_partkey % 3 = 0").select(F.substring(whole, 3, 12).alias("name"), F.lit(False).alias("p"))).unionByName(part.select(F.substring("p_name", 2, 2).alias("name"), F.lit(False).alias("p")))
+    names = names.unionByName(part.select(F.substring(whole, 3, 12).alias("name"), F.lit(False).alias("p"))).unionByName(part.select(F.substring("p_name", 2, 2).alias("name"), F.lit(False).alias("p")))
     k = names.groupBy("name").agg(F.bool_or("p").alias("preferred"))
     rows = k.join(retrieval.contained_names(k).withColumn("inside", F.lit(True)), "name", "left")
     return rows.select("name", F.round(ranking.tie_breaker(F.col("name"), F.coalesce("inside", F.lit(False)), F.col("preferred")), 9).alias("change"))
