@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["similarity", "relations", "texts", "knowledge", "records", "lookups", "streams", "matching", "rules", "runs", "small"]
+MODULES = ["similarity", "relations", "texts", "knowledge", "records", "lookups", "streams", "matching", "rules", "runs", "small", "searches"]
 
 
 def _load() -> None:
