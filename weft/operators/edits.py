@@ -34,7 +34,7 @@ def edit_pairs(names: DataFrame, group: list[str], name: str, least: float) -> D
     low = F.greatest(F.lit(0), F.col("p") - F.col("i"), F.col("p") + F.col("more") - (F.col("d") - F.col("i")))
     high = F.least(big - F.col("w"), F.col("p") + F.col("i"), F.col("p") + F.col("more") + (F.col("d") - F.col("i")))
     probes = probes.where(low <= high).withColumn("q", F.explode(F.sequence(low, high)))
-    probes = probes.select(*group, "y", "l", "i", F.substring("n", F.col("q") + 1, F.col("w")).alias("part")).distinct()
+    probes = probes.select(*group, "y", "l", "i", F.substring("n", F.col("q") + 1, F.col("w")).alias("part"))
     near = index.join(probes, [*group, "l", "i", "part"]).where(F.col("x") != F.col("y"))
     near = near.select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     ratio = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")).cast("double")

@@ -87,7 +87,7 @@ def atom_dedup(atoms: DataFrame, visit: str) -> DataFrame:
     """
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SECTION_RANK)), F.trim("section")), F.lit(0)), F.lit(99))
     has_id = F.when(F.col("service_id").isNotNull() | F.col("stock_id").isNotNull(), 0).otherwise(1)
-    order = F.struct(rank.alias("r"), has_id.alias("h"), F.col("atom_id").alias("a"))
+    order = F.struct(rank.alias("r"), has_id.alias("h"), F.col("atom_id").alias("a"), "source")
     known = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("atom_id")))
     ids = ("service_id", "stock_id")
     grouped = atom_groups(atoms, visit).withColumn("source", F.trim(F.coalesce("source", F.lit(""))))

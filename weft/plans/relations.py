@@ -236,24 +236,48 @@ def tenant_and_recall_filter(spark, sf_dir):
 
 # --- linkage ------------------------------------------------------------------------------
 
-ATOMS = """SELECT DISTINCT l_orderkey % 300 AS visit, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus) AS atom_id, CASE WHEN l_linenumber = 3 THEN l_suppkey % 3 END AS service_id, CASE WHEN l_linenumber = 1 THEN l_partkey % 4 END AS stock_id,
+ATOMS = """SELECT l_orderkey AS visit, l_orderkey * 10 + l_linenumber AS atom_id, CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey % 3 END AS service_id, CASE WHEN l_linenumber % 3 = 1 THEN l_partkey % 4 END AS stock_id,
+ CASE WHEN l_linenumber % 3 = 2 THEN l_returnflag END AS dedup_key, CASE l_linestatus WHEN 'O' THEN 'Plan' ELSE 'Objective' END AS section, 'c' || l_partkey AS concept, l_linestatus AS kind, l_returnflag || l_linestatus AS source FROM lineitem"""
+
+
+def atoms(spark, sf_dir):
+    n = F.col("l_linenumber") % 3
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("visit"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("atom_id"), F.when(n == 0, F.col("l_suppkey") % 3).alias("service_id"), F.when(n == 1, F.col("l_partkey") % 4).alias("stock_id"),
+        F.when(n == 2, F.col("l_returnflag")).alias("dedup_key"), F.when(F.col("l_linestatus") == "O", "Plan").otherwise("Objective").alias("section"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("concept"),
+        F.col("l_linestatus").alias("kind"), F.concat("l_returnflag", "l_linestatus").alias("source"),
+    )
+
+
+@query(f"""
+WITH a AS ({ATOMS}), g AS (SELECT *, CASE WHEN service_id IS NOT NULL THEN 'svc:' || service_id WHEN stock_id IS NOT NULL THEN 'stk:' || stock_id WHEN dedup_key IS NOT NULL THEN 'key:' || lower(kind) || ':' || lower(dedup_key) ELSE 'own:' || atom_id END AS group_key FROM a),
+p AS (SELECT *, row_number() OVER (PARTITION BY visit, group_key ORDER BY section <> 'Plan', service_id IS NULL AND stock_id IS NULL, atom_id, source) AS place FROM g),
+b AS (SELECT visit, group_key, max(atom_id) FILTER (WHERE place = 1) AS atom_id, count(*) AS n FROM p GROUP BY ALL),
+s AS (SELECT visit, group_key, source, min(CASE WHEN place = 1 THEN -1 ELSE atom_id END) AS k FROM p GROUP BY ALL), j AS (SELECT visit, group_key, string_agg(source, ' | ' ORDER BY k, source) AS sources FROM s GROUP BY ALL)
+SELECT b.visit, b.group_key, b.atom_id, j.sources, b.n FROM b JOIN j USING (visit, group_key)
+""")
+def atom_dedup(spark, sf_dir):
+    return linkage.atom_dedup(atoms(spark, sf_dir), "visit").select("visit", "group_key", "atom_id", "sources", "n")
+
+
+LIKE_ATOMS = """SELECT DISTINCT l_orderkey // 50 AS visit, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus) AS atom_id, CASE WHEN l_linenumber = 3 THEN l_suppkey % 3 END AS service_id, CASE WHEN l_linenumber = 1 THEN l_partkey % 4 END AS stock_id,
  CASE l_linenumber WHEN 2 THEN 'Key (' || l_returnflag || ')' WHEN 4 THEN '?' END AS dedup_key, CASE l_linestatus WHEN 'O' THEN 'Plan' ELSE 'Elsewhere' END AS section, CASE WHEN l_partkey % 19 = 0 THEN '' WHEN l_orderkey % 2 = 0 THEN p_name || ', ' || p_brand ELSE upper(p_name) || ' ' || replace(p_brand, 'r', '') END AS concept,
  CASE l_linenumber % 4 WHEN 0 THEN 'Drug' WHEN 1 THEN 'vaccine' WHEN 2 THEN 'labtest' ELSE 'Odd' END AS kind, CASE WHEN l_linenumber <> 5 THEN ' ' || l_returnflag || l_linestatus END AS source FROM lineitem JOIN part ON l_partkey = p_partkey"""
 ATOM_TEXT = lambda c: f"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-def atoms(spark, sf_dir):
+def like_atoms(spark, sf_dir):
     n, lines = F.col("l_linenumber"), table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     concept = F.when(F.col("l_partkey") % 19 == 0, "").when(F.col("l_orderkey") % 2 == 0, F.concat_ws(", ", "p_name", "p_brand")).otherwise(F.concat(F.upper("p_name"), F.lit(" "), F.replace("p_brand", F.lit("r"), F.lit(""))))
     return lines.select(
-        (F.col("l_orderkey") % 300).alias("visit"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").alias("atom_id"), F.when(n == 3, F.col("l_suppkey") % 3).alias("service_id"), F.when(n == 1, F.col("l_partkey") % 4).alias("stock_id"),
+        F.floor(F.col("l_orderkey") / 50).alias("visit"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").alias("atom_id"), F.when(n == 3, F.col("l_suppkey") % 3).alias("service_id"), F.when(n == 1, F.col("l_partkey") % 4).alias("stock_id"),
         F.when(n == 2, F.concat(F.lit("Key ("), "l_returnflag", F.lit(")"))).when(n == 4, "?").alias("dedup_key"), F.when(F.col("l_linestatus") == "O", "Plan").otherwise("Elsewhere").alias("section"), concept.alias("concept"),
         F.when(n % 4 == 0, "Drug").when(n % 4 == 1, "vaccine").when(n % 4 == 2, "labtest").otherwise("Odd").alias("kind"), F.when(n != 5, F.concat(F.lit(" "), "l_returnflag", "l_linestatus")).alias("source"),
     ).distinct()
 
 
 @query(f"""
-WITH a AS (SELECT *, CASE lower(kind) WHEN 'drug' THEN 'PHARMACOLOGICAL' WHEN 'vaccine' THEN 'PHARMACOLOGICAL' WHEN 'labtest' THEN 'DIAGNOSTIC' ELSE lower(kind) END AS meta, {ATOM_TEXT("concept")} AS t, {ATOM_TEXT("dedup_key")} AS k FROM ({ATOMS})),
+WITH a AS (SELECT *, CASE lower(kind) WHEN 'drug' THEN 'PHARMACOLOGICAL' WHEN 'vaccine' THEN 'PHARMACOLOGICAL' WHEN 'labtest' THEN 'DIAGNOSTIC' ELSE lower(kind) END AS meta, {ATOM_TEXT("concept")} AS t, {ATOM_TEXT("dedup_key")} AS k FROM ({LIKE_ATOMS})),
 keyed AS (SELECT *, CASE WHEN service_id IS NOT NULL THEN 'svc:' || service_id WHEN stock_id IS NOT NULL THEN 'stk:' || stock_id WHEN k <> '' THEN 'key:' || meta || ':' || k END AS sure FROM a),
 names AS (SELECT visit, meta, t, min(atom_id) AS first FROM keyed WHERE sure IS NULL AND t <> '' GROUP BY ALL),
 lists AS (SELECT visit, meta, list([t] ORDER BY first) AS names FROM names GROUP BY ALL),
@@ -267,9 +291,9 @@ SELECT visit, group_key, arg_min(atom_id, place) AS atom_id, coalesce(coalesce(m
  coalesce(coalesce(max(stock_id) FILTER (WHERE place = 1), arg_min(stock_id, atom_id) FILTER (WHERE stock_id IS NOT NULL)), -1) AS stock_id, coalesce(any_value(sources), '') AS sources, count(*) AS n
 FROM r LEFT JOIN j USING (visit, group_key) GROUP BY visit, group_key
 """)
-def atom_dedup(spark, sf_dir):
+def atom_dedup_similar(spark, sf_dir):
     """Atoms of equal ids, of equal keys and of like concepts, in visits of some hundred lines."""
-    kept = linkage.atom_dedup(atoms(spark, sf_dir), "visit")
+    kept = linkage.atom_dedup(like_atoms(spark, sf_dir), "visit")
     return kept.select("visit", "group_key", "atom_id", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("service_id", "stock_id")), "sources", "n")
 
 
