@@ -179,3 +179,15 @@ def test_phonetic_join_equals_comparing_all(spark):
     left, right = ["knight", "nite", "Smith", "physics", "", "ab12"], ["night", "smythe", "fysiks", "xyz", "apple", None]
     got = {(r["a"], r["b"]) for r in retrieval.phonetic_join(spark.createDataFrame([(x,) for x in left], "n string"), spark.createDataFrame([(x,) for x in right], "n string"), "n").collect()}
     assert got == {(a, b) for a in left for b in right if metaphone(a)[:4] and metaphone(a)[:4] == metaphone(b)[:4]}
+
+
+def test_uncovered_carries_no_texts_and_broadcasts_none(spark):
+    """Each word used to travel with its whole text, in a broadcast whose size the files' size did not tell."""
+    issues = spark.createDataFrame([(1, "limping left"), (1, "itching"), (1, "vomits daily"), (2, "itching"), (3, "xyz")], "visit long, issue string")
+    medicines = spark.createDataFrame([(1, "for limping"), (1, "the left one"), (1, "itching stops"), (1, "daily, if it vomits"), (2, None), (2, "limping left")], "visit long, medicine string")
+    left = linkage.uncovered(issues, medicines, ["for"])
+    assert sorted((r["visit"], r["issue"]) for r in left.collect()) == [(1, "limping left"), (2, "itching"), (3, "xyz")]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("medicine" in line and "count" in line for line in plan.splitlines())
+    for join in (x for x in left._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin" in x):
+        assert "LeftAnti" in join

@@ -154,11 +154,18 @@ def link_cascade(atoms: DataFrame, manifest: DataFrame, least: float = 0.72, mar
 
 
 def uncovered(issues: DataFrame, medicines: DataFrame, stop: list[str]) -> DataFrame:
-    """Issues that no medicine text of the visit covers: none shares two of their words, or their only one."""
+    """Issues that no medicine text of the visit covers: none shares two of their words, or their only one.
+
+    A text meets its visit's issue words once and goes on as the set of those it has; equal sets are one.  Words are never
+    joined beside their texts, and no side that holds texts is broadcast, whatever the size its files let expect.
+    """
     i = issues.withColumn("tokens", text.issue_tokens(F.col("issue"), stop))
+    asked = i.select("visit", F.explode("tokens").alias("w")).groupBy("visit").agg(F.collect_set("w").alias("asked"))
+    told = medicines.select("visit", text.issue_tokens(F.col("medicine"), stop).alias("told")).hint("merge").join(asked, "visit")
+    sets = told.select("visit", F.array_sort(F.array_intersect("asked", "told")).alias("words")).where(F.size("words") > 0).distinct()
     x = i.select("visit", "issue", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
-    y = medicines.select("visit", "medicine", F.explode(text.issue_tokens(F.col("medicine"), stop)).alias("w"))
-    hits = x.join(y, ["visit", "w"]).groupBy("visit", "issue", "n", "medicine").agg(F.count(F.lit(1)).alias("k")).where("k >= 2 or (n = 1 and k = 1)")
+    y = sets.select("visit", "words", F.explode("words").alias("w"))
+    hits = x.hint("merge").join(y, ["visit", "w"]).groupBy("visit", "issue", "n", "words").agg(F.count(F.lit(1)).alias("k")).where("k >= 2 or (n = 1 and k = 1)")
     return issues.join(hits.select("visit", "issue").distinct(), ["visit", "issue"], "left_anti")
 
 
