@@ -191,3 +191,22 @@ def test_uncovered_carries_no_texts_and_broadcasts_none(spark):
     assert not any("medicine" in line and "count" in line for line in plan.splitlines())
     for join in (x for x in left._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin" in x):
         assert "LeftAnti" in join
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_exact_knn_orders_copies_by_id_and_shuffles_no_pairs(spark, metric):
+    """Scores used to be cut before they were rounded, and twice rounded; every pair of blocks went through a shuffle."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 8))
+    rows = [(i, [float(x) for x in base[i % 12] * (1 + (1e-12 * i if metric == "cosine" else 0))]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = retrieval.exact_knn(df, df, "id", "v", 5, metric, block_rows=50, digits=5)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    for i in range(240):
+        copies = [j for j in range(i % 12, 240, 12) if j != i][:5]
+        assert [got[i][r] for r in range(1, 6)] == copies
+    assert "RoundRobin" not in found._jdf.queryExecution().sparkPlan().toString()
