@@ -38,7 +38,9 @@ def local_search(mentions: DataFrame, catalogue: DataFrame, k: int = 5, first_te
     terms = mentions.select("entity", F.posexplode("terms").alias("place", "term")).where("term <> ''")
     scores = candidate_scores(terms.select(F.col("term").alias("mention")).distinct(), catalogue.select("name").distinct(), t=t)
     scores = scores.select(F.col("mention").alias("term"), "name", *(F.round(c, 9).alias(c) for c in ("trigram", "jaro_winkler", "match_score")))
-    recalled = terms.join(scores, "term").join(catalogue.select("id", "name", "category", F.col("domain").alias("item_domain")), "name").join(mentions.select("entity", "categories"), "entity")
+    # items of one name and category are recalled and gated alike, so only the first ones of them can be among a term's best
+    few = top_per_key(catalogue, ["name", "category"], PER_TERM, F.asc("id"))
+    recalled = terms.join(scores, "term").join(few.select("id", "name", "category", F.col("domain").alias("item_domain")), "name").join(mentions.select("entity", "categories"), "entity")
 
     def best(rows: DataFrame, retried: bool) -> DataFrame:
         cut = top_per_key(rows, ["entity", "place"], PER_TERM, F.desc("match_score"), F.asc("id")).drop("rank")
