@@ -136,17 +136,22 @@ def link_cascade(atoms: DataFrame, manifest: DataFrame, least: float = 0.72, mar
     by_name = pick(named, F.when(same, 2).when(fit & F.col("m_local").isNotNull() & (F.col("surface") == F.col("m_n")), 3).when(fit, 4))
     sure = first(by_id.unionByName(by_local).unionByName(by_name))
 
-    left = a.join(sure, "atom_id", "left_anti").where("p <> ''")
-    pairs = left.join(m, "visit").where(fit & (F.col("m_p") != ""))
     tokens = lambda c, few: F.array_except(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= few)), F.array(*map(F.lit, UNTELLING)))
     telling = F.when(F.size(tokens(F.col("p"), 4)) > 0, tokens(F.col("p"), 4)).otherwise(tokens(F.col("p"), 3))
+    formed = lambda c: c.rlike("|".join(FORMS))
+    # what one side alone decides is worked out before the sides meet
+    split = lambda c: F.array_distinct(F.split(c, " "))
+    left = a.join(sure, "atom_id", "left_anti").where("p <> ''").select("visit", "atom_id", "kind", "p", split("p").alias("w"), telling.alias("t"), formed(F.col("n")).alias("form"))
+    others = m.where("m_p <> ''").select("visit", "entity_id", "pos", "m_kind", "m_local", "m_p", split("m_p").alias("m_w"), tokens(F.col("m_p"), 3).alias("m_t"), formed(F.col("m_n")).alias("m_form"))
+    pairs = left.join(others, "visit").where(fit)
     inside = F.contains("p", F.col("m_p")) | F.contains("m_p", F.col("p"))
-    two = F.size(F.array_intersect(F.array_distinct(F.split("p", " ")), F.array_distinct(F.split("m_p", " ")))) >= 2
+    two = F.size(F.array_intersect("w", "m_w")) >= 2
     known = F.col("m_local").isNotNull()
-    loose = F.when(inside | two, 5).when(known & F.arrays_overlap(telling, tokens(F.col("m_p"), 3)), 6).when(known & same & inside, 7)
-    formed = lambda c: c.rlike("|".join(FORMS))
+    loose = F.when(inside | two, 5).when(known & F.arrays_overlap("t", "m_t"), 6).when(known & same & inside, 7)
     ratio = 1 - F.levenshtein("p", "m_p") / F.greatest(F.length("p"), F.length("m_p"))
-    scored = pairs.withColumn("strategy", loose).withColumn("ratio", F.when(known & formed(F.col("n")) & formed(F.col("m_n")), ratio))
+    scored = pairs.withColumn("strategy", loose).withColumn("ratio", F.when(known & F.col("form") & F.col("m_form"), ratio))
+    # a pair without a strategy counts only if its ratio could be the best one or come too near to it
+    scored = scored.where(F.col("strategy").isNotNull() | (F.col("ratio") >= least - margin - 1e-6))
     order = Window.partitionBy("atom_id").orderBy(F.desc_nulls_last("ratio"), F.asc("pos"), F.asc("entity_id"))
     ranked = scored.withColumn("place", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("ratio").over(order), F.lit(0.0)))
     stitched = F.when((F.col("place") == 1) & (F.col("ratio") >= least) & (F.col("ratio") - F.col("next") >= margin), 8)
