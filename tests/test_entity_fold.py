@@ -65,3 +65,13 @@ def test_attributes_are_folded_by_document(spark):
     shape = "doc long, kind string, name string, start long, stop long, concept_id long, service_id long, stock_id long, intent string, supporting string, attributes map<string,string>"
     got = sorted((r["doc"], r["name"], r["mentions"], r["supporting"], tuple(sorted(r["attributes"].items()))) for r in ef.entity_dedup(spark.createDataFrame(rows, shape), "doc").collect())
     assert got == [x for d in (1, 2) for x in ((d, "itch", 1, None, ()), (d, "pain", 2, "said so", (("old", "1"), ("side", "left"))))]
+
+
+def test_pairs_of_different_names_ask_for_no_intent_and_no_words(monkeypatch):
+    """A window of some hundred entities used to have names split and intents looked up at every pair."""
+    asked = []
+    for name in ("intent_of", "is_acronym", "filled"):
+        f = getattr(ef, name)
+        monkeypatch.setattr(ef, name, lambda *a, f=f: (asked.append(1), f(*a))[1])
+    rows = [{c: None for c in ef.COLUMNS} | {"kind": "Symptom", "name": f"strangeword{i:03d}x", "start": i, "stop": i + 9, "attributes": {}} for i in range(200)]
+    assert len(ef.folded(rows, 80)) == 200 and not asked

@@ -10,7 +10,7 @@ from __future__ import annotations
 import bisect
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.predicates import LONG_AGE, SHORT_AGE, SIGNALMENT_KINDS
@@ -33,10 +33,20 @@ def filled(e: dict, keys: list[str]) -> str:
     return next((v.strip().lower() for k in keys if (v := e["attributes"].get(k)) and v.strip()), "")
 
 
+def words_of(name: str) -> list[str]:
+    return [w for w in re.split(r"[\s,]+", name.replace("-", " ").strip()) if len(w) > 1]
+
+
+def letters_of(name: str) -> float:
+    """How many words ``name`` needs to be an acronym of; infinity where it can be none."""
+    n = len(name.replace("-", " ").replace(".", "").strip())
+    return n if 0 < n <= ACRONYM_LENGTH else float("inf")
+
+
 def is_acronym(short: str, long: str) -> bool:
     """The letters of ``short`` begin words of ``long``, in order; words may be skipped."""
     letters = short.replace("-", " ").replace(".", "").strip()
-    words = [w for w in re.split(r"[\s,]+", long.replace("-", " ").strip()) if len(w) > 1]
+    words = words_of(long)
     if not letters or len(letters) > ACRONYM_LENGTH or len(words) < len(letters):
         return False
     rest = iter(words)
@@ -54,28 +64,37 @@ def same_patient_part(e: dict, k: dict) -> bool:
 
 
 def is_duplicate(e: dict, k: dict, within: int) -> bool:
-    """``e`` says what the kept ``k`` says: by an id; else, unless intent or body part forbid it, by name, acronym, severity or signalment, near enough."""
-    if any(e[i] is not None and e[i] == k[i] for i in IDS):
+    """``e`` says what the kept ``k`` says: by an id; else, unless intent or body part forbid it, by name, acronym, severity or signalment, near enough.
+
+    Almost all pairs are of different names far from each other's likeness, so cheap comparisons come first; what
+    forbids a merge is only asked of pairs that would merge.
+    """
+    if e["ids"] and k["ids"] and any(e[i] is not None and e[i] == k[i] for i in IDS):
         return True
+    return says_same(e, k, within) and not forbidden(e, k)
+
+
+def forbidden(e: dict, k: dict) -> bool:
     if opposite(intent_of(e), intent_of(k)):
-        return False
-    same_kind = e["k"] == k["k"]
-    if same_kind and e["k"] in BY_SITE and (a := filled(e, SITES)) and (b := filled(k, SITES)) and a != b:
-        return False
-    placed, apart = e["placed"] and k["placed"], abs(e["start"] - k["start"])
-    inside = e["n"] in k["n"] or k["n"] in e["n"]
+        return True
+    return bool(e["k"] == k["k"] and e["k"] in BY_SITE and (a := filled(e, SITES)) and (b := filled(k, SITES)) and a != b)
+
+
+def says_same(e: dict, k: dict, within: int) -> bool:
+    a, b = e["n"], k["n"]
+    same_kind, placed, apart = e["k"] == k["k"], e["placed"] and k["placed"], abs(e["start"] - k["start"])
     if same_kind:
-        if e["n"] == k["n"] and (not placed or (apart <= within and abs(e["stop"] - k["stop"]) <= within)):
+        if a == b and (not placed or (apart <= within and abs(e["stop"] - k["stop"]) <= within)):
             return True
-        if placed and inside and apart <= 2 * within:
+        if placed and apart <= 2 * within and (a in b or b in a):
             return True
-        if placed and apart <= ACRONYM_WITHIN and (is_acronym(e["n"], k["n"]) or is_acronym(k["n"], e["n"])):
+        if placed and apart <= ACRONYM_WITHIN and ((e["letters"] <= k["words"] and is_acronym(a, b)) or (k["letters"] <= e["words"] and is_acronym(b, a))):
             return True
         if placed and "diagnosis" in e["k"] and apart <= SEVERITY_WITHIN:
             a, b = (re.sub(SEVERITY, "", x["n"]).strip() for x in (e, k))
             if a in b or b in a:
                 return True
-    return same_patient_part(e, k) and (not placed or apart <= 3 * within)
+    return e["k"] in SIGNALMENT_KINDS and (not placed or apart <= 3 * within) and same_patient_part(e, k)
 
 
 def intent_of(e: dict) -> str:
@@ -89,6 +108,9 @@ def prepared(row: dict) -> dict:
     e["start"], e["stop"] = int(e["start"] or 0), int(e["stop"] or 0)
     e["k"], e["n"] = (e["kind"] or "Other").strip().lower(), (e["name"] or "").strip().lower()
     e["placed"], e["mentions"] = e["stop"] > e["start"] >= 0, 1
+    e["ids"] = any(e[i] is not None for i in IDS)
+    # an acronym needs as many words as it has letters: counts rule most pairs out
+    e["letters"], e["words"] = letters_of(e["n"]), len(words_of(e["n"]))
     return e
 
 
@@ -102,14 +124,17 @@ def folded(rows: list[dict], within: int) -> list[dict]:
     by_id: dict[tuple, list[int]] = {}
     for e in sorted(map(prepared, rows), key=lambda e: (e["start"], -len(e["name"] or ""), e["name"] or "", e["k"])):
         kinds = {e["k"], *(SIGNALMENT_KINDS if e["k"] in SIGNALMENT_KINDS else [])}
-        near: set[int] = {i for c in IDS if e[c] is not None for i in by_id.get((c, e[c]), ())}
+        near: set[int] | list[int] = {i for c in IDS if e[c] is not None for i in by_id.get((c, e[c]), ())}
+        if len(kinds) == 1 and not near and e["placed"] and e["k"] not in unplaced:  # rising already
+            near = numbers.get(e["k"], [])[bisect.bisect_left(starts.get(e["k"], []), e["start"] - reach) :]
+            kinds = set()
         for kind in kinds:
             if e["placed"]:
                 near.update(numbers.get(kind, [])[bisect.bisect_left(starts.get(kind, []), e["start"] - reach) :])
                 near.update(unplaced.get(kind, ()))
             else:
                 near.update(numbers.get(kind, ()))
-        match = next((i for i in sorted(near) if is_duplicate(e, kept[i], within)), None)
+        match = next((i for i in (sorted(near) if isinstance(near, set) else near) if is_duplicate(e, kept[i], within)), None)
         if match is None:
             i = len(kept)
             kept.append(e)
@@ -136,9 +161,11 @@ def entity_dedup(entities: DataFrame, key: str, within: int = 80) -> DataFrame:
     given = dict(entities.dtypes)
     shape = ", ".join(f"{c} {given[c]}" for c in (key, *COLUMNS))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(folded(frame[list(COLUMNS)].to_dict("records"), within), columns=[*COLUMNS, "mentions"])
-        out.insert(0, key, frame[key].iloc[0])
-        return out
+    def one(table: pa.Table) -> pa.Table:
+        kept = folded(table.select(list(COLUMNS)).to_pylist(), within)
+        columns = [pa.array([table[key][0].as_py()] * len(kept), table.schema.field(key).type)]
+        kind = lambda c: pa.map_(pa.string(), pa.string()) if c == "attributes" else table.schema.field(c).type
+        columns += [pa.array([list(e[c].items()) if c == "attributes" else e[c] for e in kept], kind(c)) for c in COLUMNS]
+        return pa.table([*columns, pa.array([e["mentions"] for e in kept], pa.int64())], [key, *COLUMNS, "mentions"])
 
-    return entities.select(key, *COLUMNS).groupBy(key).applyInPandas(one, f"{shape}, mentions long")
+    return entities.select(key, *COLUMNS).groupBy(key).applyInArrow(one, f"{shape}, mentions long")
