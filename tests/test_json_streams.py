@@ -98,3 +98,63 @@ def test_stream_of_objects(spark, tmp_path):
     frames = [spark.createDataFrame(b, "session long, seq long, piece string") for b in (rows[:15], rows[15:])]
     got = run(spark, frames, tmp_path / "o", jf.json_objects_stream, "objects")
     assert [json.loads(r["object"]) for r in sorted(got, key=lambda r: r["ordinal"])] == json.loads(text)
+
+
+def test_waiting_pieces_cost_one_entry_of_the_state_for_many():
+    """Each piece used to be written to the state, looked up, read and removed by itself, even those that came in their turn."""
+    from weft.streaming import json_fields
+    import pandas as pd
+
+    class State:
+        def __init__(self, calls):
+            self.held, self.calls = None, calls
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+        def appendValue(self, value):
+            self.held = [*(self.held or []), value]
+
+    class Map(dict):
+        def __init__(self, calls):
+            super().__init__()
+            self.calls = calls
+
+        def called(self):
+            self.calls.append(1)
+
+        def containsKey(self, key):
+            self.called()
+            return key in self
+
+        def getValue(self, key):
+            self.called()
+            return self[key]
+
+        def updateValue(self, key, value):
+            self.called()
+            self[key] = value
+
+        def removeKey(self, key):
+            self.called()
+            del self[key]
+
+    calls = []
+    p = json_fields.PieceProcessor(lambda: json_fields.FieldTokenizer({"text"}))
+    p.place, p.waiting, p.open = State([]), Map(calls), State([])
+    raw = ('{"text": "' + "ab" * 300 + '", "text": "c"}').encode()
+    pieces = [(i, raw[i * 3 : i * 3 + 3]) for i in range(-(-len(raw) // 3))]
+    found = []
+    for some in (pieces[1::2], pieces[1:5], pieces[::4], pieces[:1], pieces):
+        for f in p.handleInputRows((1,), iter([pd.DataFrame(some, columns=["seq", "piece"])]), None):
+            found += f["value"].tolist()
+    assert found == ["ab" * 300, "c"] and not p.waiting and len(calls) < 60
