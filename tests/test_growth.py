@@ -1,7 +1,9 @@
 """Plans whose cost once grew faster than their input."""
 
+import random
+
 from weft import plans
-from weft.operators import attributes, linkage
+from weft.operators import attributes, edits, linkage
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +41,32 @@ def test_attributes_are_checked_within_their_row(spark):
     assert got == {1: ({"DOSE": 2.0}, {"ODD": "[1]"}, [], ["NOTE"], True), 2: ({}, {}, ["DOSE"], ["DOSE", "NOTE"], True), 3: ({}, {}, [], [], False), 4: ({}, {}, [], ["DOSE", "NOTE"], False)}
     plan = plan_of(out)
     assert "Generate" not in plan and "Aggregate [id" not in plan
+
+
+ATOM = "visit long, atom_id string, service_id long, stock_id long, dedup_key string, section string, concept string, kind string, source string"
+
+
+def some_atoms(spark):
+    rng = random.Random(7)
+    names = ["".join(rng.choice("abcd") for _ in range(24)) for _ in range(4)]
+
+    def concept():
+        name = list(rng.choice(names))
+        name[rng.randrange(len(name))] = rng.choice(["x", "", "yz"])
+        return "".join(name)
+
+    few = lambda *values: rng.choice([None, None, None, *values])
+    rows = [(k % 2, f"{k:03d}", few(1), few(2), few("Key", "?"), rng.choice(["Plan", "Else"]), rng.choice([concept(), concept(), concept(), ""]), rng.choice(["drug", "odd"]), rng.choice([None, "a", " b", "c"])) for k in range(200)]
+    return spark.createDataFrame(rows, ATOM)
+
+
+def test_atoms_of_one_partition_a_visit_are_merged_without_another_shuffle(spark, monkeypatch):
+    atoms = some_atoms(spark)
+    out = linkage.atom_dedup(atoms.repartition("visit"), "visit")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    expected = rows(out)
+    keys = [r[1].split(":")[0] for r in expected]
+    assert {"svc", "stk", "key", "own", "like"} == set(keys) and any(r[1].startswith("like") and r[-1] > 1 and " | " in r[-2] for r in expected)
+    monkeypatch.setattr(edits, "FEW_NAMES", 3)  # larger groups are joined
+    assert rows(linkage.atom_dedup(atoms, "visit")) == expected

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Names of a group up to which all are compared, within one row.
+FEW_NAMES = 500
+
+
 def allowed(longer: Column, least: float) -> Column:
     """Edits that a ratio of ``least`` allows; the tiny addition makes up for rounding, the exact ratio is checked at the end."""
     return F.floor(longer * (1 - least) + 1e-6).cast("int")
@@ -41,6 +45,22 @@ def edit_pairs(names: DataFrame, group: list[str], name: str, least: float) -> D
     return near.withColumn("ratio", ratio).where(F.col("ratio") >= least)
 
 
+def like(a: Column, b: Column, least: float) -> Column:
+    """Whether two names have an edit ratio of ``least`` or more; distances beyond it are not worked out."""
+    longer = F.greatest(F.length(a), F.length(b))
+    edits = F.call_function("levenshtein", a, b, allowed(longer, least))
+    return (edits >= 0) & (1 - edits / longer.cast("double") >= least)
+
+
+def heads(names: Column, least: float) -> Column:
+    """The leaders among an array of names, in its order: those that are like no leader before them."""
+    return F.aggregate(names, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda h: like(h, x, least)), acc).otherwise(F.concat(acc, F.array(x))))
+
+
+def head_of(leaders: Column, name: Column, least: float) -> Column:
+    return F.element_at(F.filter(leaders, lambda h: like(h, name, least)), 1)
+
+
 def led(edges: list[tuple]) -> dict:
     """Name place -> place of its cluster's leader, from (earlier, later) pairs: in order, a name joins the first leader that it is like, or leads."""
     before: dict = {}

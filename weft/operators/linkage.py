@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.files import stored
 from . import edits
 from .relational import best_per_key
 
@@ -60,44 +61,70 @@ def meta_kind(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in META_KINDS.items() for x in pair)), k), F.when(k != "", k), F.lit("OTHER"))
 
 
-def atom_groups(atoms: DataFrame, visit: str, least: float = 0.9) -> DataFrame:
-    """Adds ``group_key``, by the first of: the service id; the stock id; dedup key and meta kind; a cluster of like concepts of one meta kind.
+def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of one key as one: the first best atom, the first ids, what the sources are and since which atom."""
+    return rows.groupBy(*keys).agg(F.min("best").alias("best"), *(F.min(c).alias(c) for c in ("first", "any_service_id", "any_stock_id")), F.sum("n").alias("n"), F.flatten(F.collect_list("told")).alias("told"))
 
-    Clusters form in the order of ``atom_id``: an atom joins the first cluster whose first concept is like its own, by a
-    normalised edit ratio of ``least``.  An atom without any text is a group of its own.
+
+def clustered(names: DataFrame, visit: str, least: float) -> DataFrame:
+    """Merged rows of ``names`` (visit, _meta, _text), merged by cluster, with its ``group_key``.
+
+    Groups of few names are folded within a row that holds them; names of larger ones stay apart, are stored with what
+    is done, and then joined.
+    """
+    group, held = [visit, "_meta"], names.columns[2:]
+    sized = names.withColumn("apart", F.when(F.count(F.lit(1)).over(Window.partitionBy(*group)) > edits.FEW_NAMES, F.col("_text")))
+    rows = sized.groupBy(*group, "apart").agg(F.sort_array(F.collect_list(F.struct("first", *(c for c in held if c != "first")))).alias("rows"))
+    rows = rows.withColumn("heads", edits.heads(F.col("rows._text"), least)).select(*group, "apart", "heads", F.explode("rows").alias("r"))
+    led = rows.select(*group, "apart", edits.head_of(F.col("heads"), F.col("r._text"), least).alias("leader"), *(f"r.{c}" for c in held if c != "_text"))
+    done = stored(merged(led, [*group, "apart", "leader"]), "atom-clusters")
+    key = F.concat(F.lit("like:"), F.col("_meta"), F.lit(":"), F.col("leader")).alias("group_key")
+    few, many = done.where("apart is null"), done.where("apart is not null").drop("leader")
+    out = few.select(visit, key, *(c for c in held if c != "_text"))
+    if many.isEmpty():
+        return out
+    joined = many.join(edits.clusters(many, group, "apart", "first", least), [*group, "apart"])
+    return out.unionByName(merged(joined.select("*", key), [visit, "group_key"]))
+
+
+def atom_dedup(atoms: DataFrame, visit: str, least: float = 0.9) -> DataFrame:
+    """One atom a group and visit: the best by section, then with an id, then by atom id.
+
+    An atom's ``group_key`` is the first of: the service id; the stock id; dedup key and meta kind; a cluster of like concepts
+    of one meta kind.  Clusters form in the order of ``atom_id``: an atom joins the first cluster whose first concept is like its
+    own, by a normalised edit ratio of ``least``.  An atom without any text is a group of its own.
+
+    Ids that the best atom lacks come from the first of the others that has them; its source comes first, then
+    those of the others, each text once.  Atoms with a sure key and those to be clustered are told apart where they are
+    read, each goes through one aggregation by source and one by key, and names are clustered with what is merged by then.
+    Atoms that are already partitioned by their visit are not shuffled again.
     """
     key = (
         F.when(F.col("service_id").isNotNull(), F.concat(F.lit("svc:"), F.col("service_id")))
         .when(F.col("stock_id").isNotNull(), F.concat(F.lit("stk:"), F.col("stock_id")))
         .when(atom_text(F.col("dedup_key")) != "", F.concat(F.lit("key:"), meta_kind(F.col("kind")), F.lit(":"), atom_text(F.col("dedup_key"))))
     )
-    marked = atoms.withColumns({"group_key": key, "_meta": meta_kind(F.col("kind")), "_text": atom_text(F.col("concept"))})
-    left = marked.where("group_key is null").select(visit, F.col("_meta"), F.col("_text"), F.col("atom_id").cast("string").alias("atom_id"))
-    like = edits.clusters(left, [visit, "_meta"], "_text", "atom_id", least)
-    both = marked.join(like, [visit, "_meta", "_text"], "left")
-    own = F.when(F.col("leader").isNotNull(), F.concat(F.lit("like:"), F.col("_meta"), F.lit(":"), F.col("leader"))).otherwise(F.concat(F.lit("own:"), F.col("atom_id")))
-    return both.withColumn("group_key", F.coalesce("group_key", own)).drop("_meta", "_text", "leader")
-
-
-def atom_dedup(atoms: DataFrame, visit: str) -> DataFrame:
-    """One atom a group and visit: the best by section, then with an id, then by atom id.
-
-    Ids that it lacks come from the first of the others that has them; its source comes first, then
-    those of the others, each text once.  Sources are made distinct before they are gathered.
-    """
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SECTION_RANK)), F.trim("section")), F.lit(0)), F.lit(99))
-    has_id = F.when(F.col("service_id").isNotNull() | F.col("stock_id").isNotNull(), 0).otherwise(1)
-    order = F.struct(rank.alias("r"), has_id.alias("h"), F.col("atom_id").alias("a"), "source")
-    known = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("atom_id")))
     ids = ("service_id", "stock_id")
-    grouped = atom_groups(atoms, visit).withColumn("source", F.trim(F.coalesce("source", F.lit(""))))
-    best = grouped.groupBy(visit, "group_key").agg(F.min_by(F.struct("atom_id", "concept", "kind", "section", "source", *ids), order).alias("best"), *(known(c).alias(f"any_{c}") for c in ids), F.count(F.lit(1)).alias("n"))
-    told = grouped.where("source <> ''").groupBy(visit, "group_key", "source").agg(F.min("atom_id").alias("at"))
-    told = told.groupBy(visit, "group_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "source"))), lambda x: x["source"]).alias("told"))
+    has_id = F.when(F.col("service_id").isNotNull() | F.col("stock_id").isNotNull(), 0).otherwise(1)
+    best = F.struct(rank.alias("r"), has_id.alias("h"), "atom_id", "source", "concept", "kind", "section", *ids)
+    known = lambda c: F.min(F.when(F.col(c).isNotNull() & F.col("atom_id").isNotNull(), F.struct("atom_id", c)))
+    source = F.array(F.struct(F.min("atom_id").alias("at"), "source"))
+    told = F.when(F.col("source") != "", source).otherwise(F.filter(source, lambda x: F.lit(False)))
+
+    def by_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+        rows = rows.withColumn("source", F.trim(F.coalesce("source", F.lit(""))))
+        parts = rows.groupBy(*keys, "source").agg(F.min(best).alias("best"), F.min(F.col("atom_id").cast("string")).alias("first"), *(known(c).alias(f"any_{c}") for c in ids), F.count(F.lit(1)).alias("n"), told.alias("told"))
+        return merged(parts, keys)
+
+    unsure = F.col("service_id").isNull() & F.col("stock_id").isNull() & (atom_text(F.col("dedup_key")) == "")
+    like = unsure & (atom_text(F.col("concept")) != "") & F.col(visit).isNotNull()
+    sure = by_key(atoms.where(~like).withColumn("group_key", F.coalesce(key, F.concat(F.lit("own:"), F.col("atom_id")))), [visit, "group_key"])
+    names = by_key(atoms.where(like).withColumns({"_meta": meta_kind(F.col("kind")), "_text": atom_text(F.col("concept"))}), [visit, "_meta", "_text"])
+    shown = sure.unionByName(clustered(names, visit, least))
     first = F.when(F.col("best.source") != "", F.array("best.source")).otherwise(F.array().cast("array<string>"))
-    sources = F.array_join(F.array_distinct(F.concat(first, F.coalesce("told", F.array().cast("array<string>")))), " | ")
-    shown = best.join(told, [visit, "group_key"], "left")
-    return shown.select(visit, "group_key", *(f"best.{c}" for c in ("atom_id", "concept", "kind", "section")), *(F.coalesce(f"best.{c}", f"any_{c}").alias(c) for c in ids), sources.alias("sources"), "n")
+    sources = F.array_join(F.array_distinct(F.concat(first, F.transform(F.sort_array("told"), lambda x: x["source"]))), " | ")
+    return shown.select(visit, "group_key", *(f"best.{c}" for c in ("atom_id", "concept", "kind", "section")), *(F.coalesce(f"best.{c}", f"any_{c}.{c}").alias(c) for c in ids), sources.alias("sources"), "n")
 
 
 def kinds_fit(atom: Column, manifest: Column) -> Column:

@@ -267,13 +267,16 @@ ATOM_TEXT = lambda c: f"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '
 
 
 def like_atoms(spark, sf_dir):
-    n, lines = F.col("l_linenumber"), table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    concept = F.when(F.col("l_partkey") % 19 == 0, "").when(F.col("l_orderkey") % 2 == 0, F.concat_ws(", ", "p_name", "p_brand")).otherwise(F.concat(F.upper("p_name"), F.lit(" "), F.replace("p_brand", F.lit("r"), F.lit(""))))
+    """Lines are made distinct where they meet their parts, so that one shuffle does for both, and once more by visit, for parts that make them alike."""
+    n, p, even = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_orderkey") % 2 == 0
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", F.when(n == 3, F.col("l_suppkey") % 3).alias("service_id")).repartition("l_partkey").distinct()
+    lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), p == F.col("p_partkey"))
+    concept = F.when(p % 19 == 0, "").when(even, F.concat_ws(", ", "p_name", "p_brand")).otherwise(F.concat(F.upper("p_name"), F.lit(" "), F.replace("p_brand", F.lit("r"), F.lit(""))))
     return lines.select(
-        F.floor(F.col("l_orderkey") / 50).alias("visit"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").alias("atom_id"), F.when(n == 3, F.col("l_suppkey") % 3).alias("service_id"), F.when(n == 1, F.col("l_partkey") % 4).alias("stock_id"),
+        F.floor(F.col("l_orderkey") / 50).alias("visit"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").alias("atom_id"), "service_id", F.when(n == 1, p % 4).alias("stock_id"),
         F.when(n == 2, F.concat(F.lit("Key ("), "l_returnflag", F.lit(")"))).when(n == 4, "?").alias("dedup_key"), F.when(F.col("l_linestatus") == "O", "Plan").otherwise("Elsewhere").alias("section"), concept.alias("concept"),
         F.when(n % 4 == 0, "Drug").when(n % 4 == 1, "vaccine").when(n % 4 == 2, "labtest").otherwise("Odd").alias("kind"), F.when(n != 5, F.concat(F.lit(" "), "l_returnflag", "l_linestatus")).alias("source"),
-    ).distinct()
+    ).repartition("visit").distinct()
 
 
 @query(f"""

@@ -19,6 +19,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back, so that several later steps read it and none computes it again."""
+    folder = scratch(df.sparkSession, tag)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header and a stated schema; blank text becomes null."""
     df = spark.read.csv(path, header=True, schema=schema)
