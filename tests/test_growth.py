@@ -70,3 +70,8 @@ def test_atoms_of_one_partition_a_visit_are_merged_without_another_shuffle(spark
     assert {"svc", "stk", "key", "own", "like"} == set(keys) and any(r[1].startswith("like") and r[-1] > 1 and " | " in r[-2] for r in expected)
     monkeypatch.setattr(edits, "FEW_NAMES", 3)  # larger groups are joined
     assert rows(linkage.atom_dedup(atoms, "visit")) == expected
+
+
+def test_atom_dedup_shuffles_its_lines_once(spark):
+    physical = plans.queries()["atom_dedup"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in physical

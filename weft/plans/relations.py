@@ -257,7 +257,7 @@ s AS (SELECT visit, group_key, source, min(CASE WHEN place = 1 THEN -1 ELSE atom
 SELECT b.visit, b.group_key, b.atom_id, j.sources, b.n FROM b JOIN j USING (visit, group_key)
 """)
 def atom_dedup(spark, sf_dir):
-    return linkage.atom_dedup(atoms(spark, sf_dir), "visit").select("visit", "group_key", "atom_id", "sources", "n")
+    return linkage.atom_dedup(atoms(spark, sf_dir).repartition("visit"), "visit").select("visit", "group_key", "atom_id", "sources", "n")
 
 
 LIKE_ATOMS = """SELECT DISTINCT l_orderkey // 50 AS visit, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus) AS atom_id, CASE WHEN l_linenumber = 3 THEN l_suppkey % 3 END AS service_id, CASE WHEN l_linenumber = 1 THEN l_partkey % 4 END AS stock_id,
