@@ -59,3 +59,24 @@ def test_scores_are_summed_in_chunks_without_pairs_of_candidates_and_terms(spark
     assert top(found) == top(retrieval.bm25(queries, docs, 5))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Join Inner, ((term" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_searches_in_a_task_equal_those_over_postings(spark, monkeypatch):
+    rng = random.Random(8)
+    said = lambda n: " ".join(rng.choice(["a", "b", "c", "D1", "e-f", "é", *map(str, range(30))]) for _ in range(n))
+    docs = [(k, rng.choice([None, "", said(3), said(rng.randint(1, 60))])) for k in range(700)]
+    docs += [(1000 + k, docs[k % 5][1]) for k in range(40)]
+    items = [(k, said(rng.randint(1, 9))) for k in range(12)] + [(20, None), (21, "none of these"), (3, "a b b")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "query_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(retrieval, "TASK_DOCS", 50)
+    monkeypatch.setattr(retrieval, "TASK_CELLS", 100)
+    near = retrieval.bm25(q, d, 7), retrieval.word_overlap(q, d, 7)
+    for df in near:
+        physical = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query" in physical and "doc_id" not in "".join(line for line in physical.split("\n") if "Exchange hashpartitioning" in line)
+    monkeypatch.setattr(retrieval, "MOST_PAIRS", 0)
+    assert [rows(x) for x in near] == [rows(f(q, d, 7)) for f in (retrieval.bm25, retrieval.word_overlap)] and near[0].count() > 70
+    monkeypatch.undo()
+    twice = d.unionByName(d.where("doc_id < 50"))  # documents that share an id are one
+    assert rows(retrieval.bm25(q, twice, 7)) == rows(retrieval.bm25_postings(q, twice, 7))
