@@ -3,7 +3,7 @@
 import random
 
 from weft import plans
-from weft.operators import attributes, edits, linkage
+from weft.operators import attributes, automaton, edits, linkage
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +75,18 @@ def test_atoms_of_one_partition_a_visit_are_merged_without_another_shuffle(spark
 def test_atom_dedup_shuffles_its_lines_once(spark):
     physical = plans.queries()["atom_dedup"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in physical
+
+
+def test_items_meet_the_answer_of_their_list_of_names_once(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ab ") for _ in range(rng.randint(0, 4)))
+    items = [(rng.choice([None, 1, 2, 3]), k, rng.choice([None, [], [rng.choice([None, word()]) for _ in range(rng.randint(1, 3))]])) for k in range(200)]
+    items = spark.createDataFrame(items, "visit long, item long, names array<string>")
+    atoms = spark.createDataFrame([(1 + k % 2, k, k, word()) for k in range(12)], "visit long, atom long, pos long, name string")
+    near = automaton.matched_atoms(items, atoms)
+    assert "Exchange hashpartitioning" not in near._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    expected = rows(near)
+    assert len(expected) == 200 and {r[3] for r in expected} == {"equal", "inside", None} and all(r[3] is None for r in expected if r[0] in (None, 3))
+    monkeypatch.setattr(automaton, "FEW_LISTS", 0)
+    assert rows(automaton.matched_atoms(items, atoms)) == expected

@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
+from ..sources.files import stored
 from .relational import best_per_key
 
 #: Distinct names of one side in a block of one visit, and in a group of blocks.
 BLOCK_NAMES, GROUP_NAMES = 20_000, 100_000
+#: Lists of names with an answer up to which these are sent to every executor.
+FEW_LISTS = 500_000
 
 
 def name_key(c: Column) -> Column:
@@ -74,17 +77,21 @@ def contained_names(items: DataFrame, atoms: DataFrame) -> DataFrame:
 def matched_atoms(items: DataFrame, atoms: DataFrame) -> DataFrame:
     """(visit, item, atom, how) of every item; ``how`` is equal, inside or null.
 
-    ``items``: visit, item, names (in the order they are tried); ``atoms``: visit, atom, pos,
+    ``items``: visit, item, names (in the order they are tried), one row an item; ``atoms``: visit, atom, pos,
     name.  Of atoms with one name the last stands in the place of the first.  Equal names of any rank
     come before containment; within each the first name that finds an atom decides, and of the atoms it finds the
-    first.
+    first.  What an item finds follows from its visit and names alone, so only distinct lists of names are looked up, and items
+    meet their list's answer once.
     """
     known = atoms.select("visit", "atom", F.col("pos").cast("long").alias("pos"), name_key(F.col("name")).alias("key")).where("key <> ''")
     known = known.groupBy("visit", "key").agg(F.max_by("atom", "pos").alias("atom"), F.min("pos").alias("pos"))
-    names = items.select("visit", "item", F.posexplode("names").alias("rank", "name")).select("visit", "item", "rank", name_key(F.col("name")).alias("key")).where("key <> ''")
-    equal = best_per_key(names.join(known, ["visit", "key"]), ["visit", "item"], F.asc("rank")).select("visit", "item", "atom", F.lit("equal").alias("how"))
-    left = names.join(equal, ["visit", "item"], "left_anti")
+    keyed = items.select("visit", "item", F.transform("names", lambda x: name_key(x)).alias("keys"))
+    lists = stored(keyed.select("visit", "keys").where("visit is not null").distinct(), "name-lists")
+    names = lists.select("visit", "keys", F.posexplode("keys").alias("rank", "key")).where("key <> ''")
+    equal = best_per_key(names.join(known, ["visit", "key"]), ["visit", "keys"], F.asc("rank")).select("visit", "keys", "atom", F.lit("equal").alias("how"))
+    left = names.join(equal, ["visit", "keys"], "left_anti")
     near = left.join(contained_names(left, known), ["visit", "key"])
-    near = best_per_key(near, ["visit", "item"], F.asc("rank"), F.asc("pos")).join(known.select("visit", "pos", "atom"), ["visit", "pos"])
-    found = equal.unionByName(near.select("visit", "item", "atom", F.lit("inside").alias("how")))
-    return items.select("visit", "item").join(found, ["visit", "item"], "left")
+    near = best_per_key(near, ["visit", "keys"], F.asc("rank"), F.asc("pos")).join(known.select("visit", "pos", "atom"), ["visit", "pos"])
+    found = stored(equal.unionByName(near.select("visit", "keys", "atom", F.lit("inside").alias("how"))), "matched-lists")
+    few = found.count() <= FEW_LISTS
+    return keyed.join(F.broadcast(found) if few else found, ["visit", "keys"], "left").select("visit", "item", "atom", "how")
