@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -538,3 +539,35 @@ def test_ngram_pairs_with_a_cluster_of_a_negative_id(spark):
     rows = spark.createDataFrame([(g, i, 2, i) for g in (10, 11) for i in (-5, 4)], "g long, doc_id long, n long, grp long")
     clusters = spark.createDataFrame([(-5, -5)], "node long, root long")
     assert [tuple(r) for r in ngramjoin.occurrence_pairs(rows, clusters).collect()] == [(-5, 4)]
+
+
+def test_packed_numbers_come_back():
+    for x in ([0], [5], [255, 256, 1 << 40], [-5, 3], [0, 0, 0], [1 << 62], list(range(300)), [300] * 9, [(1 << 63) - 1, -1]):
+        assert ngramjoin.from_planes(ngramjoin.planes(np.array(x, np.int64))).tolist() == x
+    assert len(ngramjoin.planes(np.arange(10_000))) < 20_002
+    g, n = ngramjoin.unpacked(ngramjoin.binaries(np.array([1 << 63, 5 << 16, 7], np.uint64), np.array([0, 2, 1])))
+    assert g.tolist() == [1 << 47, 5, 0] and n.tolist() == [0, 2, 1]
+
+
+@pytest.mark.parametrize("gathered, slices, filter_bits", [(2_000_000, 64, 28), (50, 2, 6)])
+def test_only_postings_of_shared_ngrams_are_shuffled(spark, monkeypatch, gathered, slices, filter_bits):
+    for name, value in (("GATHERED", gathered), ("LEAST_SLICES", slices), ("FILTER_BITS", filter_bits)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    docs = spark.createDataFrame(near_copies(5, 300), "doc_id long, text string").repartition(4)
+    sketches = ngramjoin.sketched(docs, np.zeros(0, np.uint64))
+    postings = ngramjoin.stored(sketches.select("doc_id", "n", (F.col("doc_id") % 40 - 20).alias("grp"), "prefix"), "test")
+    lists = {}
+    for r in postings.collect():
+        for g in ngramjoin.unpacked(pa.array([r["prefix"]], pa.binary()))[0].tolist():
+            lists.setdefault(g, set()).add((r["doc_id"], r["n"], r["grp"]))
+    expected = {(g, *x) for g, found in lists.items() if len({x[2] for x in found}) > 1 for x in found}
+    bits = ngramjoin.slice_bits(len(lists))
+    shared = ngramjoin.stored(ngramjoin.shared_ngrams(postings, bits), "test")
+    assert shared.count() <= 1 << bits
+    assert 0 < len(expected) < sum(map(len, lists.values()))
+    assert {tuple(r) for r in ngramjoin.posting_rows(postings, shared, bits).collect()} == expected
+    known = ngramjoin.filter_of(shared, bits)
+    assert len(known) == (1 << filter_bits) // 8
+    if filter_bits == 28:  # a filter that is not full passes next to nothing else
+        passed = sum(len(x) for g, x in lists.items() if known[g >> 23] >> (g >> 20 & 7) & 1)
+        assert passed == len(expected)
