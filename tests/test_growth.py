@@ -33,6 +33,22 @@ def test_link_cascade_drops_pairs_that_decide_nothing_before_they_are_ranked(spa
     assert "0.639999" in plan_of(found)
 
 
+def test_link_cascade_shuffles_each_side_once_and_an_atom_once_a_task(spark):
+    a = spark.createDataFrame([(1, k, "abc tablet", "Drug", None, None) for k in (1, 2, 2)], "visit long, atom_id long, concept string, kind string, ref_id string, local_id long")
+    rows = [(1, "E1", 1, "Abd tablet", "x", "Medicine", 3), (1, "E1", 1, "abd tablet", "X", "Medicine", 3), (1, "E2", 2, "zzzzzzzz tablet", "x", "Medicine", 3)]
+    m = spark.createDataFrame(rows, "visit long, entity_id string, pos long, name string, display string, kind string, local_id long")
+    found = linkage.link_cascade(a, m)
+    assert [tuple(r) for r in found.collect()] == [(1, "E1", 8)]  # rows of the manifest that are the same count once, those of an atom do not
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "Window" not in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shuffles = linkage.link_cascade(a, m)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert shuffles == 3
+
+
 def test_attributes_are_checked_within_their_row(spark):
     schema = spark.createDataFrame([("Drug", "DOSE", "d", "5", True, "number"), ("Drug", "NOTE", "n", "x", True, None)], "source_kind string, relationship string, target_attribute string, use_case string, is_required boolean, value_type string")
     atoms = spark.createDataFrame([(1, "Drug", '{"DOSE": 2, "ODD": [1]}'), (2, "Drug", '{"DOSE": "x", "NOTE": null}'), (3, "Other", "[1]"), (4, "Drug", None)], "id long, kind string, payload string")

@@ -127,12 +127,10 @@ def atom_dedup(atoms: DataFrame, visit: str, least: float = 0.9) -> DataFrame:
     return shown.select(visit, "group_key", *(f"best.{c}" for c in ("atom_id", "concept", "kind", "section")), *(F.coalesce(f"best.{c}", f"any_{c}.{c}").alias(c) for c in ids), sources.alias("sources"), "n")
 
 
-def kinds_fit(atom: Column, manifest: Column) -> Column:
-    a, m = F.lower(atom), F.lower(manifest)
-    fits = a == m
-    for kind, others in FITTING.items():
-        fits = fits | ((a == kind) & m.isin(others))
-    return fits
+def others_fitting(kind: Column) -> Column:
+    """The kinds of manifest rows, besides its own, that an atom of the lower-case ``kind`` may be linked to."""
+    known = F.create_map(*(x for k, others in FITTING.items() for x in (F.lit(k), F.array(*map(F.lit, others)))))
+    return F.coalesce(F.try_element_at(known, kind), F.array().cast("array<string>"))
 
 
 def link_cascade(atoms: DataFrame, manifest: DataFrame, least: float = 0.72, margin: float = 0.08) -> DataFrame:
@@ -146,43 +144,45 @@ def link_cascade(atoms: DataFrame, manifest: DataFrame, least: float = 0.72, mar
     the other, same kind, with a local id; 8 an edit ratio of ``least``, ``margin`` above the next
     one, where both name a form, fitting kind, with a local id.
 
-    Strategies 0 to 4 are equi-joins on the visit and a key.  Only what they leave is compared
-    with its visit's rows, once for all other strategies.
+    Each side is shuffled once, by visit and before anything is derived from its columns, and lies sorted
+    where the pairs of a visit are formed; a pair's strategy is told at once, and tasks reduce the pairs of
+    an atom to the best one and to those of about the best ratio before those meet.
     """
     plain = lambda c: text.squeeze(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\w\s]", ""))
     lowered = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    a = atoms.select("visit", "atom_id", "kind", F.col("ref_id").alias("ref"), F.col("local_id").alias("a_local"), lowered(F.col("concept")).alias("n"), plain(F.col("concept")).alias("p"))
-    m = manifest.select("visit", "entity_id", "pos", F.col("kind").alias("m_kind"), F.col("local_id").alias("m_local"), lowered(F.col("name")).alias("m_n"), lowered(F.col("display")).alias("m_d"), plain(F.col("name")).alias("m_p")).distinct()
-    fit, same = kinds_fit(F.col("kind"), F.col("m_kind")), F.lower("kind") == F.lower("m_kind")
-    first = lambda df: best_per_key(df.where("strategy is not null"), ["atom_id"], F.asc("strategy"), F.asc("pos"), F.asc("entity_id")).select("atom_id", "entity_id", "strategy")
-    pick = lambda df, s: df.select("atom_id", "entity_id", "pos", (F.lit(s) if isinstance(s, int) else s).alias("strategy"))
-    by_id = pick(a.join(m, (a["visit"] == m["visit"]) & (a["ref"] == m["entity_id"])), 0)
-    by_local = pick(a.join(m, (a["visit"] == m["visit"]) & (a["a_local"] == m["m_local"])), 1)
-    surfaces = m.withColumn("surface", F.explode(F.array_distinct(F.array("m_n", "m_d")))).where("surface <> ''")
-    named = a.join(surfaces, (a["visit"] == surfaces["visit"]) & (a["n"] == surfaces["surface"]))
-    by_name = pick(named, F.when(same, 2).when(fit & F.col("m_local").isNotNull() & (F.col("surface") == F.col("m_n")), 3).when(fit, 4))
-    sure = first(by_id.unionByName(by_local).unionByName(by_name))
-
     tokens = lambda c, few: F.array_except(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= few)), F.array(*map(F.lit, UNTELLING)))
-    telling = F.when(F.size(tokens(F.col("p"), 4)) > 0, tokens(F.col("p"), 4)).otherwise(tokens(F.col("p"), 3))
     formed = lambda c: c.rlike("|".join(FORMS))
-    # what one side alone decides is worked out before the sides meet
     split = lambda c: F.array_distinct(F.split(c, " "))
-    left = a.join(sure, "atom_id", "left_anti").where("p <> ''").select("visit", "atom_id", "kind", "p", split("p").alias("w"), telling.alias("t"), formed(F.col("n")).alias("form"))
-    others = m.where("m_p <> ''").select("visit", "entity_id", "pos", "m_kind", "m_local", "m_p", split("m_p").alias("m_w"), tokens(F.col("m_p"), 3).alias("m_t"), formed(F.col("m_n")).alias("m_form"))
-    pairs = left.join(others, "visit").where(fit)
+    laid = lambda df: df.where(F.col("visit").isNotNull()).repartition("visit").sortWithinPartitions("visit")
+    # what one side alone decides is worked out before the sides meet
+    a = laid(atoms.select("visit", "atom_id", F.lower("kind").alias("kind"), F.col("ref_id").alias("ref"), F.col("local_id").alias("a_local"), "concept", F.monotonically_increasing_id().alias("row")))
+    a = a.select("visit", "atom_id", "row", "kind", others_fitting(F.col("kind")).alias("fitting"), "ref", "a_local", lowered(F.col("concept")).alias("n"), plain(F.col("concept")).alias("p"))
+    a = a.withColumns({"w": split("p"), "t": F.when(F.size(tokens(F.col("p"), 4)) > 0, tokens(F.col("p"), 4)).otherwise(tokens(F.col("p"), 3)), "form": formed(F.col("n"))})
+    m = laid(manifest.select("visit", "entity_id", "pos", F.col("kind").alias("m_kind"), F.col("local_id").alias("m_local"), "name", "display"))
+    m = m.select("visit", "entity_id", "pos", "m_kind", F.lower("m_kind").alias("m_low"), "m_local", lowered(F.col("name")).alias("m_n"), lowered(F.col("display")).alias("m_d"), plain(F.col("name")).alias("m_p"))
+    m = m.withColumns({"m_w": split("m_p"), "m_t": tokens(F.col("m_p"), 3), "m_form": formed(F.col("m_n"))})
+
+    same, known = F.col("kind") == F.col("m_low"), F.col("m_local").isNotNull()
+    fit = same | F.array_contains("fitting", F.col("m_low"))
+    name, display = (F.col("n") == F.col("m_n")) & (F.col("m_n") != ""), (F.col("n") == F.col("m_d")) & (F.col("m_d") != "")
+    both = fit & (F.col("p") != "") & (F.col("m_p") != "")
     inside = F.contains("p", F.col("m_p")) | F.contains("m_p", F.col("p"))
     two = F.size(F.array_intersect("w", "m_w")) >= 2
-    known = F.col("m_local").isNotNull()
-    loose = F.when(inside | two, 5).when(known & F.arrays_overlap("t", "m_t"), 6).when(known & same & inside, 7)
-    ratio = 1 - F.levenshtein("p", "m_p") / F.greatest(F.length("p"), F.length("m_p"))
-    scored = pairs.withColumn("strategy", loose).withColumn("ratio", F.when(known & F.col("form") & F.col("m_form"), ratio))
+    strategy = F.when(F.col("ref") == F.col("entity_id"), 0).when(F.col("a_local") == F.col("m_local"), 1)
+    strategy = strategy.when((name | display) & same, 2).when(name & fit & known, 3).when((name | display) & fit, 4)
+    strategy = strategy.when(both & (inside | two), 5).when(both & known & F.arrays_overlap("t", "m_t"), 6).when(both & known & same & inside, 7)
+    ratio = F.when(both & known & F.col("form") & F.col("m_form"), 1 - F.levenshtein("p", "m_p") / F.greatest(F.length("p"), F.length("m_p")))
     # a pair without a strategy counts only if its ratio could be the best one or come too near to it
-    scored = scored.where(F.col("strategy").isNotNull() | (F.col("ratio") >= least - margin - 1e-6))
-    order = Window.partitionBy("atom_id").orderBy(F.desc_nulls_last("ratio"), F.asc("pos"), F.asc("entity_id"))
-    ranked = scored.withColumn("place", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("ratio").over(order), F.lit(0.0)))
-    stitched = F.when((F.col("place") == 1) & (F.col("ratio") >= least) & (F.col("ratio") - F.col("next") >= margin), 8)
-    return sure.unionByName(first(pick(ranked, F.coalesce("strategy", stitched))))
+    pairs = a.join(m.hint("merge"), "visit").withColumn("strategy", strategy).withColumn("ratio", ratio)
+    pairs = pairs.where(F.col("strategy").isNotNull() | (F.col("ratio") >= least - margin - 1e-6))
+    best = F.when(F.col("strategy").isNotNull(), F.struct("strategy", "pos", "entity_id"))
+    near = F.when(F.col("ratio") >= least - margin - 1e-6, F.struct((-F.col("ratio")).alias("far"), "pos", "entity_id", "row", "m_kind", "m_local", "m_n", "m_d", "m_p"))  # rows of the manifest that are the same count once
+    pairs = pairs.select("atom_id", best.alias("best"), near.alias("near"))
+    found = pairs.groupBy("atom_id").agg(F.min("best").alias("best"), F.sort_array(F.collect_set("near")).alias("near"))
+    top, after = F.get("near", F.lit(0)), F.get("near", F.lit(1))
+    clear = (-top["far"] >= least) & (-top["far"] - F.coalesce(-after["far"], F.lit(0.0)) >= margin)
+    found = found.select("atom_id", F.coalesce("best", F.when(clear, F.struct(F.lit(8).alias("strategy"), top["pos"].alias("pos"), top["entity_id"].alias("entity_id")))).alias("best"))
+    return found.where("best is not null").select("atom_id", "best.entity_id", "best.strategy")
 
 
 def uncovered(issues: DataFrame, medicines: DataFrame, stop: list[str]) -> DataFrame:
