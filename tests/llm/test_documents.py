@@ -571,3 +571,24 @@ def test_only_postings_of_shared_ngrams_are_shuffled(spark, monkeypatch, gathere
     if filter_bits == 28:  # a filter that is not full passes next to nothing else
         passed = sum(len(x) for g, x in lists.items() if known[g >> 23] >> (g >> 20 & 7) & 1)
         assert passed == len(expected)
+
+
+def test_leaders_share_two_hashes(spark):
+    rows = [(1, 9, [1, 2, 3, 4, 5, 6]), (2, 9, [1, 20, 21, 22, 23, 24]), (3, 9, [1, 2, 31, 32, 33, 34])]
+    assert [tuple(r) for r in ngramjoin.leader_pairs(spark.createDataFrame(rows, "doc_id long, n long, sig array<long>")).collect()] == [(1, 3)]
+
+
+def test_texts_stay_where_narrow_tables_fit_as_arrays(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(ngramjoin, "PACKED", 100_000)
+    monkeypatch.setattr(ngramjoin, "LONG_LIST", 3)
+    monkeypatch.setattr(ngramjoin, "PAIRS_A_STREAM", 2)
+    rows = near_copies(12)
+    docs = spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string")
+    pairs = ngramjoin.stored(spark.createDataFrame([(0, k) for k in range(1, 9)] + [(70, 3)], "q long, c long"), "test")
+    found = ngramjoin.checked(pairs, docs)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    sets = {i: ngramjoin.sets_of(pa.array([t]))[0] for i, t in rows}
+    assert {tuple(r) for r in found.collect()} == {(0, k) for k in range(1, 9) if ngramjoin.alike(sets[0], sets[k])}
+    got = ngramjoin.linked(docs.where("doc_id is not null")).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
